@@ -1,0 +1 @@
+"""Catalog-quality and pricing analytics as composable Spark DataFrame functions."""

@@ -1,0 +1 @@
+"""Column functions: every one takes and gives columns and stays inside the JVM."""

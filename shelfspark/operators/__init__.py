@@ -1,0 +1 @@
+"""Query operators: each takes DataFrames and parameters and gives a DataFrame."""

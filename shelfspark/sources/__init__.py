@@ -1,0 +1 @@
+"""Readers: product views, spreadsheets and delimited grids."""
