@@ -24,7 +24,7 @@ from shelfspark.llm.core import narrow
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Word pieces whose ids a worker remembers; beyond it the memory is emptied, the results stay the same.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 _UNEVEN = re.compile(r" (?=\s)")
 
 

@@ -60,10 +60,12 @@ class Words:
         return mix(out)
 
 
-def chunks(column: pa.Array, lower: str | None = None, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, lower: str | None = None, most: int = 512 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about `most` bytes, a longer text alone: first row, last row, bytes, offsets. Null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.offset:  # a slice's kernels may keep its old offsets
+        column = column.take(pa.array(np.arange(len(column))))
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if lower:
         column = {"ascii": pc.ascii_lower, "utf8": pc.utf8_lower}[lower](column)
