@@ -64,7 +64,7 @@ PRESENT = {
     "supplier": "supplier IS NOT NULL", "quantity": "quantity > 0", "images": "has_image",
 }
 _earned = ", ".join("(" + " + ".join(f"CASE WHEN {PRESENT[f]} THEN {w} ELSE 0 END" for f, w in fields.items()) + f")::BIGINT AS earned_{g}" for g, fields in COMPLETENESS.items())
-_missing = "array_to_string([" + ", ".join(f"CASE WHEN {PRESENT[f]} THEN NULL ELSE '{f}' END" for fields in COMPLETENESS.values() for f in fields) + "], ',') AS missing_fields"
+_missing = "coalesce(array_to_string([" + ", ".join(f"CASE WHEN {PRESENT[f]} THEN NULL ELSE '{f}' END" for fields in COMPLETENESS.values() for f in fields) + "], ','), '') AS missing_fields"
 _codes = "[" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in CONDITIONS.items()) + "] AS issues"
 _penalty = "(" + " + ".join(f"CASE WHEN {c} THEN {ISSUES[k][1]} ELSE 0 END" for k, c in CONDITIONS.items()) + ")::BIGINT AS penalties"
 _counts = ", ".join("(" + " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for k, c in CONDITIONS.items() if ISSUES[k][0] == s) + f")::BIGINT AS n_{s}" for s in ("critical", "high", "medium", "low", "info"))
@@ -106,7 +106,7 @@ ORACLES: dict[str, str] = {
     "issues_by_code": f"{SCORED} SELECT code, count(*) AS n, {_severity} AS severity FROM (SELECT unnest(issues) AS code FROM scored) WHERE code IS NOT NULL GROUP BY code",
     "issues_by_severity": f"{SCORED} SELECT {_severity} AS severity, count(*) AS n FROM (SELECT unnest(issues) AS code FROM scored) WHERE code IS NOT NULL GROUP BY 1",
     "score_distribution": f"{SCORED} SELECT grade, count(*) AS n FROM scored GROUP BY grade",
-    "completeness": f"{SCORED} SELECT id, {', '.join(f'earned_{g}' for g in COMPLETENESS)}, completeness, penalties, score, grade, n_critical, n_high, n_medium, n_low, n_info, is_blocked, array_to_string(issues, ',') AS issue_codes, missing_fields FROM scored",
+    "completeness": f"{SCORED} SELECT id, {', '.join(f'earned_{g}' for g in COMPLETENESS)}, completeness, penalties, score, grade, n_critical, n_high, n_medium, n_low, n_info, is_blocked, coalesce(array_to_string(issues, ','), '') AS issue_codes, missing_fields FROM scored",
     "worst_products": f"{SCORED} SELECT id, name, score, (n_critical + n_high + n_medium + n_low + n_info)::BIGINT AS n_issues FROM scored ORDER BY score, id LIMIT 25",
     "worst_high_severity": f"{SCORED} SELECT id, name, score, (n_critical + n_high + n_medium + n_low + n_info)::BIGINT AS n_issues FROM scored WHERE n_high > 0 ORDER BY score, id LIMIT 25",
     "duplicate_skus": f"{VIEW} SELECT sku_key, count(*) AS n, count(DISTINCT name_key) AS n_names, min(id) AS first_id, CASE WHEN count(DISTINCT name_key) > 1 THEN 'conflict' ELSE 'duplicate' END AS kind, CASE WHEN count(DISTINCT name_key) > 1 THEN 'critical' ELSE 'high' END AS severity FROM (SELECT {SKU_KEY} AS sku_key, {KEY('name')} AS name_key, id FROM products) WHERE sku_key IS NOT NULL GROUP BY sku_key HAVING count(*) > 1",
