@@ -88,6 +88,27 @@ def top(columns: str, where: str, by: str) -> str:
     return f"{VIEW} SELECT id, name, brand, margin, quantity, round_even({unit}, 2) AS unit_profit, round_even({every}, 2) AS total_profit FROM products WHERE is_active AND norm_rdp > 0 AND norm_selling_price > 0 {where} ORDER BY {by}_profit DESC, id LIMIT 20"
 
 
+PUBLIC = f""", pub AS (SELECT id, {SLUG("name || ' ' || id")} AS slug, name, brand, category, sku, {SHOWN} AS shown_price, CASE WHEN norm_selling_price IS NOT NULL THEN 'EGP' ELSE currency END AS shown_currency,
+  quantity - reserved > 0 AS in_stock, has_image, score, updated FROM scored WHERE {PUBLISHED})"""
+_ladder = (
+    ("selling_price IS NULL AND rdp IS NULL", "no_price", "ask the supplier for a quote"), ("selling_price IS NULL", "no_selling_price", "set a selling price"), ("currency IS NULL", "no_currency", "find out the currency"),
+    ("sku IS NULL", "no_sku", "find the model code"), ("NOT has_image", "no_image", "take photos"), ("NOT is_verified", "not_verified", "review and verify"),
+)
+BLOCKER = "CASE " + " ".join(f"WHEN {c} THEN '{b}'" for c, b, _ in _ladder) + " ELSE 'none' END"
+ACTION = "CASE " + " ".join(f"WHEN {c} THEN '{a}'" for c, _, a in _ladder) + " ELSE 'nothing to do' END"
+CLEAN = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+CODE3 = lambda c: f"rpad(upper(left(regexp_replace({KEY(c)}, '[^a-z0-9]', '', 'g'), 3)), 3, 'X')"
+MONEY = """WITH b AS (SELECT p_partkey AS id, p_partkey % 7 AS k, floor(p_retailprice) AS p, p_size::DOUBLE AS z FROM part),
+v AS (SELECT id, k, CASE k WHEN 0 THEN p + 25 WHEN 3 THEN NULL WHEN 4 THEN -z WHEN 5 THEN 1000 + z + 0.5 ELSE p END::DOUBLE AS value, p FROM b)
+SELECT id, value, CASE WHEN k = 0 THEN p ELSE value END::DOUBLE AS "min", CASE WHEN k = 0 THEN p + 50 ELSE value END::DOUBLE AS "max", k = 0 AS is_range, k IN (0, 2) AS is_estimated, CASE k WHEN 1 THEN 'USD' WHEN 2 THEN 'EGP' END AS currency, k <> 3 AS ok FROM v"""
+GRID = """g AS (SELECT 'sheet-' || (p_partkey % 5) AS sheet, (p_partkey + 10)::INT AS row_index, CASE WHEN (p_partkey // 5) % 20 = 0 THEN 'section' WHEN (p_partkey // 5) % 20 = 19 THEN 'total' ELSE 'data' END AS kind,
+  'Section ' || (p_partkey // 100) AS txt, p_partkey, p_name, p_brand, p_retailprice, p_size FROM part
+  UNION ALL SELECT 'sheet-' || r, i, CASE WHEN i = 1 THEN 'title' ELSE 'header' END, NULL, NULL, NULL, NULL, NULL, NULL FROM range(5) t(r), (VALUES (1), (2)) n(i))"""
+UPSERT = """WITH u AS (SELECT 'sku:p' || p_partkey AS fingerprint, p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 8 <> 0 AND p_partkey % 2 = 0 AND NOT (p_partkey % 10 <> 0 AND p_partkey % 7 = 0) THEN p_retailprice + 1 ELSE p_retailprice END AS rdp,
+  p_size::BIGINT AS quantity, p_partkey % 10 <> 0 AND p_partkey % 3 = 0 AS is_verified, TRUE AS is_active, CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 3 = 0 THEN 'approved' ELSE 'review' END AS lifecycle,
+  CASE WHEN p_partkey % 10 = 0 THEN 'created' WHEN p_partkey % 8 = 0 THEN 'kept' WHEN p_partkey % 2 = 0 AND p_partkey % 7 <> 0 THEN 'updated' ELSE 'unchanged' END AS outcome,
+  CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 8 <> 0 THEN (CASE WHEN p_partkey % 7 = 0 AND p_partkey % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS locks_kept
+  FROM part WHERE p_partkey % 10 <> 0 OR p_partkey % 8 <> 0)"""
 ORACLES: dict[str, str] = {
     "summary": f"{SCORED} SELECT {MEASURES}, {mean('gross_margin')} AS avg_gross_margin, {mean('score')} AS avg_score, count(*) FILTER (is_verified) AS verified, count(*) FILTER (is_generic) AS generic, count(*) FILTER (selling_price > 0) AS priced FROM scored WHERE is_active",
     **{f"inventory_by_{d}": f"{VIEW} SELECT coalesce({c}, '(unassigned)') AS \"group\", {MEASURES} FROM products WHERE is_active GROUP BY 1" for d, c in DIMENSIONS.items()},
@@ -116,4 +137,48 @@ pr AS (SELECT a.b AS brand_key, a.x AS name_a, c.x AS name_b, a.id AS id_a, c.id
   len(list_intersect(list_distinct(string_split(a.x, ' ')), list_distinct(string_split(c.x, ' '))))::DOUBLE / len(list_distinct(list_concat(string_split(a.x, ' '), string_split(c.x, ' ')))) AS j FROM k a JOIN k c ON a.b = c.b AND a.x < c.x)
 SELECT brand_key, name_a, name_b, id_a, id_b, n_a, n_b, round(greatest(0.4::DOUBLE * j + 0.6::DOUBLE * e, CASE WHEN length(name_a) >= 6 AND length(name_b) >= 6 THEN 0.95::DOUBLE * e ELSE 0 END), 3) AS similarity FROM pr WHERE round(greatest(0.4::DOUBLE * j + 0.6::DOUBLE * e, CASE WHEN length(name_a) >= 6 AND length(name_b) >= 6 THEN 0.95::DOUBLE * e ELSE 0 END), 3) >= 0.7""",
     "rescore_counts": f"{SCORED}, o AS (SELECT score, CASE WHEN id % 4 = 0 THEN score - 1 WHEN id % 4 = 1 THEN score + 1 ELSE score END AS was FROM scored) SELECT count(*) AS scanned, count(*) FILTER (score <> was) AS changed, count(*) FILTER (score > was) AS improved, count(*) FILTER (score < was) AS degraded FROM o",
+    "admin_list_filtered": f"{SCORED} SELECT id, name, margin, quantity, procurement FROM scored WHERE procurement IN ('must_buy', 'test_buy') AND is_active AND margin >= 10 AND quantity <= 40 AND coalesce(array_to_string(issues, ','), '') <> ''",
+    "admin_search": f"{VIEW} SELECT id, sku FROM products WHERE list_contains(string_split({KEY("concat_ws(' ', name, brand, sku)")}, ' '), 'p') OR list_contains(string_split({KEY("concat_ws(' ', name, brand, sku)")}, ' '), '77')",
+    "admin_list_sorted_page": f"{VIEW} SELECT id, name, margin FROM products ORDER BY margin DESC NULLS LAST, name, id LIMIT 25 OFFSET 25",
+    "issue_code_filter": f"{SCORED} SELECT id, name FROM scored WHERE coalesce(rdp, 0) = 0 AND n_high > 0",
+    "public_list": f"{SCORED} {PUBLIC} SELECT * FROM pub ORDER BY score DESC, updated DESC, id LIMIT 60",
+    "public_search": f"{SCORED} {PUBLIC} SELECT * FROM pub WHERE contains(lower(name), 'p-7') OR contains(lower(brand), 'p-7') OR contains(lower(sku), 'p-7')",
+    "public_price_range": f"{SCORED} {PUBLIC} SELECT * FROM pub WHERE shown_price BETWEEN 1000 AND 20000 AND in_stock",
+    "public_detail": f"{SCORED} {PUBLIC} SELECT * FROM pub WHERE id = 3",
+    "facet_categories": f"{VIEW} SELECT category AS value, count(*) AS n FROM products WHERE {PUBLISHED} AND category IS NOT NULL GROUP BY 1",
+    "facet_brands": f"{VIEW} SELECT brand AS value, count(*) AS n FROM products WHERE {PUBLISHED} AND brand IS NOT NULL GROUP BY 1",
+    "facet_price_range": f"{VIEW} SELECT floor(min(norm_selling_price))::BIGINT AS low, ceil(max(norm_selling_price))::BIGINT AS high, count(*) AS n FROM products WHERE {PUBLISHED} AND norm_selling_price > 0",
+    "sitemap": f"{SCORED} {PUBLIC} SELECT slug, updated FROM pub",
+    "related_products": f"{SCORED} {PUBLIC}, best AS (SELECT id AS rid, category AS rc, score AS rs FROM pub WHERE category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, id) <= 5) SELECT id, (row_number() OVER (PARTITION BY id ORDER BY rs DESC, rid) - 1)::INT AS rank, rid AS related_id FROM pub JOIN best ON category = rc AND id <> rid QUALIFY row_number() OVER (PARTITION BY id ORDER BY rs DESC, rid) <= 4",
+    "publish_candidates": f"{SCORED} SELECT id, name, category, CASE WHEN is_blocked THEN 'blocked' ELSE 'ready' END AS state FROM scored WHERE is_active AND NOT is_draft AND selling_price > 0 AND NOT is_verified",
+    "publish_blocked_by_issue": f"{SCORED} SELECT code, count(*) AS n FROM (SELECT unnest(issues) AS code FROM scored WHERE is_active AND NOT is_draft AND selling_price > 0 AND NOT is_verified AND is_blocked) WHERE {_severity} = 'critical' GROUP BY code",
+    "backfill_missing": f"{VIEW} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER ({c} IS NULL) AS missing FROM products" for c in ("brand", "category", "sku", "currency", "rdp", "rrp", "selling_price")),
+    "missing_report": f"{VIEW} SELECT id, name, category, {BLOCKER} AS blocker, {ACTION} AS action FROM products WHERE NOT (is_active AND is_verified AND coalesce(selling_price, 0) > 0)",
+    "blocker_counts": f"{VIEW} SELECT {BLOCKER} AS blocker, count(*) AS n FROM products WHERE NOT (is_active AND is_verified AND coalesce(selling_price, 0) > 0) GROUP BY 1",
+    "open_questions": f"{SCORED} SELECT id, 'conflict' AS kind, code AS what FROM (SELECT id, unnest(issues) AS code FROM scored) WHERE code IN ('COST_MISMATCH', 'AMBIGUOUS_SKU', 'MARKET_BELOW_COST') UNION ALL SELECT id, 'gap', unnest(string_split(missing_fields, ',')) FROM scored WHERE missing_fields <> ''",
+    "category_counts": f"{VIEW} SELECT coalesce(category, '(none)') AS category, count(*) AS n FROM products GROUP BY 1",
+    "normalize_key": f"SELECT doc_id, md5({KEY('text')}) AS key_md5 FROM documents",
+    "slugify": f"SELECT doc_id, {SLUG(CLEAN)} AS slug FROM documents",
+    "fingerprint": f"{VIEW} SELECT id, {FINGERPRINT} AS fingerprint FROM products",
+    "similarity_pairs": f"WITH k AS (SELECT p_partkey AS id, {KEY('p_name')} AS x, {KEY("p_name || ' ' || p_brand")} AS y FROM part), m AS (SELECT *, 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) AS e, len(list_intersect(list_distinct(string_split(x, ' ')), list_distinct(string_split(y, ' '))))::DOUBLE / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))) AS j FROM k) SELECT id, round(greatest(0.4::DOUBLE * j + 0.6::DOUBLE * e, CASE WHEN length(x) >= 6 AND length(y) >= 6 THEN 0.95::DOUBLE * e ELSE 0 END), 3) AS similarity FROM m",
+    "generate_sku": f"SELECT p_partkey AS id, 'BH-' || {CODE3('p_type')} || '-' || {CODE3('p_brand')} || '-' || upper(left(sha1({KEY('p_brand')} || '|' || {KEY('p_name')} || '|'), 6)) AS sku FROM part",
+    "parse_money": MONEY, "parse_percent": f"SELECT p_partkey AS id, {r1('CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.5::DOUBLE WHEN p_partkey % 3 = 1 THEN p_size::DOUBLE / 100 * 100 WHEN p_size <= 1 THEN p_size * 100::DOUBLE ELSE p_size END')} AS percent FROM part",
+    "parse_integer": "SELECT p_partkey AS id, 1000 + p_size::BIGINT AS quantity FROM part",
+    "extract_wattage": "SELECT p_partkey AS id, p_size::DOUBLE AS wattage FROM part", "extract_length": f"SELECT p_partkey AS id, {r1('p_size * 0.01::DOUBLE', 3)} AS length_m FROM part",
+    "extract_capacity": "SELECT p_partkey AS id, p_size || 'GB' AS capacity, p_size::DOUBLE AS capacity_gb FROM part", "extract_warranty": "SELECT p_partkey AS id, 12 * (p_partkey % 5 + 1) AS months FROM part",
+    "extract_condition": "SELECT p_partkey AS id, ['new','refurbished','used','original_pull'][p_partkey % 4 + 1] AS condition FROM part",
+    "split_features": "SELECT p_partkey AS id, p_name || '#' || p_size || ' ports#' || p_brand AS features FROM part",
+    "normalize_brand": "SELECT p_partkey AS id, p_brand AS brand, FALSE AS is_generic, FALSE AS is_multi FROM part",
+    "normalize_category": "SELECT p_partkey AS id, 'Cables' AS category, 'Charging Cables' AS subcategory, TRUE AS matched FROM part",
+    "detect_generic": f"SELECT p_partkey AS id, regexp_matches({KEY('p_name')}, '(^| )(general|generic|assorted|various|misc|miscellaneous|placeholder|sample|example|unassigned|tbd|tba|unknown|any|standard type)( |$)') OR (length(p_name) > 3 AND p_name = upper(p_name) AND regexp_matches(p_name, '[A-Z]') AND NOT regexp_matches(p_name, '[0-9]')) AS is_generic, FALSE AS is_draft FROM part",
+    "header_detect": "SELECT 'sheet-' || r AS sheet, 2 AS header_index FROM range(5) t(r)",
+    "column_claims": "SELECT 'sheet-' || r AS sheet, c.* FROM range(4) t(r), (VALUES (0::BIGINT, 'Product', 'name', NULL), (1, 'Brand', 'brand', NULL), (2, 'SKU', 'sku', NULL), (3, 'Price (EGP)', 'selling_price', 'EGP'), (4, 'Qty', 'quantity', NULL)) c(col, header, field, currency) UNION ALL SELECT 'sheet-4', c.* FROM (VALUES (0::BIGINT, 'Product', 'name', NULL), (1, 'Brand', 'brand', NULL), (2, 'Model', 'sku', NULL), (3, 'RDP (USD)', 'rdp', 'USD'), (4, 'RRP ($)', 'rrp', 'USD')) c(col, header, field, currency)",
+    "sheet_currency_vote": "SELECT 'sheet-' || r AS sheet, CASE WHEN r = 4 THEN 'USD' ELSE 'EGP' END AS currency FROM range(5) t(r)",
+    "section_fill_forward": f"WITH {GRID} SELECT sheet, row_index, kind, last_value(CASE WHEN kind = 'section' THEN txt END IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY row_index ROWS UNBOUNDED PRECEDING) AS section FROM g",
+    "import_products": f"WITH {GRID} SELECT sheet, row_index, p_name AS name, p_brand AS brand, 'P-' || p_partkey AS sku, CASE WHEN sheet = 'sheet-4' THEN 'USD' ELSE 'EGP' END AS currency, CASE WHEN sheet = 'sheet-4' THEN floor(p_retailprice) END AS rdp, CASE WHEN sheet = 'sheet-4' THEN p_size::DOUBLE END AS rrp, CASE WHEN sheet = 'sheet-4' THEN p_size::DOUBLE ELSE floor(p_retailprice) END AS selling_price, CASE WHEN sheet <> 'sheet-4' THEN p_size::BIGINT END AS quantity FROM g WHERE kind = 'data'",
+    "upsert_locked": f"{UPSERT} SELECT fingerprint, id, name, rdp, quantity, is_verified, is_active, lifecycle, outcome, locks_kept FROM u",
+    "import_totals": f"{UPSERT} SELECT 'parts' AS source, count(*) AS rows, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'kept') AS kept, sum(locks_kept)::BIGINT AS locks_kept FROM u",
+    "archive_stale": "SELECT 'sku:p' || p_partkey AS fingerprint, p_partkey % 8 <> 0 AS is_active, p_partkey % 3 = 0 AND p_partkey % 8 <> 0 AS is_verified, CASE WHEN p_partkey % 8 = 0 THEN 'archived' WHEN p_partkey % 3 = 0 THEN 'approved' ELSE 'review' END AS lifecycle, p_partkey % 8 = 0 AS archived FROM part WHERE p_partkey % 10 <> 0",
+    "dedupe_merge": "SELECT lower(p_name) AS fingerprint, max(p_partkey % 7)::DOUBLE AS score, arg_min(p_partkey, -(p_partkey % 7) * 1000000000 + p_partkey) AS row_index, arg_min(p_brand, -(p_partkey % 7) * 1000000000 + p_partkey) FILTER (p_partkey % 3 = 0) AS brand, arg_min(p_retailprice, -(p_partkey % 7) * 1000000000 + p_partkey) FILTER (p_partkey % 2 = 0) AS rdp, count(*) AS n_sources FROM part GROUP BY 1",
+    "market_segments": f"SELECT r_name, c_mktsegment, count(*) AS orders, {r1(total('o_totalprice'))} AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
 }
