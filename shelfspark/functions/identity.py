@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark.config import BRAND_ALIASES, BRAND_PARENTS, CATEGORY_CODES, DRAFT_WORDS, GENERIC_BRANDS, GENERIC_WORDS, RESERVED_CODES, TAXONOMY
-from shelfspark.functions.text import B0, B1, clean_text, contains_arabic, normalize_key, title_case
+from shelfspark.functions.text import B0, B1, clean_text, contains_arabic, let, normalize_key, title_case
 
 MODEL_CODE = r"(?<![A-Za-z0-9_])(?=[A-Z0-9-]*\d)[A-Z][A-Z0-9-]{2,}(?![A-Za-z0-9_])"
 PLACEHOLDERS = ("unassigned", "n a", "na", "none", "null", "tbd", "tba", "unknown", "no sku", "various", "generic", "not assigned", "pending")
@@ -27,16 +27,17 @@ def codes_in(text: Column) -> Column:
 
 def normalize_sku(raw: Column) -> Column:
     """sku, corrected_from, is_ambiguous and alternates of a model cell."""
-    text = clean_text(raw)
-    key = normalize_key(raw)
+    return let(F.struct(clean_text(raw).alias("text"), normalize_key(raw).alias("key"), codes_in(raw).alias("codes")), lambda c: _sku(c["text"], c["key"], c["codes"]))
+
+
+def _sku(text: Column, key: Column, codes: Column) -> Column:
     none = F.array().cast("array<string>")
     arrow = r"^(.*?)\s*(?:→|->|=>)\s*(.*)$"
-    codes = codes_in(text)
     groups = F.transform(F.regexp_extract_all(text, F.lit(r"(\([^)]*\))"), F.lit(1)), codes_in)
     bracketed = F.get(F.get(F.filter(groups, lambda g: F.size(g) == 1), F.lit(0)), F.lit(0))
     prose = (F.size(F.split(text, " ")) > 3) | text.rlike(PROSE)
     plain = F.trim(F.regexp_replace(text, r"\s*\([^)]*\)\s*", " "))
-    options = F.filter(F.transform(F.split(plain, r"\s*[/,]\s*"), F.trim), lambda p: p != "")
+    options = F.filter(F.transform(F.split(plain, r"\s*[/,]\s*"), lambda p: F.trim(p)), lambda p: p != "")
     old, new = codes_in(F.regexp_extract(text, arrow, 1)), codes_in(F.regexp_extract(text, arrow, 2))
     after = F.coalesce(F.get(new, F.lit(0)), F.nullif(F.regexp_extract(text, arrow, 2), F.lit("")))
     before = F.coalesce(F.get(old, F.lit(0)), F.nullif(F.regexp_extract(text, arrow, 1), F.lit("")))
@@ -70,8 +71,11 @@ def is_generated_sku(sku: Column) -> Column:
 
 def normalize_brand(raw: Column) -> Column:
     """brand, parent, is_generic, is_multi and all of a brand cell."""
-    text, key = clean_text(raw), normalize_key(raw)
-    parts = F.filter(F.transform(F.split(text, r"\s*[/,&]\s*|\s+\+\s+"), F.trim), lambda p: p != "")
+    return let(F.struct(clean_text(raw).alias("text"), normalize_key(raw).alias("key")), lambda c: _brand(c["text"], c["key"]))
+
+
+def _brand(text: Column, key: Column) -> Column:
+    parts = F.filter(F.transform(F.split(text, r"\s*[/,&]\s*|\s+\+\s+"), lambda p: F.trim(p)), lambda p: p != "")
     one = lambda c: F.coalesce(_lookup(normalize_key(c), BRAND_ALIASES), F.when(c.rlike("[a-z]") & c.rlike("[A-Z]"), c).otherwise(title_case(c)))
     known = _lookup(key, BRAND_ALIASES)
     everyone = F.array_distinct(F.transform(parts, one))
@@ -111,7 +115,10 @@ def normalize_category(raw: Column, name: Column) -> Column:
 
     The best score wins, the earlier category among equals; a cell that fits none stays as it is.
     """
-    cell, title = normalize_key(raw), normalize_key(name)
+    return let(F.struct(clean_text(raw).alias("text"), normalize_key(raw).alias("cell"), normalize_key(name).alias("title")), lambda c: _category(c["text"], c["cell"], c["title"]))
+
+
+def _category(text: Column, cell: Column, title: Column) -> Column:
     both = F.concat(cell, F.lit(" "), title)
     rows = []
     for i, (category, (terms, subs)) in enumerate(TAXONOMY.items()):
@@ -121,12 +128,16 @@ def normalize_category(raw: Column, name: Column) -> Column:
         in_cell = _count_terms(cell, terms)
         score = F.when(in_cell > 0, 3 * in_cell).otherwise(_count_terms(title, terms))
         rows.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(category).alias("category"), sub.alias("subcategory")))
-    best = F.array_max(F.array(*rows))
-    hit = best["score"] > 0
-    return F.struct(
-        F.when(hit, best["category"]).otherwise(F.nullif(clean_text(raw), F.lit(""))).alias("category"), F.when(hit, best["subcategory"]).alias("subcategory"),
-        hit.alias("matched"), F.when(hit, F.least(F.lit(1.0), best["score"] / 3)).otherwise(0.0).alias("confidence"),
-    )
+
+
+    def out(best: Column) -> Column:
+        hit = best["score"] > 0
+        return F.struct(
+            F.when(hit, best["category"]).otherwise(F.nullif(text, F.lit(""))).alias("category"), F.when(hit, best["subcategory"]).alias("subcategory"),
+            hit.alias("matched"), F.when(hit, F.least(F.lit(1.0), best["score"] / 3)).otherwise(0.0).alias("confidence"),
+        )
+
+    return let(F.array_max(F.array(*rows)), out)
 
 
 def _has_word(key: Column, words: tuple[str, ...]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark.config import NULL_TOKENS, POLICY, Policy
-from shelfspark.functions.text import B0, B1, clean_text, normalize_dashes, normalize_digits
+from shelfspark.functions.text import B0, B1, clean_text, let, normalize_dashes, normalize_digits
 
 EPSILON = 2.220446049250313e-16
 _NUMBER = r"\d[\d,]*(?:\.\d+)?"
@@ -51,10 +51,18 @@ def to_number(token: Column) -> Column:
 
 def bounds(fragment: Column) -> Column:
     """min, max, value and is_range of a price fragment; null if it has no number."""
-    t = F.trim(normalize_dashes(normalize_digits(fragment)))
+    return let(F.trim(normalize_dashes(normalize_digits(fragment))), lambda t: let(_ends(t), _bounds))
+
+
+def _ends(t: Column) -> Column:
     low, high = to_number(F.regexp_extract(t, _RANGE, 1)), to_number(F.regexp_extract(t, _RANGE, 2))
     one = F.regexp_extract(t, rf"-?{_NUMBER}", 0)
     value = F.when(F.startswith(one, F.lit("-")), -to_number(one)).otherwise(to_number(one))
+    return F.struct(low.alias("low"), high.alias("high"), value.alias("value"))
+
+
+def _bounds(e: Column) -> Column:
+    low, high, value = e["low"], e["high"], e["value"]
     ranged = low.isNotNull() & high.isNotNull()
     as_range = F.struct(F.least(low, high).alias("min"), F.greatest(low, high).alias("max"), js_round((low + high) / 2).alias("value"), F.lit(True).alias("is_range"))
     single = F.struct(value.alias("min"), value.alias("max"), value.alias("value"), F.lit(False).alias("is_range"))
@@ -64,37 +72,54 @@ def bounds(fragment: Column) -> Column:
 def parse_money(raw: Column, default_currency: Column | None = None, assume_estimate: bool = False) -> Column:
     """value, min, max, is_range, is_estimated, currency, variants, note and ok of a text cell."""
     default = F.lit(None).cast("string") if default_currency is None else default_currency
-    text = clean_text(raw)
-    is_null = F.lower(text).isin(*NULL_TOKENS)
-    inner = F.nullif(clean_text(F.regexp_extract(text, r"\(([^)]*)\)", 1)), F.lit(""))
-    has_note = text.rlike(r"\([^)]*\)")
-    rest = F.when(has_note, F.regexp_replace(text, r"\([^)]*\)", " ")).otherwise(text)
-    head = F.lower(clean_text(F.regexp_extract(rest, r"^([^0-9]*?)-\s*(.+)$", 1)))
-    tail = clean_text(F.regexp_extract(rest, r"^([^0-9]*?)-\s*(.+)$", 2))
-    commentary = rest.rlike(r"^[^0-9]*?-\s*.+$") & (head != "") & head.isin(*NULL_TOKENS)
-    currency = detect_currency(text, default)
-    estimated = F.lit(assume_estimate) | text.rlike(_ESTIMATE)
-    label = lambda s: F.get(F.split(s, ":"), F.lit(0))
-    price = lambda s: F.get(F.split(s, ":"), F.lit(1))
-    segments = F.filter(F.split(rest, r"\|"), lambda s: (label(s) != "") & (F.coalesce(price(s), F.lit("")) != ""))
-    found = F.transform(segments, lambda s: F.struct(clean_text(label(s)).alias("label"), bounds(price(s)).alias("b"), detect_currency(price(s), currency).alias("currency")))
-    found = F.filter(found, lambda v: v["b"].isNotNull())
-    variants = F.transform(found, lambda v: F.struct(v["label"].alias("label"), v["b"]["min"].alias("min"), v["b"]["max"].alias("max"), v["b"]["value"].alias("value"), v["currency"].alias("currency")))
-    many = F.contains(rest, F.lit("|")) & F.contains(rest, F.lit(":")) & (F.size(variants) > 0)
-    none = F.filter(variants, lambda v: F.lit(False))
-    b = bounds(rest)
-    kind = F.when(raw.isNull() | is_null | commentary, "none").when(many, "variants").when(b.isNotNull(), "single").otherwise("none")
-    low, high = F.array_min(F.transform(variants, lambda v: v["min"])), F.array_max(F.transform(variants, lambda v: v["max"]))
-    pick = lambda v, s: F.when(kind == "variants", v).when(kind == "single", s)
-    note = F.when(raw.isNull(), None).when(is_null, F.nullif(text, F.lit(""))).when(commentary, F.when(inner.isNotNull(), F.concat(tail, F.lit(" ("), inner, F.lit(")"))).otherwise(tail))
-    note = note.when(kind == "variants", F.coalesce(inner, F.concat(F.size(variants).cast("string"), F.lit(" price variants")))).when(kind == "single", inner).otherwise(F.coalesce(inner, text))
+    cell = F.struct(raw.alias("raw"), clean_text(raw).alias("text"), default.alias("default"))
+    return let(cell, lambda c: let(_split_note(c, assume_estimate), lambda n: let(_read(n), _money)))
+
+
+def _split_note(c: Column, assume_estimate: bool) -> Column:
+    text = c["text"]
+    rest = F.when(text.rlike(r"\([^)]*\)"), F.regexp_replace(text, r"\([^)]*\)", " ")).otherwise(text)
     return F.struct(
-        pick(low, b["value"]).alias("value"), pick(low, b["min"]).alias("min"), pick(high, b["max"]).alias("max"),
-        F.coalesce(pick(F.lit(True), b["is_range"]), F.lit(False)).alias("is_range"), F.coalesce(pick(F.lit(True), estimated | b["is_range"]), F.lit(False)).alias("is_estimated"),
-        pick(currency, currency).alias("currency"), F.when(kind == "variants", variants).otherwise(none).alias("variants"), note.alias("note"), (kind != "none").alias("ok"),
+        c["raw"].alias("raw"), text.alias("text"), F.nullif(clean_text(F.regexp_extract(text, r"\(([^)]*)\)", 1)), F.lit("")).alias("inner"), rest.alias("rest"),
+        detect_currency(text, c["default"]).alias("currency"), (F.lit(assume_estimate) | text.rlike(_ESTIMATE)).alias("estimated"),
     )
 
 
+def _read(n: Column) -> Column:
+    rest = n["rest"]
+    part = lambda s, i: F.coalesce(F.get(F.split(s, ":"), F.lit(i)), F.lit(""))
+    segments = F.filter(F.split(rest, r"\|"), lambda s: (part(s, 0) != "") & (part(s, 1) != ""))
+    found = F.transform(segments, lambda s: F.struct(clean_text(part(s, 0)).alias("label"), bounds(part(s, 1)).alias("b"), detect_currency(part(s, 1), n["currency"]).alias("currency")))
+    variants = F.transform(F.filter(found, lambda v: v["b"].isNotNull()), lambda v: F.struct(v["label"].alias("label"), v["b"]["min"].alias("min"), v["b"]["max"].alias("max"), v["b"]["value"].alias("value"), v["currency"].alias("currency")))
+    listed = F.contains(rest, F.lit("|")) & F.contains(rest, F.lit(":"))
+    return F.struct(
+        *(n[c].alias(c) for c in ("raw", "text", "inner", "currency", "estimated")), bounds(rest).alias("b"), F.when(listed, variants).alias("variants"),
+        F.lower(clean_text(F.regexp_extract(rest, r"^([^0-9]*?)-\s*(.+)$", 1))).alias("head"), clean_text(F.regexp_extract(rest, r"^([^0-9]*?)-\s*(.+)$", 2)).alias("tail"),
+    )
+
+
+def _money(m: Column) -> Column:
+    is_null, commentary = F.lower(m["text"]).isin(*NULL_TOKENS), (m["head"] != "") & m["head"].isin(*NULL_TOKENS)
+    many = F.coalesce(F.size(m["variants"]) > 0, F.lit(False))
+    kind = F.when(m["raw"].isNull() | is_null | commentary, "none").when(many, "variants").when(m["b"].isNotNull(), "single").otherwise("none")
+    low, high = F.array_min(F.transform(m["variants"], lambda v: v["min"])), F.array_max(F.transform(m["variants"], lambda v: v["max"]))
+    note = (
+        F.when(m["raw"].isNull(), None).when(is_null, F.nullif(m["text"], F.lit(""))).when(commentary, F.when(m["inner"].isNotNull(), F.concat(m["tail"], F.lit(" ("), m["inner"], F.lit(")"))).otherwise(m["tail"]))
+        .when(many, F.coalesce(m["inner"], F.concat(F.size(m["variants"]).cast("string"), F.lit(" price variants")))).when(m["b"].isNotNull(), m["inner"]).otherwise(F.coalesce(m["inner"], m["text"]))
+    )
+
+    def out(k: Column) -> Column:
+        pick = lambda v, s: F.when(k == "variants", v).when(k == "single", s)
+        yes = F.lit(True)
+        return F.struct(
+            pick(low, m["b"]["value"]).alias("value"), pick(low, m["b"]["min"]).alias("min"), pick(high, m["b"]["max"]).alias("max"), F.coalesce(pick(yes, m["b"]["is_range"]), F.lit(False)).alias("is_range"),
+            F.coalesce(pick(yes, m["estimated"] | m["b"]["is_range"]), F.lit(False)).alias("is_estimated"), pick(m["currency"], m["currency"]).alias("currency"), pick(m["variants"], F.filter(m["variants"], lambda v: F.lit(False))).alias("variants"),
+            note.alias("note"), (k != "none").alias("ok"),
+        )
+
+    return let(kind, out)
+
+
 def money_of_number(n: Column, default_currency: Column, assume_estimate: bool = False) -> Column:
     """The same fields for a numeric cell."""
     v = js_round(n)

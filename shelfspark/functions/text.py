@@ -12,6 +12,11 @@ INVISIBLE = r"[\u200B-\u200F\u202A-\u202E\uFEFF]"
 B0, B1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` names it: large expressions stay small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_digits(c: Column) -> Column:
     return F.translate(c, ARABIC_DIGITS, "01234567890123456789")
 
@@ -59,6 +64,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 def key_similarity(x: Column, y: Column) -> Column:
     """The same for columns that are keys already."""
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda k: _alike(k["x"], k["y"]))
+
+
+def _alike(x: Column, y: Column) -> Column:
     wx, wy = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
     jaccard = F.size(F.array_intersect(wx, wy)) / F.size(F.array_union(wx, wy))
     edit = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))

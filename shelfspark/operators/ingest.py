@@ -6,6 +6,7 @@ A grid is (file, sheet, row_index, cells array<string>), one row a spreadsheet r
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.config import ANCHORS, HEADERS, NOTE_PREFIXES, POLICY, SHEET_PROCUREMENT, SHEET_SKIPPED, TOTAL_WORDS, Policy
 from shelfspark.functions import identity, money, specs
-from shelfspark.functions.text import B0, B1, clean_text, fingerprint, key_similarity, normalize_key
+from shelfspark.functions.text import B0, B1, clean_text, fingerprint, key_similarity, let, normalize_key
 
 _ALIASES: dict[str, tuple[str, int]] = {}
 for _field, _weight, _names, _ in HEADERS:
@@ -36,25 +37,29 @@ def _ascii_bounds(pattern: str) -> str:
 
 def match_header(cell: Column, policy: Policy = POLICY) -> Column:
     """field, strategy, confidence and specificity of a header cell: an alias, else a pattern, else the nearest alias."""
-    text = F.lower(clean_text(cell))
-    key = normalize_key(cell)
+    both = F.struct(F.lower(clean_text(cell)).alias("text"), normalize_key(cell).alias("key"))
+    return let(both, lambda c: let(_header(c["text"], c["key"], policy), lambda m: m.withField("specificity", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in _WEIGHTS.items() for x in kv)), m["field"]), F.lit(0)))))
+
+
+_WEIGHTS: dict[str, int] = {}
+for _field, _weight, _, _ in HEADERS:
+    _WEIGHTS[_field] = max(_weight, _WEIGHTS.get(_field, 0))
+
+
+def _header(text: Column, key: Column, policy: Policy) -> Column:
     exact = F.element_at(_map({a: f for a, (f, _) in _ALIASES.items()}), text)
     pattern = F.lit(None).cast("string")
     for field, _, _, found in sorted((h for h in HEADERS if h[3]), key=lambda h: h[1]):  # the most specific is asked first
         pattern = F.when(text.rlike("|".join(_ascii_bounds(p) for p in found)), field).otherwise(pattern)
-    names = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(f).alias("field")) for a, (f, _) in _ALIASES.items() if len(a) > 2 and a.isascii()))
-    near = F.array_max(F.transform(names, lambda a: F.struct(key_similarity(normalize_key(a["alias"]), key).alias("s"), a["field"].alias("field"))))
-    weights: dict[str, int] = {}
-    for field, weight, _, _ in HEADERS:
-        weights[field] = max(weight, weights.get(field, 0))
-    found = (
+    names = F.array(*(F.struct(F.lit(re.sub(r"[\W_]+", " ", a).strip()).alias("alias"), F.lit(f).alias("field")) for a, (f, _) in _ALIASES.items() if len(a) > 2 and a.isascii()))
+    near = F.array_max(F.transform(names, lambda a: F.struct(key_similarity(a["alias"], key).alias("s"), a["field"].alias("field"))))
+    return let(near, lambda near: (
         F.when(text == "", F.struct(F.lit(None).cast("string").alias("field"), F.lit("none").alias("strategy"), F.lit(0.0).alias("confidence")))
         .when(exact.isNotNull(), F.struct(exact.alias("field"), F.lit("exact").alias("strategy"), F.lit(1.0).alias("confidence")))
         .when(pattern.isNotNull(), F.struct(pattern.alias("field"), F.lit("pattern").alias("strategy"), F.lit(0.9).alias("confidence")))
         .when(near["s"] >= policy.header_similar, F.struct(near["field"].alias("field"), F.lit("fuzzy").alias("strategy"), F.round(near["s"], 3).alias("confidence")))
         .otherwise(F.struct(F.lit(None).cast("string").alias("field"), F.lit("none").alias("strategy"), F.lit(0.0).alias("confidence")))
-    )
-    return found.withField("specificity", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), found["field"]), F.lit(0)))
+    ))
 
 
 def _header_cells(grid: DataFrame, policy: Policy) -> DataFrame:

@@ -149,7 +149,7 @@ SELECT brand_key, name_a, name_b, id_a, id_b, n_a, n_b, round(greatest(0.4::DOUB
     "facet_brands": f"{VIEW} SELECT brand AS value, count(*) AS n FROM products WHERE {PUBLISHED} AND brand IS NOT NULL GROUP BY 1",
     "facet_price_range": f"{VIEW} SELECT floor(min(norm_selling_price))::BIGINT AS low, ceil(max(norm_selling_price))::BIGINT AS high, count(*) AS n FROM products WHERE {PUBLISHED} AND norm_selling_price > 0",
     "sitemap": f"{SCORED} {PUBLIC} SELECT slug, updated FROM pub",
-    "related_products": f"{SCORED} {PUBLIC}, best AS (SELECT id AS rid, category AS rc, score AS rs FROM pub WHERE category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, id) <= 5) SELECT id, (row_number() OVER (PARTITION BY id ORDER BY rs DESC, rid) - 1)::INT AS rank, rid AS related_id FROM pub JOIN best ON category = rc AND id <> rid QUALIFY row_number() OVER (PARTITION BY id ORDER BY rs DESC, rid) <= 4",
+    "related_products": f"{SCORED} {PUBLIC}, named AS (SELECT id AS rid, category AS rc, score AS rs FROM pub WHERE category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, id) <= 5) SELECT id, (row_number() OVER (PARTITION BY id ORDER BY rs DESC, rid) - 1)::INT AS rank, rid AS related_id FROM pub JOIN named ON category = rc AND id <> rid QUALIFY row_number() OVER (PARTITION BY id ORDER BY rs DESC, rid) <= 4",
     "publish_candidates": f"{SCORED} SELECT id, name, category, CASE WHEN is_blocked THEN 'blocked' ELSE 'ready' END AS state FROM scored WHERE is_active AND NOT is_draft AND selling_price > 0 AND NOT is_verified",
     "publish_blocked_by_issue": f"{SCORED} SELECT code, count(*) AS n FROM (SELECT unnest(issues) AS code FROM scored WHERE is_active AND NOT is_draft AND selling_price > 0 AND NOT is_verified AND is_blocked) WHERE {_severity} = 'critical' GROUP BY code",
     "backfill_missing": f"{VIEW} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER ({c} IS NULL) AS missing FROM products" for c in ("brand", "category", "sku", "currency", "rdp", "rrp", "selling_price")),
