@@ -42,26 +42,46 @@ def archive_stale(stored: DataFrame, drafts: DataFrame, key: str = "fingerprint"
     return rows.withColumns({"archived": stale, "is_active": F.col("is_active") & ~stale, "is_verified": F.col("is_verified") & ~stale, "lifecycle": F.when(stale, "archived").otherwise(F.col("lifecycle"))}).drop("_named")
 
 
+def _by_field(patches: DataFrame) -> DataFrame:
+    """One value for each id and field: of several, the greatest."""
+    return patches.groupBy("id", "field").agg(F.max("value").alias("value"))
+
+
 def patch(stored: DataFrame, patches: DataFrame, lock: bool = True) -> DataFrame:
-    """Applies (id, field, value as text, reason) to flat rows: one outcome a patch, never failing the whole batch."""
-    per = patches.groupBy("id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("field", "value")))).alias("_p"))
+    """Applies (id, field, value as text) to flat rows, never failing the whole batch; values that do not fit are left out."""
+    per = _by_field(patches).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_p"))
     rows = stored.join(per, "id", "left")
-    new = {f: F.col("_p")[f] for f in EDITABLE if f in stored.columns}
-    typed = {f: v.try_cast(stored.schema[f].dataType.simpleString()) for f, v in new.items()}
-    differs = {f: v.isNotNull() & ~typed[f].eqNullSafe(F.col(f)) & typed[f].isNotNull() for f, v in new.items()}
+    typed = {f: F.col("_p")[f].try_cast(stored.schema[f].dataType.simpleString()) for f in EDITABLE if f in stored.columns}
+    differs = {f: v.isNotNull() & ~v.eqNullSafe(F.col(f)) for f, v in typed.items()}
     changed = F.filter(F.array(*(F.when(c, f) for f, c in differs.items())), lambda x: x.isNotNull())
     locks = F.array_union(F.coalesce("locked_fields", F.array().cast("array<string>")), changed) if lock else F.col("locked_fields")
     return rows.select(*(F.when(differs[c], typed[c]).otherwise(F.col(c)).alias(c) if c in differs else (locks.alias(c) if c == "locked_fields" else F.col(c)) for c in stored.columns), changed.alias("changed_fields"))
 
 
 def patch_outcomes(stored: DataFrame, patches: DataFrame) -> DataFrame:
-    """updated, unchanged or failed (unknown id or a field that may not be edited) for each patch."""
-    ids = stored.select("id").distinct().withColumn("_known", F.lit(True))
-    now = F.create_map(*(x for f in EDITABLE if f in stored.columns for x in (F.lit(f), F.col(f).cast("string"))))
-    values = stored.select("id", now.alias("_now"))
-    rows = patches.join(ids, "id", "left").join(values, "id", "left")
-    bad = F.col("_known").isNull() | ~F.col("field").isin(*EDITABLE)
-    return rows.select("id", "field", F.when(bad, "failed").when(F.element_at("_now", F.col("field")).eqNullSafe(F.col("value")), "unchanged").otherwise("updated").alias("outcome"))
+    """updated, unchanged or failed (unknown id, a field that may not be edited, a value that does not fit) for each id and field."""
+    own = [f for f in EDITABLE if f in stored.columns]
+    rows = _by_field(patches).join(stored.select("id", *(F.col(f).alias(f"_{f}") for f in own)).withColumn("_known", F.lit(True)), "id", "left")
+    outcome = F.when(F.col("_known").isNull() | ~F.col("field").isin(*own), "failed")
+    for f in own:
+        value = F.col("value").try_cast(stored.schema[f].dataType.simpleString())
+        mine = F.col("field") == f
+        outcome = outcome.when(mine & value.isNull(), "failed").when(mine & value.eqNullSafe(F.col(f"_{f}")), "unchanged")
+    return rows.select("id", "field", outcome.otherwise("updated").alias("outcome"))
+
+
+def create(stored: DataFrame, new: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """The stored rows and the new ones whose key is not stored yet, every field given locked; `outcome` also tells conflicts.
+
+    Conflicting rows come back with their own values and the outcome conflict, and are not to be written.
+    """
+    given = [c for c in EDITABLE if c in new.columns and c in stored.columns]
+    known = stored.select(key).distinct().withColumn("_known", F.lit(True))
+    locks = F.filter(F.array(*(F.when(F.col(c).isNotNull(), c) for c in given)), lambda x: x.isNotNull())
+    fill = {c: F.coalesce(c, F.expr(DEFAULTS[c])) if c in DEFAULTS else F.col(c) for c in new.columns}
+    made = {**fill, **{c: F.expr(x) for c, x in DEFAULTS.items() if c not in new.columns}, "locked_fields": locks}
+    rows = new.join(known, key, "left").select(*(made.get(c, F.lit(None)).cast(stored.schema[c].dataType).alias(c) for c in stored.columns), F.when(F.col("_known").isNull(), "created").otherwise("conflict").alias("outcome"))
+    return stored.withColumn("outcome", F.lit("kept")).unionByName(rows)
 
 
 def unlock(stored: DataFrame, names: list[str]) -> DataFrame:

@@ -179,6 +179,14 @@ SELECT brand_key, name_a, name_b, id_a, id_b, n_a, n_b, round(greatest(0.4::DOUB
     "upsert_locked": f"{UPSERT} SELECT fingerprint, id, name, rdp, quantity, is_verified, is_active, lifecycle, outcome, locks_kept FROM u",
     "import_totals": f"{UPSERT} SELECT 'parts' AS source, count(*) AS rows, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'kept') AS kept, sum(locks_kept)::BIGINT AS locks_kept FROM u",
     "archive_stale": "SELECT 'sku:p' || p_partkey AS fingerprint, p_partkey % 8 <> 0 AS is_active, p_partkey % 3 = 0 AND p_partkey % 8 <> 0 AS is_verified, CASE WHEN p_partkey % 8 = 0 THEN 'archived' WHEN p_partkey % 3 = 0 THEN 'approved' ELSE 'review' END AS lifecycle, p_partkey % 8 = 0 AS archived FROM part WHERE p_partkey % 10 <> 0",
+    "resolve_slugs": f"""WITH d AS (SELECT 'sku:p' || p_partkey AS fingerprint, p_partkey AS k, {SLUG("p_name || ' ' || p_brand")} AS wanted, {SLUG("p_name || ' ' || p_brand || ' P-' || (p_partkey % 3)")} AS base FROM part),
+c AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY k) = 1 AS keeps FROM d), l AS (SELECT *, row_number() OVER (PARTITION BY base, keeps ORDER BY k) AS n FROM c)
+SELECT fingerprint, wanted, CASE WHEN keeps THEN wanted WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM l""",
+    "patch_fields": "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN 1.5 ELSE p_retailprice END AS rdp, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 4 = 0 THEN 'rdp' ELSE '' END AS locks, CASE WHEN p_partkey % 4 = 0 THEN 'rdp' ELSE '' END AS changed FROM part WHERE p_partkey % 10 <> 0",
+    "patch_outcomes": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 1 THEN 'name' WHEN 2 THEN 'score' ELSE 'rdp' END AS field, CASE WHEN p_partkey % 10 = 0 OR p_partkey % 4 >= 2 THEN 'failed' WHEN p_partkey % 4 = 1 THEN 'unchanged' ELSE 'updated' END AS outcome FROM part",
+    "unlock_fields": "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'rdp' ELSE '' END AS unlocked, 0::BIGINT AS n_locked FROM part WHERE p_partkey % 10 <> 0",
+    "create_products": "SELECT 'sku:p' || p_partkey AS fingerprint, p_name AS name, p_retailprice AS rdp, CASE WHEN p_partkey % 3 = 0 THEN 'approved' ELSE 'review' END AS lifecycle, p_partkey % 3 = 0 AS is_verified, CASE WHEN p_partkey % 7 = 0 THEN 'rdp' ELSE '' END AS locks, 'kept' AS outcome FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT 'sku:p' || p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END, 'draft', FALSE, CASE WHEN p_partkey % 3 = 0 THEN 'name,rdp' ELSE 'name' END, CASE WHEN p_partkey % 10 = 0 THEN 'created' ELSE 'conflict' END FROM part WHERE p_partkey % 5 = 0",
+    "verify_products": f"{SCORED} SELECT id, NOT is_blocked AS is_verified, CASE WHEN is_blocked THEN 'review' ELSE 'approved' END AS lifecycle, is_blocked AS refused FROM scored",
     "dedupe_merge": "SELECT lower(p_name) AS fingerprint, max(p_partkey % 7)::DOUBLE AS score, arg_min(p_partkey, -(p_partkey % 7) * 1000000000 + p_partkey) AS row_index, arg_min(p_brand, -(p_partkey % 7) * 1000000000 + p_partkey) FILTER (p_partkey % 3 = 0) AS brand, arg_min(p_retailprice, -(p_partkey % 7) * 1000000000 + p_partkey) FILTER (p_partkey % 2 = 0) AS rdp, count(*) AS n_sources FROM part GROUP BY 1",
     "market_segments": f"SELECT r_name, c_mktsegment, count(*) AS orders, {r1(total('o_totalprice'))} AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
 }

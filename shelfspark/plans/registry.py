@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import identity, money, specs, text
-from shelfspark.operators import analytics, catalog, ingest, pricing, quality, reports, store
+from shelfspark.operators import analytics, catalog, ingest, pricing, quality, reports, slugs, store
 from shelfspark.operators.pricing import with_pricing
 from shelfspark.operators.quality import with_quality
 from shelfspark.plans.oracles import ORACLES as ORACLES
-from shelfspark.plans.samples import grid, raw_cells, store_and_drafts
+from shelfspark.plans.samples import grid, new_rows, patches, raw_cells, slug_drafts, store_and_drafts
 from shelfspark.sources.testdata import products, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,38 @@ def archive_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.archive_stale(*store_and_drafts(spark, sf_dir)).select("fingerprint", "is_active", "is_verified", "lifecycle", "archived")
 
 
+def _saved(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; memory and disk where none is set, as in tests."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def resolve_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slugs.resolve(*slug_drafts(spark, sf_dir), save=_saved)
+
+
+def patch_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = store.patch(store_and_drafts(spark, sf_dir)[0], patches(spark, sf_dir))
+    return changed.select("id", "name", "rdp", F.array_join("locked_fields", ",").alias("locks"), F.array_join("changed_fields", ",").alias("changed"))
+
+
+def patch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.patch_outcomes(store_and_drafts(spark, sf_dir)[0], patches(spark, sf_dir))
+
+
+def unlock_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.unlock(store_and_drafts(spark, sf_dir)[0], ["rdp", "name"])
+    return rows.select("id", F.array_join("unlocked", ",").alias("unlocked"), F.size("locked_fields").cast("long").alias("n_locked"))
+
+
+def create_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.create(store_and_drafts(spark, sf_dir)[0], new_rows(spark, sf_dir))
+    return rows.select("fingerprint", "name", "rdp", "lifecycle", "is_verified", F.array_join("locked_fields", ",").alias("locks"), "outcome")
+
+
+def verify_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.verify(scored(spark, sf_dir)).select("id", "is_verified", "lifecycle", "refused")
+
+
 def dedupe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.lower("p_name").alias("fingerprint"), (F.col("p_partkey") % 7).cast("double").alias("score"), F.col("p_partkey").alias("row_index"), F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("brand"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("rdp"))
     return ingest.dedupe(rows).select("fingerprint", "score", "row_index", "brand", "rdp", "n_sources")
@@ -148,5 +180,6 @@ QUERIES: dict[str, Query] = {
     "normalize_brand": _flat(lambda: identity.normalize_brand(_c("brand")), "brand", "is_generic", "is_multi"), "normalize_category": _flat(lambda: identity.normalize_category(_c("category"), _c("text")), "category", "subcategory", "matched"),
     "detect_generic": _flat(lambda: identity.detect_generic(_c("name"), _c("brand"), _c("text"), F.lit(None).cast("string")), "is_generic", "is_draft"),
     "header_detect": header_detect, "column_claims": column_claims, "sheet_currency_vote": sheet_currency_vote, "section_fill_forward": section_fill_forward, "import_products": import_products,
-    "upsert_locked": upsert_locked, "import_totals": import_totals, "archive_stale": archive_stale, "dedupe_merge": dedupe_merge, "market_segments": market_segments,
+    "upsert_locked": upsert_locked, "import_totals": import_totals, "archive_stale": archive_stale,
+    "resolve_slugs": resolve_slugs, "patch_fields": patch_fields, "patch_outcomes": patch_outcomes, "unlock_fields": unlock_fields, "create_products": create_products, "verify_products": verify_products, "dedupe_merge": dedupe_merge, "market_segments": market_segments,
 }

@@ -50,3 +50,25 @@ def store_and_drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     )
     drafts = part.where(k % 8 != 0).select(F.concat(F.lit("sku:p"), k.cast("string")).alias("fingerprint"), k.alias("id"), F.col("p_name").alias("name"), F.when(k % 2 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")).alias("rdp"), F.col("p_size").cast("long").alias("quantity"), F.lit("review").alias("lifecycle"))
     return stored, drafts
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of the stored table: a price, a name as it is, a field that nobody edits, a price that is no number."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    kind = lambda *of: F.element_at(F.array(*of), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), kind(F.lit("rdp"), F.lit("name"), F.lit("score"), F.lit("rdp")).alias("field"), kind(F.lit("1.5"), name, F.lit("1"), F.lit("abc")).alias("value"))
+
+
+def new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products to create, half of which are stored already."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").where(k % 5 == 0).select(F.concat(F.lit("sku:p"), k.cast("string")).alias("fingerprint"), F.col("p_name").alias("name"), F.when(k % 3 == 0, F.col("p_retailprice")).alias("rdp"))
+
+
+def slug_drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts that want their name's slug, with few SKUs, and the slugs that some of them hold already."""
+    k = F.col("p_partkey")
+    name = F.concat_ws(" ", "p_name", "p_brand")
+    sku = F.concat(F.lit("P-"), (k % 3).cast("string"))
+    drafts = table(spark, sf_dir, "part").select(F.concat(F.lit("sku:p"), k.cast("string")).alias("fingerprint"), k.alias("arrival"), name.alias("name"), sku.alias("sku"), F.lit(None).cast("string").alias("slug"))
+    return drafts, spark.createDataFrame([], "slug string, owner string")

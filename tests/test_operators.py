@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import catalog, images, ingest, pricing, quality, store
+from shelfspark.operators import catalog, images, ingest, pricing, quality, slugs, store
 from shelfspark.sources import workbook
 from shelfspark.sources.testdata import products
 
@@ -45,6 +45,37 @@ def test_patches(spark):
     assert sorted(r["outcome"] for r in store.patch_outcomes(rows, patches).collect()) == ["failed", "failed", "unchanged", "updated"]
 
 
+def test_patches_of_one_field_and_bad_values(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0, [])], "id long, name string, rdp double, locked_fields array<string>")
+    patches = spark.createDataFrame([(1, "name", "b"), (1, "name", "c"), (1, "rdp", "abc")], "id long, field string, value string")
+    r = store.patch(rows, patches).first()
+    assert (r["name"], r["rdp"], r["changed_fields"]) == ("c", 1.0, ["name"])
+    assert {(x["field"], x["outcome"]) for x in store.patch_outcomes(rows, patches).collect()} == {("name", "updated"), ("rdp", "failed")}
+
+
+def test_create_locks_what_is_given(spark):
+    stored = spark.createDataFrame([("a", "x", 1.0, [])], "fingerprint string, name string, rdp double, locked_fields array<string>")
+    new = spark.createDataFrame([("a", "y", 2.0), ("b", "z", None)], "fingerprint string, name string, rdp double")
+    got = {(r["fingerprint"], r["outcome"]): r for r in store.create(stored, new).collect()}
+    assert set(got) == {("a", "kept"), ("a", "conflict"), ("b", "created")} and got["b", "created"]["locked_fields"] == ["name"]
+
+
+def test_slugs(spark):
+    shape = "fingerprint string, arrival long, name string, sku string, slug string"
+    rows = [("f1", 1, "Cable", "A", None), ("f2", 2, "Cable", "A", None), ("f3", 3, "Cable", "A", None), ("f4", 4, "Cable", None, None), ("f5", 5, "Cable A 2", None, None), ("f6", 6, "Plug", "B", None), ("f7", 7, "Plug", "B", "plug"), ("f8", 8, "Hub", "C", None)]
+    reserved = spark.createDataFrame([("plug", "other"), ("plug-b-3", "f7"), ("hub", "f8")], "slug string, owner string")
+    got = {r["fingerprint"]: r["slug"] for r in slugs.resolve(spark.createDataFrame(rows, shape), reserved, lambda d: d.cache()).collect()}
+    assert got == {"f1": "cable", "f2": "cable-a", "f3": "cable-a-3", "f4": "cable-2", "f5": "cable-a-2", "f6": "plug-b", "f7": "plug-b-3", "f8": "hub"}
+    assert slugs.resolve(spark.createDataFrame([], shape), reserved, lambda d: d.cache()).isEmpty()
+
+
+def test_slugs_of_two_bases_meet(spark):
+    shape = "fingerprint string, arrival long, name string, sku string, slug string"
+    rows = [("a1", 1, "x", None, "x"), ("a2", 2, "x", None, "x"), ("b1", 3, "x", "2", "y"), ("b2", 4, "x", "2", "y"), ("b3", 5, "x", "2", "y")]
+    got = {r["fingerprint"]: r["slug"] for r in slugs.resolve(spark.createDataFrame(rows, shape), spark.createDataFrame([], "slug string, owner string"), lambda d: d.cache()).collect()}
+    assert got["a1"] == "x" and got["b1"] == "y" and got["a2"] == "x-2" and len(set(got.values())) == 5
+
+
 def test_near_duplicates_lose_no_pair(spark):
     names = ["anker usb c cable 1m", "anker usb c cable 2m", "usb c cable anker 1m", "wall charger compact 25w", "wall charger compact 25 w", "wall charger compct 25w", "short", "shart"] + [f"item number {i}" for i in range(20)]
     df = spark.createDataFrame([(i, n, "b", True) for i, n in enumerate(names)], "id long, name string, brand string, is_active boolean")
