@@ -7,8 +7,9 @@ each class meets its nearest neighbours in the order. Candidates are checked on
 joined to components.
 
 Near copies in their thousands would give all pairs. In a dense region only a spanning forest of the most
-similar pairs is checked first; where its members do not end in one component, those outside the largest
-are compared with all others on full sets, so the outcome is that of all pairs.
+similar pairs is checked first, and a region too large for one task is dealt out. Where the members of a
+dense or crowded region do not end in one component, those outside the largest are compared with the hubs
+and then, by a join on rare shingles, with all others on full sets, so the outcome is that of all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.core import Tables, narrow
@@ -30,6 +31,12 @@ TREES, DEPTH, LEAST, REGION, NEAR = 16, 8, 3, 256, 8
 HOT = 20_000
 #: Pairs a class has in a region before only a spanning forest of them is checked.
 DENSE = 6
+#: Hubs of a crowded region that its members are compared with first, and parts that a hub's comparisons are dealt to.
+HUBS, DEAL = 4, 64
+#: Sets that shingles are counted in, for the order of the join on rare ones, and shingles that are remembered.
+COUNTED, COMMON = 20_000, 300_000
+#: Sets with one shingle that one task compares.
+SHARE = 2_000
 HASHES = TREES * DEPTH
 SKETCH = 64
 _A = np.random.default_rng(99).integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -73,7 +80,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         for lo, hi, buf, offsets in chunks(batch.column(1), "ascii"):
             h, begin = _sets(*shingles(Words(buf, offsets), k))
             sets = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["doc", "items"])
+            more = batch.schema.names[2:]  # further columns stay
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets, *(batch.column(c).slice(lo, hi - lo) for c in more)], ["doc", "items", *more])
 
 
 def _region_of(sig: np.ndarray) -> np.ndarray:
@@ -84,11 +92,26 @@ def _region_of(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], crowds=None) -> Iterator[pa.RecordBatch]:
+    """Regions of each class; with `crowds`, a broadcast table of 2**24 bits, only those whose bit is set."""
     for batch in batches:
         if batch.num_rows:
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
-            yield pa.RecordBatch.from_arrays([pa.array(_region_of(sig).reshape(-1).view(np.int64))], ["region"])
+            region, each = _region_of(sig).reshape(-1), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES)
+            if crowds is not None:
+                at = region & np.uint64((1 << 24) - 1)
+                in_ = (crowds.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+                region, each = region[in_], each[in_]
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(each)], ["region", "doc"])
+
+
+def _bits(ids: DataFrame, name: str) -> np.ndarray:
+    """A table of 2**24 bits, as 2**18 longs, with the lowest bits of each id set."""
+    at = ids.select(F.expr(f"{name} & {(1 << 24) - 1}").alias("at"))
+    rows = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toArrow()
+    out = np.zeros(1 << 18, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,41 +289,110 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _rest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The links between a group's members in different components, from full sets.
+def _prefixes(batches: Iterator[pa.RecordBatch], common, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each set the rarest shingles, so many that two sets at the threshold have one of them in common.
 
-    Each member that is not in the group's largest component is compared with all others at once, by
-    marking its shingles: one pass over the group's sets, and only links leave the task.
+    Any fixed order of shingles will do, a good one makes few pairs. `parts`: how many tasks share a shingle.
     """
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, comp, lists = table["doc"].to_numpy(), table["component"].to_numpy(), table["items"].combine_chunks()
+    keys, counts, parts = common.value
+    for batch in batches:
+        lists = batch.column(1)
         begin = lists.offsets.to_numpy().astype(np.int64)
-        code = np.unique(lists.values.to_numpy()[begin[0] : begin[-1]], return_inverse=True)[1]
-        begin = begin - begin[0]
-        n, mark = np.diff(begin), np.zeros(int(code.max()) + 1, np.int32)
-        names, counts = np.unique(comp, return_counts=True)
-        for i in np.flatnonzero(comp != names[counts.argmax()]).tolist():
-            own = code[begin[i] : begin[i + 1]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[code], begin[:-1])
-            mark[own] = 0
-            j = np.flatnonzero((100 * both >= percent * (n + n[i] - both)) & (comp != comp[i]))
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[j], doc[i])), pa.array(np.maximum(doc[j], doc[i]))], ["a", "b"])
+        values = lists.values.to_numpy(zero_copy_only=False)
+        lo, m = 0, len(begin) - 1
+        while lo < m:
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + 1_000_000, side="right")) - 1)
+            h, n = values[begin[lo] : begin[hi]], np.diff(begin[lo : hi + 1])
+            of = np.repeat(np.arange(hi - lo), n)
+            if len(keys):
+                near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[near] == h
+                count, part = np.where(hit, counts[near], 0), np.where(hit, parts[near], 1)
+            else:
+                count, part = np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
+            order = np.lexsort((h, count, of))
+            at = np.arange(len(h)) - np.repeat(begin[lo:hi] - begin[lo], n)
+            take = at < np.repeat(n - (n * percent + 99) // 100 + 1, n)
+            row = of[take]
+            side = [batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("doc", "component", "outside")]
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][take]), pa.array(part[order][take]), pa.array(at[take]), pa.array(n[row]), *side], ["item", "parts", "at", "n", "doc", "component", "outside"])
+            lo = hi
+
+
+def _rare_pairs(sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Pairs (a, b) in different components, one `outside`, that may reach the threshold: none that does is missing.
+
+    Shingles are ordered by how many of at most about COUNTED sets hold them. Two sets at the threshold
+    share a shingle of their prefixes, and the first shared one leaves enough behind it in both.
+    """
+    total = max(sets.count(), 1)
+    some = sets if total <= COUNTED else sets.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(-(-total // COUNTED))) == 0)
+    scale = max(1, -(-total // COUNTED))
+    top = some.select(F.explode("items").alias("item")).groupBy("item").count().where("count > 1").orderBy(F.desc("count"), "item").limit(COMMON).toArrow()
+    keys, counts = top["item"].to_numpy(), top["count"].to_numpy()
+    order = np.argsort(keys)
+    common = sets.sparkSession.sparkContext.broadcast((keys[order], counts[order], 1 + counts[order] * scale // SHARE))
+    rows = tables.save(sets.mapInArrow(partial(_prefixes, common=common, percent=percent), "item long, parts long, at long, n long, doc long, component long, outside boolean"))
+    left = rows.where("outside").select("item", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("at").alias("at_a"), F.col("n").alias("n_a"), F.col("doc").alias("a"), F.col("component").alias("of_a"))
+    right = rows.select("item", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("doc").alias("b"), F.col("component").alias("of_b"))
+    enough = (100 + percent) * (1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)) >= percent * (F.col("n_a") + F.col("n_b"))
+    return left.join(right, ["item", "part"]).where((F.col("of_a") != F.col("of_b")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hub_links(outside: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members outside the largest component with hubs of their group; a hub's set is dealt to DEAL parts."""
+    part = F.pmod(F.xxhash64("doc"), F.lit(DEAL)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("part")
+    pairs = outside.withColumn("part", part).join(hubs.select("grp", "hub", every), ["grp", "part"]).where("doc <> hub").select("doc", "hub", "part").distinct()
+    x = sets.select("doc", F.col("items").alias("x"))
+    y = sets.select(F.col("doc").alias("hub"), F.col("items").alias("y")).join(hubs.select("hub").distinct(), "hub").select("hub", "y", every)
+    both = F.size(F.array_intersect("x", "y"))
+    near = pairs.join(x, "doc").join(y, ["hub", "part"]).where(100 * both >= percent * (F.size("x") + F.size("y") - both))
+    return near.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        g = batch.column(0).to_numpy(zero_copy_only=False)
-        for part in np.split(np.arange(len(g)), np.flatnonzero(g[1:] != g[:-1]) + 1):
-            if not len(part):
-                continue
-            if held and held[-1].column(0)[-1].as_py() != g[part[0]]:
-                yield from work(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(int(part[0]), len(part)))
-    if held:
-        yield from work(pa.Table.from_batches(held))
+
+def _placed(members: DataFrame, comps: DataFrame, tables: Tables) -> DataFrame:
+    """Members (grp, doc, component, outside) of groups that are not one component."""
+    placed = tables.save(members.join(comps, F.col("doc") == F.col("node"), "left").select("grp", "doc", F.coalesce("component", "doc").alias("component")))
+    sizes = placed.groupBy("grp", "component").count()
+    main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
+    part = F.pmod(F.xxhash64("doc"), F.lit(DEAL)).cast("int")  # a large group's members are dealt out
+    main = main.select("grp", "main", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("part"))
+    open_ = placed.withColumn("part", part).join(main, ["grp", "part"]).select("grp", "doc", "component", (F.col("component") != F.col("main")).alias("outside"))
+    return tables.save(open_)
+
+
+def _rest(members: DataFrame, own: DataFrame, links: DataFrame, comps: DataFrame, words: int, percent: int, tables: Tables) -> DataFrame:
+    """Components after all links between members of a group, in whatever number, are found.
+
+    Hubs come first, as they may link most of a crowd; what stays outside a group's largest component is
+    then compared with all that shares a rare shingle.
+    """
+    open_ = _placed(members, comps, tables)
+    if open_.isEmpty():
+        return comps
+    who = open_.groupBy("doc").agg(F.first("component").alias("component"), F.max("outside").alias("outside"))
+    ids = tables.save(who.select(F.col("doc").alias("id")))
+    text = _marked(own, "doc_id", ids).where("_may").join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+    sets = tables.save(text.mapInArrow(partial(_full_sets, k=words), "doc long, items array<long>").distinct())
+
+    crowded = open_.groupBy("grp").count().where(F.col("count") > REGION).select("grp")
+    both = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("links"))
+    best = open_.join(crowded, "grp", "left_semi").join(both, "doc").groupBy("grp", "component").agg(F.max_by("doc", F.struct("links", -F.col("doc"))).alias("hub"), F.max("links").alias("links"))
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("links"), "hub"))
+    hubs = tables.save(best.withColumn("_rank", rank).where(F.col("_rank") <= HUBS).select("grp", "hub"))
+    if not hubs.isEmpty():
+        more = tables.save(_hub_links(open_.where("outside").select("grp", "doc"), hubs, sets, percent).distinct())
+        if not more.isEmpty():
+            links = tables.save(links.union(more))
+            comps = tables.save(components(links, tables))
+            open_ = _placed(members, comps, tables)
+            if open_.isEmpty():
+                return comps
+    who = open_.groupBy("doc").agg(F.first("component").alias("component"), F.max("outside").alias("outside"))
+    pairs = tables.save(_rare_pairs(sets.join(who, "doc"), percent, tables))
+    more = tables.save(_checked(pairs, sets, percent))
+    return comps if more.isEmpty() else tables.save(components(links.union(more), tables))
 
 
 def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -334,9 +426,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "sig")
 
     forest = reps.mapInArrow(_trees, "region long, key binary, doc long, n long, sketch binary")
-    regions = reps.mapInArrow(_regions, "region long").groupBy("region").count().where(F.col("count") > HOT)
-    regions = tables.save(regions)
-    if not regions.isEmpty():  # a hot region goes by its full order, and what is alike even there by chance
+    crowds = tables.save(reps.mapInArrow(_regions, "region long, doc long").groupBy("region").count().where(F.col("count") > min(REGION, HOT)))
+    regions = crowds.where(F.col("count") > HOT)
+    if not regions.isEmpty():  # a hot region goes by its full order, and what is alike even there by chance; `_rest` makes up for it
         salt = F.pmod(F.xxhash64("doc", "region"), F.ceil(F.col("count") / HOT))
         forest = forest.join(regions, "region", "left").withColumn("region", F.when(F.col("count").isNull(), F.col("region")).otherwise(F.xxhash64("region", "key", salt))).drop("count")
     forest = forest.repartition(parts, "region").sortWithinPartitions("region", "key", "doc")
@@ -349,16 +441,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = tables.save(_checked(pairs, sets, percent))
     comps = tables.save(components(links, tables))
 
-    # groups of which only a forest was checked, and which are not one component: check what is left
+    # groups of which only a forest was checked and regions too large for all pairs: find what is left
     members = found.where("grp <> 0").select("grp", F.col("a").alias("doc"))
-    member_comp = members.join(comps, F.col("doc") == F.col("node"), "left").select("grp", "doc", F.coalesce("component", "doc").alias("component"))
-    split = member_comp.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("grp")
-    open_ = tables.save(member_comp.join(split, "grp").select("grp", "doc", "component"))
-    if not open_.isEmpty():
-        rows = open_.join(sets, "doc").select("grp", "doc", "component", "items").repartition(parts, "grp").sortWithinPartitions("grp", "doc")
-        more = tables.save(rows.mapInArrow(partial(_rest, percent=percent), "a long, b long").distinct())
-        if not more.isEmpty():
-            comps = tables.save(components(links.union(more), tables))
+    if not crowds.isEmpty():  # a few other regions may be taken with them
+        members = members.union(reps.mapInArrow(partial(_regions, crowds=spark.sparkContext.broadcast(_bits(crowds, "region"))), "region long, doc long"))
+    comps = _rest(tables.save(members), own, links, comps, words, percent, tables)
 
     named = classes.drop("sig").join(comps, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     known = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")

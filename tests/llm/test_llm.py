@@ -131,6 +131,22 @@ def test_near_duplicates(spark, docs, k):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in want.items() if i == c) and kept.columns == ["doc_id", "text", "TEXT2"]
 
 
+def test_near_duplicates_hub_and_spokes(spark, monkeypatch):
+    """Copies that are near one hub only, in regions larger than a task takes, all reach it."""
+    monkeypatch.setattr(dedup, "HOT", 10)
+    rng, rows = np.random.default_rng(8), []
+    for hub in range(2):
+        base = [f"h{hub}w{i}" for i in range(201)]
+        rows.append((hub, " ".join(base)))
+        for i in range(450):
+            words = list(base)
+            for at in rng.choice(np.arange(1, 100), 11, replace=False):
+                words[2 * at] = f"own{hub}x{i}x{at}"
+            rows.append((1000 * (hub + 1) + i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == {i: 0 if i in (0, *range(1000, 1450)) else 1 for i in got} and len(got) == 902
+
+
 def test_near_duplicates_odd(spark, odd):
     got = dedup.near_duplicates(odd, 2, 80)
     assert got.count() == odd.count() and dedup.near_duplicates(odd.limit(0)).count() == 0
