@@ -179,6 +179,46 @@ def test_decontaminate(spark, odd):
     assert decontaminate.remove(odd, bench).count() == odd.count() and decontaminate.find(df, bench.limit(0)).count() == 0
 
 
+def test_masks_hit_every_overlap():
+    """The fewest differing words that avoid all masks are more than an overlap of that length may have."""
+    masks, span = [(int(m, 2), len(m)) for m in decontaminate.MASKS], max(map(len, decontaminate.MASKS))
+    least = {0: 0}
+    for n in range(1, 32):
+        after = {}
+        for state, cost in least.items():
+            for same in (0, 1):
+                t = state << 1 | same
+                if not any(n >= size and t & m == m for m, size in masks):
+                    t &= (1 << span) // 2 - 1
+                    after[t] = min(after.get(t, 99), cost + 1 - same)
+        least = after
+        assert n < decontaminate.LEAST_WORDS or min(least.values()) > min(n - decontaminate.LEAST_WORDS, int(n * (1 - decontaminate.LEAST_SHARE)))
+
+
+def test_decontaminate_against_all_diagonals(spark):
+    rng, item_words, docs = np.random.default_rng(6), [], []
+    for i in range(60):
+        item_words.append([f"i{i}w{j}" for j in range(int(rng.integers(10, 45)))])
+        for c in range(5):
+            w = list(item_words[i])
+            cut = sorted(rng.choice(len(w) + 1, 2, replace=False))
+            if c and cut[1] - cut[0] >= 10:
+                w = w[cut[0] : cut[1]]
+            most = int(len(w) * 0.25)
+            places = range(3, len(w), 4) if c == 4 else rng.choice(len(w), most, replace=False)
+            for at in places:
+                w[at] = f"other{i}x{c}x{at}"
+            docs.append((10 * i + c, " ".join(["before"] * int(rng.integers(0, 5)) + w + ["after"] * int(rng.integers(0, 5)))))
+    bench = [(i, " ".join(w)) for i, w in enumerate(item_words)]
+    x, want = decontaminate.index([i for i, _ in bench], [t for _, t in bench]), set()
+    for doc, text in docs:
+        [(_, _, w, h)] = decontaminate._word_hashes(decontaminate.pa.array([text]))
+        every = np.array([(i, d) for i in [doc // 10] for d in range(-len(item_words[i]) + 1, len(h))])
+        want |= {(doc, i, *best) for i, best in decontaminate.overlaps(h, 0, len(h), every, x, 10, 0.75).items()}
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
 def test_packing(spark, docs, odd):
     from tokenizers import Tokenizer
 
