@@ -246,6 +246,18 @@ def test_packing(spark, docs, odd):
     assert packing.pack(packing.tokenize(df.limit(0), queries.tokenizer_path())).count() == 0
 
 
+def test_packing_texts_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["ab<|endoftext|>cd", "<|endoftext|>", " two  words  <|endoftext|> and  <|endoftext|><|endoftext|>\n", "<|endoftext", "word <|endoftext|> " * 1500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in packing.tokenize(df, queries.tokenizer_path(), keep_ids=True).orderBy("doc_id", "piece").collect():
+        got[r["doc_id"]] += r["ids"]
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)} and got[0] == [397, 50256, 10210, 0]
+
+
 def test_best_fit_keeps_every_capacity():
     n = np.sort(np.random.default_rng(5).integers(1, 60, 500))[::-1]
     for rule in ("norm", "dot"):
