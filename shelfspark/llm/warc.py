@@ -6,12 +6,15 @@ headers (name to value), block. The writer and reader turn them into WARC/1.1 fi
 
 from __future__ import annotations
 
+import html as entities
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from shelfspark.llm.core import narrow
 
@@ -32,14 +35,18 @@ def uuid_of(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(entities.unescape, na_action="ignore")
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: no comments, scripts, styles or tags, block ends as line ends, entities decoded, white space folded."""
     t = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?is)<(script|style|noscript)[^a-z][^>]*>.*?</(script|style|noscript)>|(?is)<(script|style|noscript)>.*?</(script|style|noscript)>", " ")
     t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title)[^>]*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = F.replace(_decoded(t), F.lit("\u00a0"), F.lit(" "))  # all names and numbers of HTML5, in one pass
     t = F.regexp_replace(t, "[ \\t\\r\\f\\x0B]+", " ")
     t = F.regexp_replace(t, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")

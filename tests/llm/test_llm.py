@@ -58,6 +58,13 @@ def test_warc_links_and_round_trip(spark, tmp_path):
     assert back.where("block_digest <> payload_digest").count() == 0 and warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_text_decodes_all_entities(spark):
+    page = "<p>&copy; 2024 &middot; caf&eacute; it&#8217;s &#xe9;&nbsp;x &amp;copy; &hellip; &lt;b&gt; AT&T &bogus;</p><footer>a&nbsp;&nbsp;b</footer>"
+    made = warc.derive(warc.responses(spark.createDataFrame([(1, "http://a.org/", page), (2, "", None)], "page_id long, url string, html string")))
+    got = {r["page_id"]: r["block"] for r in made.where("record_type = 'conversion'").collect()}
+    assert got == {1: "\u00a9 2024 \u00b7 caf\u00e9 it\u2019s \u00e9 x &copy; \u2026 <b> AT&T &bogus;\na b", 2: ""}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
