@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +41,33 @@ def score_matches(found: DataFrame, products: DataFrame, least: float = POLICY.i
     return rows.select("folder", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + move)), 3).alias("score")).where(F.col("score") >= least)
 
 
-def assign(scores: DataFrame, save, most_rounds: int = 50) -> DataFrame:
+def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of pairs that come in order, those whose folder and product are both free."""
+    folders, ids = set(), set()
+    for p in parts:
+        keep = []
+        for folder, i in zip(p["folder"].tolist(), p["id"].tolist(), strict=True):
+            free = folder not in folders and i not in ids
+            keep.append(free)
+            if free:
+                folders.add(folder)
+                ids.add(i)
+        yield p[keep]
+
+
+def assign(scores: DataFrame, save, at_once: int = 200_000) -> DataFrame:
     """One-to-one links, the best score first: pairs that are each other's best are kept, round by round.
 
-    `save` writes a table and reads it back (a checkpoint); rounds end when no pair is left. With the total
-    order score, folder, id the links are those of taking pairs greedily.
+    `save` writes a table and reads it back (a checkpoint). Equal or falling scores may give one link a round;
+    at most `at_once` pairs are therefore taken in order by one task, and above that rounds go on until no
+    pair is left. With the total order score, folder, id the links are those of taking pairs greedily.
     """
-    left, out = save(scores), None
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    left, out = save(scores.select("folder", "id", "score")), None
+    while n := left.count():
+        if n <= at_once:
+            ordered = left.repartition(1).sortWithinPartitions(F.desc("score"), "folder", "id")
+            rest = ordered.mapInPandas(_in_order, left.schema)
+            return rest if out is None else out.unionByName(rest)
         order = F.struct(F.col("score").alias("s"))
         by_folder = left.groupBy("folder").agg(F.max_by("id", F.struct(order, -F.col("id"))).alias("best_id"))
         by_id = left.groupBy("id").agg(F.min_by("folder", F.struct((-F.col("score")).alias("s"), "folder")).alias("best_folder"))
@@ -55,7 +75,7 @@ def assign(scores: DataFrame, save, most_rounds: int = 50) -> DataFrame:
         both = save(both)
         out = both if out is None else out.unionByName(both)
         left = save(left.join(both.select("folder"), "folder", "left_anti").join(both.select("id"), "id", "left_anti"))
-    return left.limit(0) if out is None else out
+    return left if out is None else out
 
 
 def suggestions(scores: DataFrame, k: int = 3) -> DataFrame:

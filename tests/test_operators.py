@@ -98,6 +98,20 @@ def test_links_are_one_to_one(spark):
     assert got == {("g", 1), ("f", 2)}
 
 
+def test_links_of_equal_and_falling_scores_are_all_made(spark):
+    equal = [(f"f{i:03}", j, 0.8) for i in range(60) for j in range(60)]
+    falling = [(f"g{i:03}", 100 + i + d, 0.9 - 0.002 * (2 * i + d)) for i in range(70) for d in (0, 1)]
+    pairs, used, want = [*equal, *falling], set(), set()
+    for folder, i, score in sorted(pairs, key=lambda x: (-x[2], x[0], x[1])):
+        if folder not in used and i not in used:
+            used |= {folder, i}
+            want.add((folder, i))
+    got = images.assign(spark.createDataFrame(pairs, "folder string, id long, score double"), lambda d: d.localCheckpoint())
+    assert sorted((r["folder"], r["id"]) for r in got.collect()) == sorted(want) and len(want) == 130
+    few = spark.createDataFrame([x for x in pairs if x[0] < "f004" and x[1] < 4], "folder string, id long, score double")
+    assert {(r["folder"], r["id"]) for r in images.assign(few, lambda d: d.localCheckpoint(), at_once=0).collect()} == {(f"f{i:03}", i) for i in range(4)}
+
+
 def test_workbook(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
         z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Must Buy" sheetId="1" r:id="r1"/></sheets></workbook>')
