@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it is known to be no larger than this.
@@ -21,12 +23,19 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is, as in tests."""
+    """The folder that driver and executors share, as the session names it; a temporary one only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="shelfspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="shelfspark-"))
+    return _LOCAL[0]
+
+
+#: The folder of local mode, once made.
+_LOCAL: list[str] = []
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -64,12 +73,42 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def spread(*keys: str) -> Column:
+    """A fixed order of rows that tells nothing of them."""
+    return F.xxhash64(*keys, F.lit(17))
+
+
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows, chosen by a hash of their key: a fixed bound for what a model is fitted on.
 
     Keys are counted first, so that only about that many whole rows are sorted.
     """
     n = df.where(F.col(key).isNotNull()).count()
-    spread = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30))
+    at = F.pmod(spread(key), F.lit(1 << 30))
     cut = min(1.0, 1.3 * most / max(n, 1) + 50 / max(n, 1))
-    return df.where(F.col(key).isNotNull() & (spread < int(cut * (1 << 30)))).orderBy(spread, key).limit(most)
+    return df.where(F.col(key).isNotNull() & (at < int(cut * (1 << 30)))).orderBy(at, key).limit(most)
+
+
+def sample_of_each(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """(key, by) of at most `most` rows for each value of `by`, in one narrow pass.
+
+    Each task keeps its first `most` of a value before anything is shuffled, so a frequent one costs no more.
+    """
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(spread(key), key))
+    return df.where(F.col(key).isNotNull() & F.col(by).isNotNull()).select(key, by).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def gathered(features: DataFrame, size: str, most: int) -> pa.Table:
+    """Rows of a bounded sample, so many in the order of `spread(doc_id)` that their `size` sums up to `most`.
+
+    The features are made on the executors and saved; of them only that bound comes to the driver. Of rows
+    that share a doc_id one counts.
+    """
+    tables = Tables(features.sparkSession)
+    one = features.groupBy("doc_id").agg(F.min(F.struct(size, *(c for c in features.columns if c not in ("doc_id", size)))).alias("_row")).select("doc_id", "_row.*")
+    kept = tables.save(one.withColumn("_at", spread("doc_id")))
+    sizes = kept.select("_at", size).orderBy("_at").toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes[size].to_numpy()), most, side="right"))
+    if not fits:
+        return kept.limit(0).toArrow()
+    return kept.where(F.col("_at") <= sizes["_at"][fits - 1].as_py()).orderBy("_at").toArrow()

@@ -8,24 +8,25 @@ gives each word's label probabilities; a document's are their mean over words wi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.core import bounded_sample, held_out, narrow
+from shelfspark.llm.core import Tables, gathered, held_out, narrow, sample_of_each
 from shelfspark.llm.words import Words, chunks, mix
 
 BITS = 16
 AFFIXES = (2, 3, 4)
 BLOCK = 128
 UNKNOWN = "und"
-#: Most frequent words of each language in its lexicon; words of a fitting sequence.
-LEXICON, SEQUENCE = 400, 48
+#: Most frequent words of each language in its lexicon; words of a fitting sequence, and runs of them that a text gives.
+LEXICON, SEQUENCE, RUNS = 400, 48, 12
 _TRI = np.random.default_rng(5).integers(1, 2**63, (3, 256), dtype=np.uint64)
 
 
@@ -33,7 +34,7 @@ _TRI = np.random.default_rng(5).integers(1, 2**63, (3, 256), dtype=np.uint64)
 class Model:
     labels: list[str]
     weights: np.ndarray  # (2**BITS, labels)
-    lexicon: np.ndarray  # (2**BITS,) bits of the languages in whose lexicon the hashed word is
+    lexicon: np.ndarray  # (2**BITS,) a number for the languages in whose lexicon the hashed word is
     transitions: np.ndarray  # (labels, labels), logarithms
     start: np.ndarray
 
@@ -46,7 +47,7 @@ def features(w: Words, lexicon: np.ndarray) -> list[np.ndarray]:
     """One slot per word of each kind; trigrams are apart, as words differ in how many they have."""
     word = w.hashes()
     known = lexicon[_slot(word)]
-    kinds = [word, mix(known.astype(np.uint64) + np.uint64(991))]
+    kinds = [word, mix(known + np.uint64(991))]
     for k in AFFIXES:
         kinds += [w.prefixes(k), w.suffixes(k)]
     return [_slot(h) for h in kinds]
@@ -178,43 +179,40 @@ def label_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     return labels, scores
 
 
-def fit(texts: list[str], langs: list[str], sequences: int = 3000, rounds: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Model:
-    """Weights that raise the likelihood of labelled sequences, each made of one to three runs of texts of one language."""
-    labels = sorted(set(langs))
+def lexicon_table(words: dict[str, list[str]]) -> np.ndarray:
+    """For each slot a number that stands for the languages whose words have it, of any count of languages."""
+    out = np.zeros(1 << BITS, np.uint64)
+    for y, lang in enumerate(sorted(words)):
+        for _, _, buf, offsets in chunks(pa.array([" ".join(words[lang])]), None, 1 << 30):
+            at = np.unique(_slot(Words(buf, offsets).hashes()))
+            out[at] += mix(np.full(1, y + 1, np.uint64))
+    return out
+
+
+def fit(runs: dict[str, list[list[str]]], lexicon: np.ndarray, sequences: int = 3000, rounds: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Model:
+    """Weights that raise the likelihood of labelled sequences, each made of one to three stretches of one language.
+
+    `runs`: for each language, lower-cased words in a row from its texts.
+    """
+    labels = sorted(x for x in runs if any(runs[x]))
     k = len(labels)
     if not k:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(1 << BITS, np.int64), np.zeros((0, 0)), np.zeros(0))
-    rng = np.random.default_rng(seed)
-    of = np.array([labels.index(x) for x in langs])
-    words = [np.array(t.lower().split()[:50_000], dtype=object) for t in texts]
-    counts: list[dict[str, int]] = [{} for _ in labels]
-    for ws, y in zip(words, of, strict=True):
-        for x in set(ws):
-            counts[y][x] = counts[y].get(x, 0) + 1
-    lexicon = np.zeros(1 << BITS, np.int64)
-    for y, c in enumerate(counts):
-        top = sorted((x for x in c if c[x] > 1), key=lambda x: (-c[x], x))[:LEXICON]
-        if top:
-            text = pa.array([" ".join(top)])
-            for _, _, buf, offsets in chunks(text):
-                lexicon[_slot(Words(buf, offsets).hashes())] |= 1 << (y % 60)
-    usable = [np.array([i for i in np.flatnonzero(of == y) if len(words[i])]) for y in range(k)]
-    langs_with = [y for y in range(k) if len(usable[y])]
-    if not langs_with:
         return Model([], np.zeros((1 << BITS, 0), np.float32), lexicon, np.zeros((0, 0)), np.zeros(0))
+    rng = np.random.default_rng(seed)
+    usable = [[r for r in runs[x] if r] for x in labels]
     made, gold = [], []
     for _ in range(sequences):
         row: list[str] = []
         ys: list[int] = []
         cuts = sorted(rng.integers(6, SEQUENCE - 6, int(rng.integers(0, 3))).tolist())
         for size in np.diff([0, *cuts, SEQUENCE]):
-            y = langs_with[int(rng.integers(len(langs_with)))]
+            y = int(rng.integers(k))
             left = int(size)
             while left > 0:
-                ws = words[int(rng.choice(usable[y]))]
+                ws = usable[y][int(rng.integers(len(usable[y])))]
                 s = int(rng.integers(max(1, len(ws) - left + 1)))
                 got = ws[s : s + left]
-                row += list(got)
+                row += got
                 ys += [y] * len(got)
                 left -= len(got)
         made.append(" ".join(row))
@@ -252,22 +250,49 @@ def fit(texts: list[str], langs: list[str], sequences: int = 3000, rounds: int =
         weights += rate * grad / np.sqrt(sq_w)
         # expected transitions
         right = (p * backward).reshape(n, t_len, k)[:, 1:]
-        joint = forward.reshape(n, t_len, k)[:, :-1, :, None] * np.exp(trans) * right[..., None, :]
-        joint /= joint.sum((-1, -2), keepdims=True)
-        g = (pairs - joint.sum((0, 1))) / n - decay * trans
+        left, right, step = forward.reshape(n, t_len, k)[:, :-1].reshape(-1, k), right.reshape(-1, k), np.exp(trans)
+        joint = step * (left.T @ (right / ((left @ step) * right).sum(1, keepdims=True)))
+        g = (pairs - joint) / n - decay * trans
         sq_t += g**2
         trans += rate * g / np.sqrt(sq_t)
     return Model(labels, weights.astype(np.float32), lexicon, trans, start)
 
 
-def train(docs: DataFrame, per_language: int = 300) -> Model:
-    """Fits on at most `per_language` labelled rows of each language that are not held out: a fixed bound."""
-    own = narrow(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    langs = sorted(r[0] for r in own.select(F.col("lang").cast("string").alias("lang")).distinct().collect())
-    rows = []
-    for lang in langs:
-        rows += bounded_sample(own.where(F.col("lang") == lang), "doc_id", per_language).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to RUNS stretches of SEQUENCE words from all over each text, and its distinct words."""
+    for batch in batches:
+        runs, words = [], []
+        for text in batch.column(2).to_pylist():
+            ws = text.lower().split()
+            draw = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
+            at = draw.integers(0, max(1, len(ws) - SEQUENCE + 1), min(RUNS, 1 + len(ws) // SEQUENCE))
+            runs.append([" ".join(ws[i : i + SEQUENCE]) for i in sorted(at.tolist())])
+            words.append(sorted(set(ws)))
+        size = pa.array([sum(map(len, r)) for r in runs], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(runs, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], ["doc_id", "lang", "size", "runs", "words"])
+
+
+def train(docs: DataFrame, per_language: int = 300, most_bytes: int = 48 << 20, **how) -> Model:
+    """Fits on at most `per_language` labelled rows of each language that are not held out: a fixed bound.
+
+    One narrow pass draws the rows of all languages and one reads their texts. The executors send
+    stretches of words, of all rows `most_bytes` together, and each language's frequent words. Texts without
+    letters and null languages do not count.
+    """
+    tables = Tables(docs.sparkSession)
+    own = narrow(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    ids = F.broadcast(tables.save(sample_of_each(own.where(~held_out()), "doc_id", "lang", per_language).distinct()))  # at most `per_language` ids a language
+    drawn = own.where(F.col("text").rlike(r"\p{L}")).join(ids, ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    made = tables.save(drawn.mapInArrow(_runs, "doc_id long, lang string, size long, runs array<string>, words array<string>"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    often = made.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count().where("count > 1")
+    words: dict[str, list[str]] = {}
+    for lang, word in often.withColumn("_rank", rank).where(F.col("_rank") <= LEXICON).select("lang", "word").collect():  # at most LEXICON a language
+        words.setdefault(lang, []).append(word)
+    runs: dict[str, list[list[str]]] = {}
+    for row in gathered(made.select("doc_id", "lang", "size", "runs"), "size", most_bytes).to_pylist():
+        runs.setdefault(row["lang"], []).extend(r.split(" ") for r in row["runs"])
+    return fit(runs, lexicon_table(words), **how)
 
 
 def _apply(batches: Iterator[pa.RecordBatch], model, at: int, keep: float | None) -> Iterator[pa.RecordBatch]:

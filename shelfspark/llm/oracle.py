@@ -1,3 +1,77 @@
 """SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+UNUSABLE = "list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'max') = 1"
+
+NEAREST = f"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT ({UNUSABLE}) AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0
+), d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM v AS q JOIN v ON len(q.e) = len(v.e) AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def uuid_of(text: str) -> str:
+    h = f"sha256({text})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {s}, {n})" for s, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+#: The pages hold these entities only; the operator decodes all.
+ENTITIES = (("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def plain_text(html: str) -> str:
+    steps = (
+        (r"(?s)<!--.*?-->", "' '"),
+        (r"(?is)<(script|style|noscript)[^a-z][^>]*>.*?</(script|style|noscript)>|<(script|style|noscript)>.*?</(script|style|noscript)>", "' '"),
+        (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title)[^>]*>", "chr(10)"),
+        (r"(?s)<[^>]*>", "' '"),
+    )
+    for pattern, by in steps:
+        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
+    for name, char in ENTITIES:
+        html = f"replace({html}, '{name}', '{char}')"
+    for pattern, by in ((r"[ \t\r\f\x0B]+", "' '"), (r" ?\n[ \n]*", "chr(10)"), (r"^[ \n]+|[ \n]+$", "''")):
+        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
+    return html
+
+
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, 'sha256:' || sha256(coalesce(html, '')) AS digest FROM pages),
+s AS (
+  SELECT *, {uuid_of("'response' || chr(31) || coalesce(CAST(page_id AS VARCHAR), '') || chr(31) || url || chr(31) || digest")} AS source_id,
+    {plain_text("html")} AS text, regexp_replace(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)), '[ \\r\\n\\t]+', ' ', 'g') AS title FROM p
+), b AS (
+  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    'source-header: Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'source-header: Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10)
+    || 'source-payload-digest: ' || digest || chr(13) || chr(10) || 'source-length: ' || octet_length(encode(html)) || chr(13) || chr(10)
+    || 'title: ' || title || chr(13) || chr(10) || 'text-length: ' || length(text) || chr(13) || chr(10) AS block FROM s
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM s
+)
+SELECT page_id, record_type, {uuid_of("record_type || chr(31) || source_id")} AS record_id, source_id AS refers_to, url AS target_uri, '1970-01-01T00:00:00Z' AS date, content_type,
+  'sha256:' || sha256(block) AS payload_digest, digest AS source_digest, CAST(octet_length(encode(block)) AS BIGINT) AS content_length, block FROM b
+"""
+
+#: Exact: every pair of documents that share a shingle, by their full sets.
+NEAR_DUPLICATES = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS shingle FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM (SELECT * FROM s JOIN n USING (doc_id)) AS a
+  JOIN (SELECT * FROM s JOIN n USING (doc_id)) AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * both_ >= 80 * (x.n + y.n - both_)
+), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, to_) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.node, w.b FROM reach AS r JOIN both_ways AS w ON r.to_ = w.a),
+least_ AS (SELECT node, min(to_) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component, d.doc_id) AS component_id, coalesce(l.component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_ AS l ON l.node = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_nearest": NEAREST, "op2_warc": WARC, "op5_minhash": NEAR_DUPLICATES}

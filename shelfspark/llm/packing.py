@@ -129,18 +129,15 @@ def best_fit(lengths: np.ndarray, capacity: int, docs: int, attention: float, ru
     scale = np.array([capacity, docs, attention], float)
     w = np.array(weights)
     open_: dict[tuple[int, int, int], list[int]] = {}
-    state = np.zeros((0, 3))
     keys: list[tuple[int, int, int]] = []
-    stale, made = True, 0
+    row: dict[tuple[int, int, int], int] = {}
+    states, made = np.zeros((64, 3)), 0
     # Bins opened by pieces of one length are alike: the scored states stay few.
     for i, n in enumerate(lengths.tolist()):
         need = (n, 1, n * n)
-        if stale:
-            keys = list(open_)
-            state = np.array(keys, float).reshape(-1, 3)
-            stale = False
         best = None
-        if len(keys):
+        if keys:
+            state = states[: len(keys)]
             left = state - need
             fits = (left >= 0).all(1)
             if fits.any():
@@ -156,18 +153,18 @@ def best_fit(lengths: np.ndarray, capacity: int, docs: int, attention: float, ru
             b, room = heapq.heappop(open_[best]), best
             if not open_[best]:
                 del open_[best]
-                at = keys.index(best)
-                keys[at] = keys[-1]
-                state[at] = state[-1]
-                keys.pop()
-                state = state[:-1]
+                at, last = row.pop(best), keys.pop()
+                if at < len(keys):  # the last state takes the place of this one
+                    keys[at], row[last], states[at] = last, at, states[len(keys)]
         bins[i], offsets[i] = b, capacity - room[0]
         left_over = (room[0] - n, room[1] - 1, room[2] - n * n)
         if min(left_over) > 0:
             if left_over not in open_:
-                open_[left_over] = []
+                open_[left_over], row[left_over] = [], len(keys)
+                if len(keys) == len(states):
+                    states = np.concatenate([states, np.zeros_like(states)])
+                states[len(keys)] = left_over
                 keys.append(left_over)
-                state = np.vstack([state, left_over])
             heapq.heappush(open_[left_over], b)
     return bins, offsets
 
@@ -200,13 +197,13 @@ def _place(batches: Iterator[pa.RecordBatch], capacity: int, docs: int, attentio
     yield from flush()
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int = 2048, max_attention: float = 2048.0**2, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1), at_once: int = 20_000) -> DataFrame:
-    """Pieces with the sequence and offset they go to.
+def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int = 256, max_attention: float = 2048.0**2, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1), at_once: int = 20_000) -> DataFrame:
+    """Pieces with the sequence and offset they go to; no sequence is over any of the three capacities.
 
-    Pieces that fill a sequence alone are not moved. The rest is dealt by hash and packed in each
+    Pieces, of which only numbers and not their texts are moved, are dealt by hash and packed in each
     partition, `at_once` pieces at a time, which bounds a task's memory; each such group leaves about one
-    sequence part-filled. Sequences are numbered by partition. Ties go by length, doc_id, piece. An empty
-    table gives no rows.
+    sequence part-filled. Sequences are numbered by partition. Ties go by length, doc_id, piece. A piece
+    over a capacity by itself is alone in a sequence. An empty table gives no rows.
     """
     spark = pieces.sparkSession
     names = [c for c in pieces.columns]

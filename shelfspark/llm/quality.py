@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.core import bounded_sample, held_out, narrow
-from shelfspark.llm.words import _BYTE, _PLACE, Words, chunks, mix
+from shelfspark.llm.core import gathered, held_out, narrow, sample_of_each
+from shelfspark.llm.words import _BYTE, Words, chunks, mix, places
 
 WORD_BITS, SHAPE_BITS = 14, 10
 SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 4
@@ -31,7 +31,7 @@ _CLASS[48:58] = ord("0")
 class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(SIZE))
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    grades: list[int] = field(default_factory=lambda: [0])
+    grades: list[int] = field(default_factory=list)
 
 
 def _shapes(w: Words) -> np.ndarray:
@@ -42,8 +42,8 @@ def _shapes(w: Words) -> np.ndarray:
     rank = np.cumsum(new)
     begin = np.zeros(len(c), np.int64)
     begin[w.start] = rank[w.start]
-    place = (rank - np.maximum.accumulate(begin)) & 4095
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(new, _BYTE[c] * _PLACE[place], np.uint64(0)))])
+    place = np.maximum(rank - np.maximum.accumulate(begin), 0)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(new, _BYTE[c] * places(place), np.uint64(0)))])
     return mix(sums[w.end] - sums[w.start])
 
 
@@ -79,20 +79,29 @@ def tails(texts: pa.Array, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x[:, None] - model.thresholds, -40, 40)))
 
 
-def fit(texts: list[str], grades: list[int], decay: float = 1e-6, rounds: int = 500, rate: float = 1.0) -> Model:
-    """Maximum likelihood with ordered thresholds: the first and positive steps. One grade or none: no thresholds."""
-    levels = sorted(set(grades))
+def features(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The distinct features of each text, as lists of their numbers and of their summed values."""
+    begin, cells, values = [np.zeros(1, np.int64)], [], []
+    for lo, hi, doc, cell, value in _cells(texts):
+        key, back = np.unique(doc * np.int64(SIZE) + cell, return_inverse=True)
+        begin.append(np.searchsorted(key, np.arange(1, hi - lo + 1) * SIZE) + begin[-1][-1])
+        cells.append((key % SIZE).astype(np.int32))
+        values.append(np.bincount(back, value).astype(np.float32))
+    at = pa.array(np.concatenate(begin).astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate([*cells, np.zeros(0, np.int32)]))), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*values, np.zeros(0, np.float32)])))
+
+
+def fit(begin: np.ndarray, cell: np.ndarray, value: np.ndarray, grades: np.ndarray, decay: float = 1e-6, rounds: int = 500, rate: float = 1.0) -> Model:
+    """Maximum likelihood with ordered thresholds: the first and positive steps. One grade or none: no thresholds.
+
+    Row i has the features begin[i] to begin[i + 1].
+    """
+    levels = sorted(set(grades.tolist()))
     if len(levels) < 2:
-        return Model(grades=levels or [0])
-    y = np.array([levels.index(g) for g in grades])
-    docs, cells, values = [], [], []
-    for lo, _, d, c, v in _cells(pa.array(texts, pa.string())):
-        docs.append(d + lo)
-        cells.append(c)
-        values.append(v)
-    key, back = np.unique(np.concatenate(docs) * np.int64(SIZE) + np.concatenate(cells), return_inverse=True)
-    value = np.bincount(back, np.concatenate(values))
-    doc, cell = key // SIZE, key % SIZE
+        return Model(grades=levels)
+    y = np.searchsorted(levels, grades)
+    doc = np.repeat(np.arange(len(y)), np.diff(begin))
+    cell, value = cell.astype(np.int64), value.astype(float)
     over = y[:, None] > np.arange(len(levels) - 1)
     share = np.clip(over.mean(0), 1e-3, 1 - 1e-3)
     first, steps = -np.log(share[0] / (1 - share[0])), np.zeros(len(levels) - 2)
@@ -121,24 +130,42 @@ def fit(texts: list[str], grades: list[int], decay: float = 1e-6, rounds: int =
     return Model(w, first + np.concatenate([[0], np.cumsum(np.log1p(np.exp(steps)))]), levels)
 
 
-def train(docs: DataFrame, ratings: DataFrame, per_grade: int = 2500, **how) -> Model:
-    """Fits on at most `per_grade` rated rows of each grade that are not held out; `ratings` has doc_id and grade."""
-    own = narrow(docs, "doc_id", "text")
-    marks = narrow(ratings, "doc_id", "grade").where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    marks = marks.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    texts, ys = [], []
-    for (grade,) in sorted(marks.select("grade").distinct().collect()):
-        ids = F.broadcast(bounded_sample(marks.where(F.col("grade") == grade), "doc_id", per_grade))  # at most `per_grade` ids
-        rows = own.join(ids, "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(per_grade).collect()
-        texts += [r["text"] or "" for r in rows]
-        ys += [grade] * len(rows)
-    return fit(texts, ys, **how)
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cells, values = features(batch.column(2))
+        size = pa.array(np.diff(cells.offsets.to_numpy()).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, cells, values], ["doc_id", "grade", "size", "cells", "values"])
+
+
+def train(docs: DataFrame, ratings: DataFrame, per_grade: int = 2500, most_features: int = 3_000_000, **how) -> Model:
+    """Fits on at most `per_grade` rated rows of each grade that are not held out; `ratings` has doc_id and grade.
+
+    The executors read the texts and send numbered features, of all rows `most_features` together, whatever
+    the texts' length. A doc_id with several grades counts with the least, null grades not at all.
+    """
+    own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marks = narrow(ratings, "doc_id", "grade").where(F.col("grade").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"), F.col("grade").cast("int"))
+    ids = F.broadcast(sample_of_each(marks.groupBy("doc_id").agg(F.min("grade").alias("grade")), "doc_id", "grade", per_grade))  # at most `per_grade` ids a grade
+    made = own.join(ids, "doc_id").select("doc_id", "grade", "text").mapInArrow(_featured, "doc_id long, grade int, size long, cells array<int>, values array<float>")
+    rows = gathered(made, "size", most_features)
+    cells, values = (rows[c].combine_chunks() for c in ("cells", "values"))
+    begin = np.concatenate([[0], np.cumsum(rows["size"].to_numpy())])
+    return fit(begin, cells.flatten().to_numpy(), values.flatten().to_numpy(), rows["grade"].to_numpy(), **how)
+
+
+def over(model: Model, grade: int) -> Column:
+    """P(grade > `grade`) of a graded row, whichever grades the model has seen; 0 if it has seen none."""
+    k = sum(g <= grade for g in model.grades)
+    if 0 < k < len(model.grades):
+        return F.get("tails", F.lit(k - 1))
+    return F.lit(1.0 if model.grades and k == 0 else 0.0)
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected_grade and `tails`, the probabilities of a grade over each but the last, from the text alone.
 
-    Null and empty texts are graded by their length alone; repeated rows get the same grade.
+    Null and empty texts are graded by their length alone; repeated rows get the same grade. Where one grade
+    was seen all have it, where none was, the expected grade is 0.
     """
     own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -147,7 +174,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         for batch in batches:
             p = tails(batch.column(1), m)
-            mean = m.grades[0] + p @ np.diff(m.grades)
+            mean = m.grades[0] + p @ np.diff(m.grades) if m.grades else np.zeros(len(p))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(mean, float)), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "expected_grade", "tails"])
 
     return own.mapInArrow(run, "doc_id long, expected_grade double, tails array<double>")

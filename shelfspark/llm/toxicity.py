@@ -1,21 +1,25 @@
 """A toxicity classifier fitted with a counterfactual penalty.
 
 Features are the words of a text and their prefixes, hashed, each once a text. Besides the log loss the
-fit penalises the squared change of score when an identity term is swapped for another of its kind, so
-that naming a group moves no score by itself.
+fit penalises the squared change of score between twins of a labelled sentence, so that naming a group
+moves no score by itself. Twins of a sentence with identity terms have each swapped for another of its
+kind; twins of one without name one of two groups at its end.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.core import bounded_sample, held_out, narrow
+from shelfspark.llm.core import gathered, held_out, narrow, sample_of_each
 from shelfspark.llm.words import Words, chunks
 
 BITS = 20
@@ -70,62 +74,74 @@ def score_texts(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def _doc_slots(texts: list[str]) -> list[np.ndarray]:
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-    for lo, hi, slots, doc in _text_features(pa.array(texts, pa.string())):
-        cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-        for i in range(hi - lo):
-            out[lo + i] = np.unique(slots[cut[i] : cut[i + 1]])
-    return out
+def doc_slots(texts: pa.Array) -> pa.ListArray:
+    """The distinct features of each text, sorted."""
+    begin, found = [np.zeros(1, np.int64)], []
+    for lo, hi, slots, doc in _text_features(texts):
+        key = np.unique((doc[:, None] * np.int64(1 << BITS) + slots).ravel())
+        begin.append(np.searchsorted(key, np.arange(1, hi - lo + 1) << BITS) + begin[-1][-1])
+        found.append((key & ((1 << BITS) - 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(begin).astype(np.int32)), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+
+
+_TERM = re.compile(r"[^\W_]+")
 
 
-def swapped(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> str | None:
-    """The text with each identity term replaced by the next of its kind; None if it has none."""
-    turn = {t: group[(i + 1) % len(group)] for group in terms for i, t in enumerate(group)}
-    words = text.lower().split()
-    new = [turn.get(w.strip(".,;:!?\"'()"), w) for w in words]
-    return " ".join(new) if new != words else None
+def twins(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> tuple[str, str]:
+    """Two texts that differ in the groups they name only: the text and the same with each term swapped, or,
+    where it names none, the text with either of two terms added. The text itself draws the terms."""
+    turn = zlib.crc32(text.encode("utf-8", "replace"))
+    kind = {t: group for group in terms for t in group}
+    other = lambda t: (g := kind[t])[(g.index(t) + 1 + turn % (len(g) - 1)) % len(g)]
+    low = text.lower()
+    new = _TERM.sub(lambda m: other(m[0]) if m[0] in kind else m[0], low)
+    if new != low:
+        return low, new
+    group = terms[turn % len(terms)]
+    one = group[(turn >> 8) % len(group)]
+    return f"{low} {one}", f"{low} {other(one)}"
 
 
-def fit(texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 1.0, decay: float = 2e-3, kept: int = 20_000, least: int = 4, rounds: int = 400) -> Model:
+def fit(rows: pa.Table, penalty: float = 1.0, decay: float = 2e-3, kept: int = 20_000, least: int = 4, rounds: int = 400) -> Model:
     """Logistic regression over the `kept` features that tell the labels apart best, each in `least` texts at least.
 
-    Without rows of both labels the model is a low constant. Rows of a label weigh so that both have their
-    share of the total.
+    `rows` has the label `toxic` and the features `slots`, and those of the row's twins, `one` and `two`.
+    Without rows of both labels the model is a low or high constant.
     """
-    y = np.array(labels, float)
+    y = rows["toxic"].to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         return Model(bias=4.0 if len(y) and y.min() == 1 else -4.0)
-    docs = _doc_slots(texts)
-    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for s, label in zip(docs, y, strict=True):
-        (pos if label else neg)[s] += 1
+
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = rows[name].combine_chunks()
+        return column.flatten().to_numpy(), np.repeat(np.arange(len(column), dtype=np.int32), np.diff(column.offsets.to_numpy()))
+
+    slot, row = lists("slots")
+    pos = np.bincount(slot[y[row] == 1], minlength=1 << BITS)
+    neg = np.bincount(slot[y[row] == 0], minlength=1 << BITS)
     n1, n0 = y.sum(), len(y) - y.sum()
     a, b = pos + 0.5, neg + 0.5
-    spread = np.sqrt(1 / a + 1 / b)
-    z = (np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))) / spread
+    z = (np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))) / np.sqrt(1 / a + 1 / b)
     able = np.flatnonzero((pos + neg >= least) & (np.abs(z) > 2.5))
     slots = np.sort(able[np.argsort(-np.abs(z[able]), kind="stable")[:kept]])
     place = np.full(1 << BITS, -1, np.int64)
     place[slots] = np.arange(len(slots))
 
-    def rows(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own = [place[s][place[s] >= 0] for s in items]
-        return np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    def used(slot: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = place[slot]
+        return at[at >= 0], row[at >= 0]
 
-    col, row = rows(docs)
-    twins = [(i, t) for i, x in enumerate(texts) if (t := swapped(x, terms)) is not None]
-    twin_col, twin_row = rows(_doc_slots([t for _, t in twins]))
-    own_col, own_row = rows([docs[i] for i, _ in twins])
+    col, row = used(slot, row)
+    one_col, one_row = used(*lists("one"))
+    two_col, two_row = used(*lists("two"))
     w, bias, step = np.zeros(len(slots)), float(np.log(n1 / n0)), 0.5
     sq, sq_b = np.full(len(slots), 1e-4), 1e-4
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + bias, -40, 40)))
         gap = (p - y) / len(y)
-        g = np.bincount(col, gap[row], len(slots)) + decay / len(slots) ** 0.5 * w
-        if twins:
-            change = (np.bincount(own_row, w[own_col], len(twins)) - np.bincount(twin_row, w[twin_col], len(twins))) * 2 * penalty / len(twins)
-            g += np.bincount(own_col, change[own_row], len(slots)) - np.bincount(twin_col, change[twin_row], len(slots))
+        change = (np.bincount(one_row, w[one_col], len(y)) - np.bincount(two_row, w[two_col], len(y))) * 2 * penalty / len(y)
+        g = np.bincount(col, gap[row], len(slots)) + decay / max(len(slots), 1) ** 0.5 * w
+        g += np.bincount(one_col, change[one_row], len(slots)) - np.bincount(two_col, change[two_row], len(slots))
         gb = gap.sum()
         sq, sq_b = sq + g**2, sq_b + gb**2
         w -= step * g / np.sqrt(sq)
@@ -133,18 +149,26 @@ def fit(texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...]
     return Model(slots, w, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000, **how) -> Model:
-    """Fits on at most `most` labelled rows of each label that are not held out, the same bound for any size."""
-    own = narrow(docs, "doc_id", "text")
-    marks = narrow(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts, ys = [], []
-    for y in (0, 1):
-        ids = F.broadcast(bounded_sample(marks.where(F.col("toxic") == y), "doc_id", most))  # at most `most` ids
-        rows = own.join(ids, "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(most).collect()
-        texts += [r["text"] or "" for r in rows]
-        ys += [y] * len(rows)
-    return fit(texts, ys, **how)
+def _featured(batches: Iterator[pa.RecordBatch], terms: tuple[tuple[str, ...], ...]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(2)
+        one, two = zip(*(twins(t or "", terms) for t in texts.to_pylist()), strict=True) if batch.num_rows else ((), ())
+        lists = [doc_slots(x) for x in (texts, pa.array(one, pa.large_string()), pa.array(two, pa.large_string()))]
+        size = pa.array(sum(np.diff(x.offsets.to_numpy()) for x in lists).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, *lists], ["doc_id", "toxic", "size", "slots", "one", "two"])
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_features: int = 12_000_000, terms: tuple[tuple[str, ...], ...] = IDENTITY, **how) -> Model:
+    """Fits on at most `most` labelled rows of each label that are not held out, the same bound for any size.
+
+    The executors read the texts and send numbered features, of all rows `most_features` together, whatever
+    the texts' length. A doc_id with both labels counts as toxic; other labels count not at all.
+    """
+    own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marks = narrow(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
+    ids = F.broadcast(sample_of_each(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "toxic", most))  # at most `most` ids a label
+    made = own.join(ids, "doc_id").select("doc_id", "toxic", "text").mapInArrow(partial(_featured, terms=terms), "doc_id long, toxic int, size long, slots array<int>, one array<int>, two array<int>")
+    return fit(gathered(made, "size", most_features), **how)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

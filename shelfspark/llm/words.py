@@ -24,6 +24,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def places(at: np.ndarray) -> np.ndarray:
+    """An odd factor for each place in a word; no place, however far, has that of another."""
+    near = at < len(_PLACE)
+    if near.all():
+        return _PLACE[at]
+    far = mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return np.where(near, _PLACE[np.where(near, at, 0)], far)
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of consecutive texts that lie in one buffer."""
 
@@ -39,9 +48,8 @@ class Words:
         self.start, self.end = np.flatnonzero(start), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         at = np.arange(n)
-        place = (at - np.maximum.accumulate(np.where(start, at, 0))) & 4095 if n else at
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * _PLACE[place], out=self.sums[1:])
+        np.cumsum(_BYTE[buf] * places(at - np.maximum.accumulate(np.where(start, at, 0)) if n else at), out=self.sums[1:])
         #: First and last word of each text, as positions in the arrays.
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 

@@ -51,7 +51,7 @@ def test_warc_links_and_round_trip(spark, tmp_path):
     made = warc.derive(warc.responses(pages)).cache()
     assert made.count() == 6 and made.where("refers_to is null").count() == 0
     text = made.where("page_id = 1 and record_type = 'conversion'").first()
-    assert text["block"] == "T & t\nOne\nTwo <3" and text["headers"]["WARC-Source-Payload-Digest"].startswith("sha256:")
+    assert text["block"] == "T & t\nOne\nTwo <3" and dict(text["headers"])["WARC-Source-Payload-Digest"].startswith("sha256:")
     warc.write(made, str(tmp_path / "w"))
     back = warc.read(spark, str(tmp_path / "w"))
     assert sorted(map(str, back.select("record_id", "refers_to", "block").collect())) == sorted(map(str, made.select("record_id", "refers_to", "block").collect()))
@@ -202,35 +202,69 @@ def test_masks_hit_every_overlap():
         assert n < decontaminate.LEAST_WORDS or min(least.values()) > min(n - decontaminate.LEAST_WORDS, int(n * (1 - decontaminate.LEAST_SHARE)))
 
 
-def test_decontaminate_against_all_diagonals(spark):
-    rng, item_words, docs = np.random.default_rng(6), [], []
-    for i in range(60):
-        item_words.append([f"i{i}w{j}" for j in range(int(rng.integers(10, 45)))])
-        for c in range(5):
-            w = list(item_words[i])
-            cut = sorted(rng.choice(len(w) + 1, 2, replace=False))
-            if c and cut[1] - cut[0] >= 10:
-                w = w[cut[0] : cut[1]]
-            most = int(len(w) * 0.25)
-            places = range(3, len(w), 4) if c == 4 else rng.choice(len(w), most, replace=False)
-            for at in places:
-                w[at] = f"other{i}x{c}x{at}"
-            docs.append((10 * i + c, " ".join(["before"] * int(rng.integers(0, 5)) + w + ["after"] * int(rng.integers(0, 5)))))
-    bench = [(i, " ".join(w)) for i, w in enumerate(item_words)]
-    x, want = decontaminate.index([i for i, _ in bench], [t for _, t in bench]), set()
-    for doc, text in docs:
-        [(_, _, w, h)] = decontaminate._word_hashes(decontaminate.pa.array([text]))
-        every = np.array([(i, d) for i in [doc // 10] for d in range(-len(item_words[i]) + 1, len(h))])
-        want |= {(doc, i, *best) for i, best in decontaminate.overlaps(h, 0, len(h), every, x, 10, 0.75).items()}
-    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
-    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+def most_agreeing(doc, item, least, share):
+    """Brute force: over all diagonals and runs of words, the most agreeing words of an overlap."""
+    top = 0
+    for d in range(-len(item) + 1, len(doc)):
+        same = [doc[i + d] == item[i] for i in range(max(0, -d), min(len(item), len(doc) - d))]
+        count = np.concatenate([[0], np.cumsum(same)])
+        for i in range(len(same)):
+            for j in range(i + 1, len(same) + 1):
+                agree = count[j] - count[i]
+                if agree >= min(least, len(item)) and agree >= share * (j - i) - 1e-9:
+                    top = max(top, int(agree))
+    return top
+
+
+def planted(seed, n):
+    """Documents with a part of their item, words replaced and others around; few or many different words."""
+    rng, docs, items = np.random.default_rng(seed), {}, {}
+    for i in range(n):
+        v = int(rng.choice([2, 4, 1000]))
+        items[i] = [f"v{v}w{rng.integers(v)}" for _ in range(int(rng.integers(1, 32)))]
+        core = ["zz" if rng.random() < 0.2 else w for w in items[i]]
+        around = lambda: [f"v{v}w{rng.integers(v)}" for _ in range(int(rng.integers(0, 8)))]  # noqa: B023, E731
+        docs[i] = around() + core + around() + (core if i % 7 == 0 else [])
+    return docs, items
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_decontaminate_against_all_diagonals(spark, most_bytes):
+    """By broadcast and by join: every document and item that overlap by brute force are found, and no others."""
+    docs, items = planted(6, 40)
+    got = collections.defaultdict(list)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    for r in decontaminate.find(df, bench, most_bytes=most_bytes).collect():
+        got[r["doc_id"], r["item_id"]].append((r["start_word"], r["n_words"], r["n_match"]))
+    want = {(d, i): n for d in docs for i in items if set(docs[d]) & set(items[i]) and (n := most_agreeing(docs[d], items[i], 10, 0.75))}
+    assert {k: max(m for _, _, m in v) for k, v in got.items()} == want and len(want) > 40
+    for found in got.values():
+        found.sort()
+        assert all(s + n <= t for (s, n, _), (t, _, _) in zip(found[:-1], found[1:], strict=True))
+    clean = {r["doc_id"] for r in decontaminate.remove(df, bench, most_bytes=most_bytes).collect()}
+    assert clean == {d for d in docs if not any(k[0] == d and len(items[k[1]]) >= 4 for k in want)}
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_decontaminate_repeats_ties_and_long_texts(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(decontaminate, "SHARE", 50)
+    monkeypatch.setattr(decontaminate, "ITEMS", 1)
+    item = " ".join(f"i{k}" for k in range(12))
+    df = spark.createDataFrame([(1, item), (1, item), (2, "word " * 3000), (None, f"{item} x {item}"), (4, None), (5, "")], "doc_id long, text string").withColumn("TEXT_", F.lit(1))
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "word " * 30), (9, None), (None, item)], "item_id long, text string").withColumn("Text_", F.lit(1))
+    got = collections.Counter((r["doc_id"], r["item_id"], r["start_word"], r["n_match"]) for r in decontaminate.find(df, bench, most_bytes=most_bytes).collect())
+    assert got.pop((1, 7, 0, 12)) == 4 and got.pop((None, 7, 0, 12)) == 2 and got.pop((None, 7, 13, 12)) == 2
+    assert {k[:2] for k in got} == {(2, 8)} and len(got) == 100 and {k[3] for k in got} == {30}
+    left = decontaminate.remove(df, bench, most_bytes=most_bytes)
+    assert sorted(r["doc_id"] for r in left.collect()) == [4, 5] and left.columns == df.columns
+    assert decontaminate.remove(df, bench.limit(0), most_bytes=-1).count() == 6 and decontaminate.find(df.limit(0), bench, most_bytes=most_bytes).count() == 0
 
 
 def test_packing(spark, docs, odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     df = docs.select("doc_id", "text").unionByName(odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
     texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
     got = packing.pack(packing.tokenize(df, queries.tokenizer_path())).collect()
