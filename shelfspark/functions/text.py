@@ -97,3 +97,7 @@ def truncate(c: Column, most: int) -> Column:
 def encode_path(c: Column) -> Column:
     """Percent-encoded segments; slashes stay."""
     return F.array_join(F.transform(F.split(c, "/"), lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))), "/")
+
+
+def to_posix(c: Column) -> Column:
+    return F.replace(c, F.lit("\\"), F.lit("/"))

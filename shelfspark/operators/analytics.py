@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.config import POLICY, Policy
 from shelfspark.functions.money import js_round, non_zero, total
 
-DIMENSIONS = {"category": "category", "subcategory": "condition", "brand": "brand", "supplier": "supplier", "procurement": "procurement", "source": "source_catalog", "currency": "currency"}
+DIMENSIONS = {"category": "category", "subcategory": "subcategory", "brand": "brand", "supplier": "supplier", "procurement": "procurement", "source": "source_catalog", "currency": "currency"}
 
 
 def _value(price: str) -> Column:
@@ -88,3 +88,14 @@ def dashboard(scored: DataFrame) -> dict[str, DataFrame]:
         "summary": summary(scored), "by_category": inventory_value(scored), "top_profitable": top_profitable(scored, 10), "margin_bands": margin_bands(scored),
         "low_margin": low_margin(scored, limit=10), "suppliers": supplier_breakdown(scored), "procurement": procurement_baskets(scored),
     }
+
+
+def dashboard_derived(scored: DataFrame, policy: Policy = POLICY) -> DataFrame:
+    """Active products that are not publishable yet, and how many of the alerts are loss makers."""
+    ready = (F.col("score") >= policy.min_quality) & ~F.col("is_blocked")
+    return scored.where("is_active").agg(F.count("*").alias("products"), _count(~ready).alias("needs_work"), _count(F.col("band") == "loss").alias("loss_makers"))
+
+
+def chart_top(groups: DataFrame, most: int = 12) -> DataFrame:
+    """The first groups that have any value, the dearest first."""
+    return groups.where("cost > 0 OR retail > 0").orderBy(F.desc("cost"), "group").limit(most)

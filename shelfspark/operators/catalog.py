@@ -33,8 +33,13 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def admin_filter(**q) -> Column:
-    """Conditions of the admin list: search, brand, sku, members, flags, issue_code, issue_severity, has_issues, min_ and max_ of price, margin, quality, quantity."""
+def _is_brand(names: list[str]) -> Column:
+    """Both sides as keys, so that case, marks and spaces do not tell."""
+    return F.array_contains(F.array(*(normalize_key(F.lit(n)) for n in names)), normalize_key(F.col("brand")))
+
+
+def admin_filter(searched: tuple[str, ...] = ("name", "brand", "sku"), **q) -> Column:
+    """Conditions of the admin list: search (in the columns `searched`, description too where a table has it), brand, sku, members, flags, issue_code, issue_severity, has_issues, min_ and max_ of price, margin, quality, quantity."""
     out: list[Column] = []
     as_list = lambda v: v.split(",") if isinstance(v, str) else list(v)
     for key, v in q.items():
@@ -42,9 +47,9 @@ def admin_filter(**q) -> Column:
             continue
         if key == "search":
             words = F.split(normalize_key(F.lit(v)), " ")
-            out.append(F.arrays_overlap(F.split(normalize_key(F.concat_ws(" ", "name", "brand", "sku")), " "), words))
+            out.append(F.arrays_overlap(F.split(normalize_key(F.concat_ws(" ", *searched)), " "), words))
         elif key == "brand":
-            out.append(normalize_key(F.col("brand")).isin([x.strip().lower() for x in as_list(v)]))
+            out.append(_is_brand(as_list(v)))
         elif key == "sku":
             out.append(sku_key(F.col("sku")) == sku_key(F.lit(v)))
         elif key in MEMBER:
@@ -80,24 +85,30 @@ def public(df: DataFrame) -> DataFrame:
     """What a shop may show, of published rows only; costs, margins and suppliers are not among it."""
     shown = F.coalesce("norm_selling_price", "selling_price")
     return df.where(published()).select(
-        "id", slugify(F.concat_ws(" ", "name", F.col("id").cast("string"))).alias("slug"), "name", "brand", "category", "sku", shown.alias("shown_price"),
+        "id", (F.col("slug") if "slug" in df.columns else slugify(F.concat_ws(" ", "name", F.col("id").cast("string")))).alias("slug"), "name", "brand", "category", "sku", shown.alias("shown_price"),
         F.when(F.col("norm_selling_price").isNotNull(), "EGP").otherwise(F.col("currency")).alias("shown_currency"), (F.col("quantity") - F.coalesce("reserved", F.lit(0)) > 0).alias("in_stock"), "has_image", "score", "updated",
     )
 
 
-def public_list(df: DataFrame, search: str | None = None, category: list[str] | None = None, brand: list[str] | None = None, min_price: float | None = None, max_price: float | None = None, in_stock: bool | None = None, has_image: bool | None = None, sort: str = "featured") -> DataFrame:
+def public_list(df: DataFrame, search: str | None = None, category: list[str] | None = None, subcategory: list[str] | None = None, brand: list[str] | None = None, min_price: float | None = None, max_price: float | None = None, in_stock: bool | None = None, has_image: bool | None = None, sort: str = "featured") -> DataFrame:
+    """Published rows. `in_stock` and `has_image` ask for rows that have a quantity or an image; false asks for nothing."""
+    if subcategory:
+        df = df.where(F.col("subcategory").isin(subcategory))
+    if in_stock:
+        df = df.where("quantity > 0")
     out, rows = [], public(df)
     if search:
         out.append(reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(c), F.lit(search.lower())), F.lit(False)) for c in ("name", "brand", "sku"))))
     if category:
         out.append(F.col("category").isin(category))
     if brand:
-        out.append(normalize_key(F.col("brand")).isin([b.lower() for b in brand]))
+        out.append(_is_brand(brand))
     if min_price is not None:
         out.append(F.col("shown_price") >= min_price)
     if max_price is not None:
         out.append(F.col("shown_price") <= max_price)
-    out += [F.col(c) == want for c, want in (("in_stock", in_stock), ("has_image", has_image)) if want is not None]
+    if has_image:
+        out.append(F.col("has_image"))
     return rows.where(_all(out)).orderBy(*(F.asc(c) if up else F.desc(c) for c, up in PUBLIC_SORTS[sort]), "id")
 
 

@@ -9,33 +9,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.config import FOLDER_HINTS, POLICY
-from shelfspark.functions.text import key_similarity, normalize_key, sku_key
+from shelfspark.functions.text import key_similarity, normalize_key
 
 
 def folders(files: DataFrame, root_depth: int = 0) -> DataFrame:
     """folder, category hint, number of images and the first image, from a listing of relative paths `<Category>/<Product>/...`."""
     part = lambda i: F.get(F.split("path", "/"), F.lit(root_depth + i))
     hint = lambda j: F.element_at(F.create_map(*(F.lit(x) for k, v in FOLDER_HINTS.items() for x in (k, v[j]))), part(0))
-    photos = files.where(F.lower("path").rlike(r"\.(jpe?g|png|webp|avif|gif)$") & (F.size(F.split("path", "/")) > root_depth + 2))
+    photos = files.where(F.lower("path").rlike(_PHOTO) & (F.size(F.split("path", "/")) > root_depth + 2))
     return photos.groupBy(F.concat_ws("/", part(0), part(1)).alias("folder"), part(1).alias("title"), hint(0).alias("category"), hint(1).alias("subcategory")).agg(F.count("*").alias("n_images"), F.min("path").alias("primary_image"))
 
 
+def product_images(files: DataFrame, root_depth: int = 0) -> DataFrame:
+    """Each product folder's images in order: a folder's own before those of its sub-folders, then by name.
+
+    `variant` is the sub-folder right under the product's; the first image is the primary one.
+    """
+    parts = F.split("path", "/")
+    part = lambda i: F.get(parts, F.lit(root_depth + i))
+    photos = files.where(F.lower("path").rlike(_PHOTO) & (F.size(parts) > root_depth + 2))
+    variant = F.when(F.size(parts) > root_depth + 3, part(2))
+    # at each level files come before folders: a folder's name sorts after the mark of a file
+    steps = F.slice(parts, root_depth + 3, F.size(parts))
+    key = F.concat_ws("/", F.transform(steps, lambda s, i: F.concat(F.when(i == F.size(steps) - 1, "0").otherwise("1"), F.lower(s))))
+    one = photos.select(F.concat_ws("/", part(0), part(1)).alias("folder"), F.struct(key.alias("key"), "path", variant.alias("variant")).alias("i"))
+    listed = one.groupBy("folder").agg(F.sort_array(F.collect_list("i")).alias("l"))  # one product's photos
+    image = lambda i, n: F.struct(i["path"].alias("path"), F.lit(None).cast("string").alias("url"), i["variant"].alias("variant"), (n == 0).alias("is_primary"))
+    return listed.select("folder", F.transform("l", image).alias("images"))
+
+
+_PHOTO = r"\.(jpe?g|png|webp|avif|gif)$"
+
+
 def score_matches(found: DataFrame, products: DataFrame, least: float = POLICY.image_link) -> DataFrame:
-    """folder, id and score of pairs that share a word or an SKU and reach `least`.
+    """folder, id and score of pairs that share a word, or an SKU that stands in the folder's name, and reach `least`.
 
-    Candidates come from equal words, the folder's rarest first as far as a link can need: a pair without a
-    common word could only be linked by edits inside every word. Words that name a category are left to the score.
+    A pair without a common word could else only be linked by edits inside every word; those are not looked for.
     """
     f = found.select("folder", "category", "subcategory", normalize_key(F.col("title")).alias("fk"))
-    p = products.select("id", F.col("category").alias("pc"), F.col("subcategory").alias("ps") if "subcategory" in products.columns else F.lit(None).cast("string").alias("ps"), normalize_key(F.col("name")).alias("pk"), sku_key(F.col("sku")).alias("sk"))
-    fw = f.select("folder", F.explode(F.array_distinct(F.array_append(F.split("fk", " "), F.replace(F.col("fk"), F.lit(" "), F.lit(""))))).alias("word"))
-    pw = p.select("id", F.explode(F.array_distinct(F.array_compact(F.array_append(F.split("pk", " "), F.col("sk"))))).alias("word"))
-    pairs = fw.where("word <> ''").join(pw, "word").select("folder", "id").distinct()
+    p = products.select("id", F.col("category").alias("pc"), F.col("subcategory").alias("ps") if "subcategory" in products.columns else F.lit(None).cast("string").alias("ps"), normalize_key(F.col("name")).alias("pk"), normalize_key(F.col("sku")).alias("sk"))
+    fw = f.select("folder", F.explode(F.array_distinct(F.split("fk", " "))).alias("word"))
+    pw = p.select("id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "pk", "sk"), " "))).alias("word"))
+    by_word = fw.where("word <> ''").join(pw, "word").select("folder", "id")
+    # an SKU inside the name: every part of the name of a length that an SKU has
+    keys = p.where(F.length("sk") >= 4).select("id", "sk", F.length("sk").alias("size"))
+    sizes = F.broadcast(keys.select("size").distinct())  # as many rows as SKUs have lengths
+    inside = f.join(sizes, F.length("fk") >= F.col("size")).select("folder", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("fk") - F.col("size") + 1), lambda at: F.substring(F.col("fk"), at, F.col("size"))))).alias("sk"))
+    pairs = by_word.union(inside.join(keys, ["sk", "size"]).select("folder", "id")).distinct()
     rows = pairs.join(f, "folder").join(p, "id")
-    inside = F.size(F.array_except(F.split("fk", " "), F.split("pk", " "))) == 0
+    short_first = F.length("fk") <= F.length("pk")
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    short, long = F.when(short_first, words("fk")).otherwise(words("pk")), F.when(short_first, words("pk")).otherwise(words("fk"))
     base = F.greatest(
-        key_similarity(F.col("fk"), F.col("pk")), F.when(F.col("sk").isNotNull(), key_similarity(F.col("fk"), F.col("sk"))).otherwise(0.0),
-        F.when((F.length("sk") >= 4) & F.contains(F.replace(F.col("fk"), F.lit(" "), F.lit("")), F.col("sk")), 0.95).otherwise(0.0), F.when(inside, 0.78).otherwise(0.0),
+        key_similarity(F.col("fk"), F.col("pk")), F.when(F.col("sk") != "", key_similarity(F.col("fk"), F.col("sk"))).otherwise(0.0),
+        F.when((F.length("sk") >= 4) & F.contains("fk", "sk"), 0.95).otherwise(0.0), F.when((F.size(short) > 0) & (F.size(F.array_except(short, long)) == 0), 0.78).otherwise(0.0),
     )
     move = F.when(F.col("category") == F.col("pc"), 0.08).otherwise(0.0) + F.when(F.col("subcategory").isNull() | F.col("ps").isNull(), 0.0).when(F.col("subcategory") == F.col("ps"), 0.06).otherwise(-0.15)
     return rows.select("folder", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + move)), 3).alias("score")).where(F.col("score") >= least)
@@ -89,3 +116,42 @@ def overview(found: DataFrame, links: DataFrame, products: DataFrame) -> DataFra
     )
     without = products.where("is_active").join(links.select("id"), "id", "left_anti").agg(F.count("*").alias("products_without_images"))
     return linked.join(F.broadcast(without))  # one row each
+
+
+def unmatched(found: DataFrame, links: DataFrame) -> DataFrame:
+    return found.join(links.select("folder").distinct(), "folder", "left_anti")
+
+
+def linked(found: DataFrame, products: DataFrame) -> DataFrame:
+    """Each folder with the product that holds it: of several the last by id, null if none does."""
+    held = products.where("image_source IS NOT NULL").groupBy(F.col("image_source").alias("folder")).agg(F.max("id").alias("id"))
+    return found.join(held, "folder", "left")
+
+
+def link(products: DataFrame, links: DataFrame, images: DataFrame) -> DataFrame:
+    """Products with the images of the folder (folder, id) that is theirs now; who held the folder before holds none.
+
+    `products` has image_source and images, `images` is that of product_images.
+    """
+    own = links.join(images, "folder").select("id", F.col("folder").alias("_folder"), F.col("images").alias("_images"))
+    taken = links.select(F.col("folder").alias("image_source"), F.col("id").alias("_new_owner"))
+    rows = products.join(own, "id", "left").join(taken, "image_source", "left")
+    lost = F.col("_new_owner").isNotNull() & (F.col("_new_owner") != F.col("id"))
+    value = lambda new, old: F.when(F.col("_folder").isNotNull(), F.col(new)).when(~F.coalesce(lost, F.lit(False)), F.col(old))
+    done = {"image_source": value("_folder", "image_source"), "images": value("_images", "images")}
+    return rows.select(*(done[c].alias(c) if c in done else F.col(c) for c in products.columns))
+
+
+def unlink(products: DataFrame, ids: DataFrame) -> DataFrame:
+    """The products named hold no images any more."""
+    gone = products.join(ids.select("id").distinct().withColumn("_gone", F.lit(True)), "id", "left")
+    value = lambda c: F.when(F.col("_gone").isNull(), F.col(c))
+    return gone.select(*(value(c).alias(c) if c in ("image_source", "images") else F.col(c) for c in products.columns))
+
+
+def auto_link(files: DataFrame, products: DataFrame, save, threshold: float = POLICY.image_link, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The links found, and the products as they are or, unless it is a dry run, with their images."""
+    if threshold < 0.3:
+        raise ValueError("a threshold below 0.3 would link unlike names")
+    links = assign(score_matches(folders(files), products, threshold), save)
+    return links, products if dry_run else link(products, links, product_images(files))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.config import COMPLETENESS, GRADES, ISSUES, POLICY, SEVERITIES, Policy
@@ -62,6 +62,8 @@ def with_quality(priced: DataFrame, policy: Policy = POLICY) -> DataFrame:
     groups = {g: reduce(add, (F.when(there[f], w).otherwise(0) for f, w in fields.items())) for g, fields in COMPLETENESS.items()}
     missing = F.array_compact(F.array(*(F.when(~there[f], f) for fields in COMPLETENESS.values() for f in fields)))
     listed = F.array_compact(F.array(*(F.when(c, code) for code, c in rules(policy))))
+    if "extra_issues" in priced.columns:  # codes that other rows or sources tell of
+        listed = F.concat(listed, "extra_issues")
     df = priced.withColumns({"issues": listed, **{f"earned_{g}": c.cast("long") for g, c in groups.items()}, "missing": missing})
     df = df.withColumns({
         "completeness": reduce(add, (F.col(f"earned_{g}") for g in groups)).cast("double"),
@@ -125,6 +127,53 @@ def sku_collisions(df: DataFrame) -> DataFrame:
     return keyed.join(groups, "sku_key").select("id", "name", "source_catalog", "sku_key", "n", (F.col("n") - 1).alias("n_others"))
 
 
+def collision_members(df: DataFrame) -> DataFrame:
+    """Each pair of rows that share an SKU which is not generated: a row and one of its others, at most `MEMBERS` of them.
+
+    The first members of a group are found by a grouped top-k, so no row is paired with its whole group.
+    """
+    keyed = df.where(~is_generated_sku(F.col("sku"))).select("id", sku_key(F.col("sku")).alias("sku_key")).where("sku_key is not null")
+    rank = F.row_number().over(Window.partitionBy("sku_key").orderBy("id"))
+    first = keyed.withColumn("_k", rank).where(F.col("_k") <= MEMBERS + 1).groupBy("sku_key").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+    others = F.slice(F.array_remove("ids", F.col("id")), 1, MEMBERS)
+    return keyed.join(first, "sku_key").select("id", "sku_key", F.explode(others).alias("other_id"))
+
+
+#: Others of a row's SKU that are listed; `sku_collisions` counts them all.
+MEMBERS = 20
+
+
+def with_collisions(priced: DataFrame, policy: Policy = POLICY) -> DataFrame:
+    """Scored rows, where DUPLICATE_SKU is told of every row whose SKU another row has."""
+    shared = sku_collisions(priced).select("id").withColumn("_shared", F.lit(True))
+    rows = priced.join(shared, "id", "left").withColumn("extra_issues", F.when(F.col("_shared"), F.array(F.lit("DUPLICATE_SKU"))).otherwise(F.array().cast("array<string>")))
+    return with_quality(rows.drop("_shared"), policy)
+
+
+#: Issues that a value mends, by field, label and kind of value; and those that need a decision.
+FIXABLE = {
+    "MISSING_COST": ("rdp", "Wholesale cost", "money"), "MISSING_SELLING_PRICE": ("selling_price", "Selling price", "money"), "MISSING_CURRENCY": ("currency", "Currency", "currency"),
+    "MISSING_QUANTITY": ("quantity", "Quantity", "integer"), "MISSING_SUPPLIER": ("supplier", "Supplier", "text"), "MISSING_BRAND": ("brand", "Brand", "text"), "MISSING_CATEGORY": ("category", "Category", "text"),
+    "PRICE_RANGE_ONLY": ("selling_price", "Exact selling price", "money"), "ESTIMATED_PRICE": ("selling_price", "Confirmed selling price", "money"), "SELLING_BELOW_COST": ("selling_price", "Selling price", "money"),
+    "MISSING_SPECS": ("capacity", "Capacity / spec", "text"),
+}
+DECISIONS = ("DUPLICATE_SKU", "AMBIGUOUS_SKU", "DUPLICATE_PRODUCT", "COST_MISMATCH", "MARKET_BELOW_COST", "IMPLAUSIBLE_MARGIN", "GENERIC_ITEM", "DRAFT_ITEM")
+
+
+def fix_queue(scored: DataFrame) -> DataFrame:
+    """Each issue of each row with what mends it: a value for a field, a decision, or neither."""
+    code = F.col("code")
+    of = lambda at: F.element_at(F.create_map(*(F.lit(x) for k, v in FIXABLE.items() for x in (k, v[at]))), code)
+    kind = F.when(code.isin(*FIXABLE), "fix").when(code.isin(*DECISIONS), "decide").otherwise("other")
+    return scored.select("id", F.explode("issues").alias("code")).select("id", "code", severity_of(code).alias("severity"), kind.alias("queue"), of(0).alias("field"), of(1).alias("label"), of(2).alias("type"))
+
+
+def ranked_issues(issues: Column) -> Column:
+    """Codes by severity, the gravest first, then by name."""
+    rank = lambda c: F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), severity_of(c))
+    return F.transform(F.array_sort(F.transform(issues, lambda c: F.struct(rank(c).alias("r"), c.alias("c")))), lambda x: x["c"])
+
+
 def _by_words(classes: DataFrame, least: float) -> DataFrame:
     """Pairs of keys whose word sets may have a Jaccard similarity of `least`: they share one of their rarest words."""
     words = classes.select("brand_key", "name_key", F.explode(F.array_distinct(F.split("name_key", " "))).alias("word"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.config import POLICY
+from shelfspark.config import POLICY, Policy
 from shelfspark.operators.catalog import awaiting_verification
-from shelfspark.operators.quality import severity_of
+from shelfspark.operators.pricing import with_pricing
+from shelfspark.operators.quality import severity_of, with_quality
 
 #: Only people set these; an import never does.
 OWNED = ("is_verified", "locked_fields", "overrides")
@@ -43,19 +44,56 @@ def archive_stale(stored: DataFrame, drafts: DataFrame, key: str = "fingerprint"
 
 
 def _by_field(patches: DataFrame) -> DataFrame:
-    """One value for each id and field: of several, the greatest."""
-    return patches.groupBy("id", "field").agg(F.max("value").alias("value"))
+    """One value for each id and field: of several the last by `seq`, where the patches have it, else the greatest."""
+    last = F.max_by("value", "seq") if "seq" in patches.columns else F.max("value")
+    return patches.groupBy("id", "field").agg(last.alias("value"))
 
 
 def patch(stored: DataFrame, patches: DataFrame, lock: bool = True) -> DataFrame:
-    """Applies (id, field, value as text) to flat rows, never failing the whole batch; values that do not fit are left out."""
+    """Applies (id, field, value as text) to flat rows, never failing the whole batch; values that do not fit are left out.
+
+    Of several values for a field the one with the greatest `seq` counts.
+    """
     per = _by_field(patches).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_p"))
     rows = stored.join(per, "id", "left")
     typed = {f: F.col("_p")[f].try_cast(stored.schema[f].dataType.simpleString()) for f in EDITABLE if f in stored.columns}
     differs = {f: v.isNotNull() & ~v.eqNullSafe(F.col(f)) for f, v in typed.items()}
     changed = F.filter(F.array(*(F.when(c, f) for f, c in differs.items())), lambda x: x.isNotNull())
     locks = F.array_union(F.coalesce("locked_fields", F.array().cast("array<string>")), changed) if lock else F.col("locked_fields")
-    return rows.select(*(F.when(differs[c], typed[c]).otherwise(F.col(c)).alias(c) if c in differs else (locks.alias(c) if c == "locked_fields" else F.col(c)) for c in stored.columns), changed.alias("changed_fields"))
+    was = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("previous"), typed[f].cast("string").alias("next"))) for f, c in differs.items())))
+    return rows.select(*(F.when(differs[c], typed[c]).otherwise(F.col(c)).alias(c) if c in differs else (locks.alias(c) if c == "locked_fields" else F.col(c)) for c in stored.columns), changed.alias("changed_fields"), was.alias("changes"))
+
+
+#: Fields whose change prices a product anew.
+PRICING = ("currency", "rdp", "rrp", "selling_price")
+
+
+def apply_patch(stored: DataFrame, patches: DataFrame, reason: str | None = None, actor: str = "admin", lock: bool = True, policy: Policy = POLICY) -> DataFrame:
+    """Patched rows, with margins, issues and scores as they are after it, and the last changes in `overrides`.
+
+    `stored` has a product's columns and may have `overrides`; of them the last `policy.audit_tail` stay.
+    """
+    text = lambda v: F.lit(v).cast("string")
+    done = patch(stored, patches, lock)
+    new = F.transform("changes", lambda c: F.struct(c["field"].alias("field"), c["previous"].alias("previous"), c["next"].alias("next"), text(reason).alias("reason"), text(actor).alias("by")))
+    old = F.coalesce("overrides", F.array()) if "overrides" in stored.columns else F.array().cast("array<struct<field:string,previous:string,next:string,reason:string,by:string>>")
+    every = F.concat(old, new)
+    tail = F.slice(every, F.greatest(F.size(every) - policy.audit_tail + 1, F.lit(1)), F.lit(policy.audit_tail))
+    return with_quality(with_pricing(done.withColumn("overrides", tail).drop("changes"), policy), policy)
+
+
+def update_price(stored: DataFrame, patches: DataFrame, **how) -> DataFrame:
+    """apply_patch of prices and currency only; other fields are left as they are."""
+    return apply_patch(stored, patches.where(F.col("field").isin(*PRICING)), **how)
+
+
+def remove(stored: DataFrame, ids: DataFrame, hard: bool = False) -> DataFrame:
+    """Without the rows whose `id` is named, or, if not `hard`, with them inactive and archived."""
+    if hard:
+        return stored.join(ids.select("id").distinct(), "id", "left_anti")
+    named = stored.join(ids.select("id").distinct().withColumn("_gone", F.lit(True)), "id", "left")
+    gone = F.coalesce("_gone", F.lit(False))
+    return named.withColumns({"is_active": F.col("is_active") & ~gone, "lifecycle": F.when(gone, "archived").otherwise(F.col("lifecycle"))}).select(*stored.columns)
 
 
 def patch_outcomes(stored: DataFrame, patches: DataFrame) -> DataFrame:
@@ -73,14 +111,18 @@ def patch_outcomes(stored: DataFrame, patches: DataFrame) -> DataFrame:
 def create(stored: DataFrame, new: DataFrame, key: str = "fingerprint") -> DataFrame:
     """The stored rows and the new ones whose key is not stored yet, every field given locked; `outcome` also tells conflicts.
 
-    Conflicting rows come back with their own values and the outcome conflict, and are not to be written.
+    Of new rows with one key the first by `seq`, or else the first as they come, is created. Conflicting rows
+    come back with their own values and the outcome conflict, and are not to be written.
     """
+    at = F.col("seq") if "seq" in new.columns else F.monotonically_increasing_id()
+    new = new.withColumn("_at", at)
+    first = new.groupBy(key).agg(F.min("_at").alias("_first"))
     given = [c for c in EDITABLE if c in new.columns and c in stored.columns]
     known = stored.select(key).distinct().withColumn("_known", F.lit(True))
     locks = F.filter(F.array(*(F.when(F.col(c).isNotNull(), c) for c in given)), lambda x: x.isNotNull())
     fill = {c: F.coalesce(c, F.expr(DEFAULTS[c])) if c in DEFAULTS else F.col(c) for c in new.columns}
     made = {**fill, **{c: F.expr(x) for c, x in DEFAULTS.items() if c not in new.columns}, "locked_fields": locks}
-    rows = new.join(known, key, "left").select(*(made.get(c, F.lit(None)).cast(stored.schema[c].dataType).alias(c) for c in stored.columns), F.when(F.col("_known").isNull(), "created").otherwise("conflict").alias("outcome"))
+    rows = new.join(known, key, "left").join(first, key, "left").select(*(made.get(c, F.lit(None)).cast(stored.schema[c].dataType).alias(c) for c in stored.columns), F.when(F.col("_known").isNull() & (F.col("_at") == F.col("_first")), "created").otherwise("conflict").alias("outcome"))
     return stored.withColumn("outcome", F.lit("kept")).unionByName(rows)
 
 
@@ -89,10 +131,18 @@ def unlock(stored: DataFrame, names: list[str]) -> DataFrame:
     return stored.withColumns({"unlocked": F.array_intersect("locked_fields", gone), "locked_fields": F.array_except("locked_fields", gone)})
 
 
-def verify(scored: DataFrame, waived: tuple[str, ...] = ()) -> DataFrame:
-    """Verifies rows without a critical issue but those waived; the others go to review."""
-    blocked = F.exists("issues", lambda c: (severity_of(c) == "critical") & (~c.isin(*waived) if waived else F.lit(True)))
-    return scored.withColumns({"is_verified": ~blocked, "lifecycle": F.when(blocked, "review").otherwise("approved"), "refused": blocked})
+def verify(scored: DataFrame, waived: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
+    """Verifies rows without a critical issue but those waived; the others go to review.
+
+    `verified_by` names who did, `waived` the critical codes of a verified row that were waived.
+    """
+    critical = F.filter("issues", lambda c: severity_of(c) == "critical")
+    let_go = F.array(*(F.lit(w) for w in waived)).cast("array<string>")
+    blocked = F.size(F.array_except(critical, let_go)) > 0
+    return scored.withColumns({
+        "is_verified": ~blocked, "lifecycle": F.when(blocked, "review").otherwise("approved"), "refused": blocked, "verified_by": F.when(~blocked, F.lit(by).cast("string")),
+        "waived": F.when(~blocked, F.array_intersect(critical, let_go)).otherwise(F.array().cast("array<string>")),
+    })
 
 
 def publish_candidates(scored: DataFrame, category: str | None = None, with_image: bool = False, waived: tuple[str, ...] = ()) -> DataFrame:
@@ -126,8 +176,8 @@ def import_run(spark: SparkSession, source: str, result: DataFrame) -> DataFrame
 class Snapshots:
     """Versions of a table in one folder: a version is written whole, and the newest complete one is read."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 5):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), max(keep, 2)  # one may still be read
 
     def versions(self) -> list[int]:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -142,14 +192,16 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
     def write(self, df: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        """Writes the next version; if another writer has begun it, this fails and nothing is lost. The oldest beyond `keep` go."""
+        found = self.versions()
+        version = (found or [0])[-1] + 1
+        df.write.mode("errorifexists").parquet(f"{self.path}/v{version}")
+        for old in found[: max(0, len(found) + 1 - self.keep)]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
         return version
 
 
 def locked(stored: DataFrame) -> DataFrame:
     """Adds the columns that an import needs, where a table has none."""
     return stored if "locked_fields" in stored.columns else stored.withColumn("locked_fields", F.array().cast("array<string>"))
-
-
-MIN_SCORE = POLICY.min_quality

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from shelfspark.config import COMPLETENESS, ISSUES
 
-DIMENSIONS = {"category": "category", "subcategory": "condition", "brand": "brand", "supplier": "supplier", "procurement": "procurement", "source": "source_catalog", "currency": "currency"}
+DIMENSIONS = {"category": "category", "subcategory": "subcategory", "brand": "brand", "supplier": "supplier", "procurement": "procurement", "source": "source_catalog", "currency": "currency"}
 
 
 def r1(x: str, places: int = 2) -> str:
@@ -42,7 +42,7 @@ raw AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 40 <> 0 TH
   ['new','used','unknown','refurbished'][p_partkey % 4 + 1] AS condition, p_partkey % 4 <> 0 AS has_image, p_partkey % 9 <> 0 AS has_specs, p_partkey % 3 <> 0 AS has_description,
   p_partkey % 31 = 0 AS is_estimated, p_partkey % 43 = 0 AS is_range, p_partkey % 47 = 0 AS category_unmapped, p_partkey % 53 = 0 AS cost_mismatch, p_partkey % 59 = 0 AS sku_ambiguous,
   p_partkey % 61 = 0 AS sku_corrected, 'catalog-' || (p_partkey % 4) AS source_catalog, CASE WHEN p_partkey % 3 = 0 THEN 'approved' ELSE 'review' END AS lifecycle,
-  p_name || ' ' || p_brand || ' ' || p_type AS text, (p_partkey * 7919) % 100003 AS updated, supplier FROM part LEFT JOIN sup ON sid = p_partkey),
+  p_name || ' ' || p_brand || ' ' || p_type AS text, CASE WHEN p_partkey % 21 <> 0 THEN p_type || ' ' || (p_partkey % 3) END AS subcategory, (p_partkey * 7919) % 100003 AS updated, supplier FROM part LEFT JOIN sup ON sid = p_partkey),
 p0 AS (SELECT *, coalesce(asked, rrp) AS selling_price FROM raw),
 products AS (SELECT *, CASE WHEN rdp > 0 THEN {r1('(selling_price - rdp) / rdp * 100')} END AS margin, CASE WHEN selling_price > 0 THEN {r1('(selling_price - rdp) / selling_price * 100')} END AS gross_margin,
   {r1('selling_price - rdp')} AS margin_value, CASE WHEN currency = 'USD' THEN 48.5::DOUBLE WHEN currency = 'EGP' THEN 1::DOUBLE END AS fx_rate, {fx('rdp')} AS norm_rdp, {fx('rrp')} AS norm_rrp, {fx('selling_price')} AS norm_selling_price,
@@ -89,7 +89,7 @@ def top(columns: str, where: str, by: str) -> str:
 
 
 PUBLIC = f""", pub AS (SELECT id, {SLUG("name || ' ' || id")} AS slug, name, brand, category, sku, {SHOWN} AS shown_price, CASE WHEN norm_selling_price IS NOT NULL THEN 'EGP' ELSE currency END AS shown_currency,
-  quantity - reserved > 0 AS in_stock, has_image, score, updated FROM scored WHERE {PUBLISHED})"""
+  quantity - reserved > 0 AS in_stock, has_image, score, updated, quantity AS own_quantity FROM scored WHERE {PUBLISHED})"""
 _ladder = (
     ("selling_price IS NULL AND rdp IS NULL", "no_price", "ask the supplier for a quote"), ("selling_price IS NULL", "no_selling_price", "set a selling price"), ("currency IS NULL", "no_currency", "find out the currency"),
     ("sku IS NULL", "no_sku", "find the model code"), ("NOT has_image", "no_image", "take photos"), ("NOT is_verified", "not_verified", "review and verify"),
@@ -141,10 +141,10 @@ SELECT brand_key, name_a, name_b, id_a, id_b, n_a, n_b, round(greatest(0.4::DOUB
     "admin_search": f"{VIEW} SELECT id, sku FROM products WHERE list_contains(string_split({KEY("concat_ws(' ', name, brand, sku)")}, ' '), 'p') OR list_contains(string_split({KEY("concat_ws(' ', name, brand, sku)")}, ' '), '77')",
     "admin_list_sorted_page": f"{VIEW} SELECT id, name, margin FROM products ORDER BY margin DESC NULLS LAST, name, id LIMIT 25 OFFSET 25",
     "issue_code_filter": f"{SCORED} SELECT id, name FROM scored WHERE coalesce(rdp, 0) = 0 AND n_high > 0",
-    "public_list": f"{SCORED} {PUBLIC} SELECT * FROM pub ORDER BY score DESC, updated DESC, id LIMIT 60",
-    "public_search": f"{SCORED} {PUBLIC} SELECT * FROM pub WHERE contains(lower(name), 'p-7') OR contains(lower(brand), 'p-7') OR contains(lower(sku), 'p-7')",
-    "public_price_range": f"{SCORED} {PUBLIC} SELECT * FROM pub WHERE shown_price BETWEEN 1000 AND 20000 AND in_stock",
-    "public_detail": f"{SCORED} {PUBLIC} SELECT * FROM pub WHERE id = 3",
+    "public_list": f"{SCORED} {PUBLIC} SELECT * EXCLUDE (own_quantity) FROM pub ORDER BY score DESC, updated DESC, id LIMIT 60",
+    "public_search": f"{SCORED} {PUBLIC} SELECT * EXCLUDE (own_quantity) FROM pub WHERE contains(lower(name), 'p-7') OR contains(lower(brand), 'p-7') OR contains(lower(sku), 'p-7')",
+    "public_price_range": f"{SCORED} {PUBLIC} SELECT * EXCLUDE (own_quantity) FROM pub WHERE shown_price BETWEEN 1000 AND 20000 AND own_quantity > 0",
+    "public_detail": f"{SCORED} {PUBLIC} SELECT * EXCLUDE (own_quantity) FROM pub WHERE id = 3",
     "facet_categories": f"{VIEW} SELECT category AS value, count(*) AS n FROM products WHERE {PUBLISHED} AND category IS NOT NULL GROUP BY 1",
     "facet_brands": f"{VIEW} SELECT brand AS value, count(*) AS n FROM products WHERE {PUBLISHED} AND brand IS NOT NULL GROUP BY 1",
     "facet_price_range": f"{VIEW} SELECT floor(min(norm_selling_price))::BIGINT AS low, ceil(max(norm_selling_price))::BIGINT AS high, count(*) AS n FROM products WHERE {PUBLISHED} AND norm_selling_price > 0",

@@ -11,7 +11,9 @@ from shelfspark.functions import identity, money, specs, text
 from shelfspark.operators import analytics, catalog, ingest, pricing, quality, reports, slugs, store
 from shelfspark.operators.pricing import with_pricing
 from shelfspark.operators.quality import with_quality
-from shelfspark.plans.oracles import ORACLES as ORACLES
+from shelfspark.plans.more import MORE
+from shelfspark.plans.more_oracles import ORACLES as MORE_ORACLES
+from shelfspark.plans.oracles import ORACLES as FIRST_ORACLES
 from shelfspark.plans.samples import grid, new_rows, patches, raw_cells, slug_drafts, store_and_drafts
 from shelfspark.sources.testdata import products, table
 
@@ -183,3 +185,5 @@ QUERIES: dict[str, Query] = {
     "upsert_locked": upsert_locked, "import_totals": import_totals, "archive_stale": archive_stale,
     "resolve_slugs": resolve_slugs, "patch_fields": patch_fields, "patch_outcomes": patch_outcomes, "unlock_fields": unlock_fields, "create_products": create_products, "verify_products": verify_products, "dedupe_merge": dedupe_merge, "market_segments": market_segments,
 }
+QUERIES |= MORE
+ORACLES: dict[str, str] = {**FIRST_ORACLES, **MORE_ORACLES}

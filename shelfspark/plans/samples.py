@@ -72,3 +72,74 @@ def slug_drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     sku = F.concat(F.lit("P-"), (k % 3).cast("string"))
     drafts = table(spark, sf_dir, "part").select(F.concat(F.lit("sku:p"), k.cast("string")).alias("fingerprint"), k.alias("arrival"), name.alias("name"), sku.alias("sku"), F.lit(None).cast("string").alias("slug"))
     return drafts, spark.createDataFrame([], "slug string, owner string")
+
+
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated entries of every fourth part: with and without SKU and price, with conflicts, and gaps of every kind."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice")
+    every = lambda n, r=0: k % n == r
+    no = F.array().cast("array<string>")
+    texts = ("Not approved for sale", "No agreed sell price", "Photos belong to another unit", "Unbranded placeholder", "No model code confirmed", "Model DISPUTED", "price missing")
+    gaps = F.when(every(9, 7), no).when(every(9, 8), F.array(F.lit("length unknown"), F.lit("price missing"))).otherwise(F.array(F.element_at(F.array(*(F.lit(t) for t in texts)), F.least(k % 9 + 1, F.lit(7)).cast("int"))))
+    pricing = F.struct(F.lit("EGP").alias("currency"), (price - 100).alias("rdp"), F.lit(None).cast("double").alias("rrp"), price.alias("selling_price"), F.concat(F.lit("quote "), k.cast("string")).alias("price_source"))
+    return table(spark, sf_dir, "part").where("p_partkey % 4 <> 3").select(
+        F.concat(F.lit("Cables/"), "p_name", F.lit(" No. "), k.cast("string")).alias("folder"), F.when(~every(3), F.concat(F.lit("M-"), k.cast("string"))).alias("sku"), F.when(every(4), "label").alias("sku_evidence"), F.col("p_name").alias("name"),
+        F.when(~every(5), F.col("p_brand")).alias("brand"), F.col("p_type").alias("category"), F.lit(None).cast("string").alias("subcategory"), F.when(every(2), pricing).alias("pricing"), F.when(every(7, 1), "must_buy").alias("procurement"),
+        F.when(~every(6), F.col("p_size")).cast("long").alias("quantity"), F.lit(None).cast("string").alias("supplier"), every(11).alias("is_generic"), F.when(every(8), F.create_map(F.lit("length_m"), F.lit("2"))).alias("specs"),
+        F.when(every(7), F.array(F.lit("two sources give other costs"))).otherwise(no).alias("conflicts"), gaps.alias("gaps"),
+    )
+
+
+def photo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of photos: three of every third part, one of them in a folder of a variant, and files that are none."""
+    k = F.col("p_partkey")
+    folder = F.concat(F.when(k % 2 == 0, "Cables").otherwise("Other"), F.lit("/"), "p_name", F.when(k % 5 == 0, F.concat(F.lit(" P-"), k.cast("string"))).otherwise(F.concat(F.lit(" "), k.cast("string"))))
+    names = F.array(*(F.concat(folder, F.lit(n)) for n in ("/Black/1.JPG", "/2.jpg", "/1.png", "/notes.txt")))
+    return table(spark, sf_dir, "part").where(k % 3 == 0).select(F.explode(names).alias("path"))
+
+
+def photo_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products that photos may belong to, of some parts under another name; a few hold a folder already."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").where(k % 2 == 0).select(
+        k.alias("id"), F.when(k % 10 == 0, F.concat(F.lit("item "), k.cast("string"))).otherwise(F.concat_ws(" ", "p_name", k.cast("string"))).alias("name"), F.concat(F.lit("P-"), k.cast("string")).alias("sku"),
+        F.when(k % 4 == 0, "Cables").otherwise(F.col("p_type")).alias("category"), F.lit(None).cast("string").alias("subcategory"), F.lit(True).alias("is_active"),
+        F.when(k % 14 == 0, F.concat(F.lit("Cables/"), "p_name", F.lit(" "), (k + 4).cast("string"))).alias("image_source"),
+        F.lit(None).cast("array<struct<path:string,url:string,variant:string,is_primary:boolean>>").alias("images"),
+    )
+
+
+def spec_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications of every part as texts by name, some empty or unknown, with attributes, and its images."""
+    k = F.col("p_partkey")
+    when = lambda n, name, value: F.when(k % n == 0, F.struct(F.lit(name).alias("key"), value.alias("value")))
+    size = F.col("p_size").cast("string")
+    entries = F.array_compact(F.array(
+        when(2, "power_wattage", size), when(3, "capacity", F.concat(size, F.lit("GB"))), when(5, "capacity_gb", size), when(1, "condition", F.element_at(F.array(*(F.lit(c) for c in ("unknown", "original_pull", "new"))), (k % 3 + 1).cast("int"))),
+        when(7, "color", F.lit("Black")), when(4, "warranty_months", size), when(6, "interface", F.lit("")), when(8, "features", F.lit("fast|small")), when(9, "screen_size", F.lit("6 in")),
+    ))
+    image = lambda n, main, url: F.struct(F.when(url, F.concat(F.lit("https://x/"), k.cast("string"), F.lit(f"-{n}"))).alias("url"), F.when(k % 4 != 3, F.concat(F.lit("img/"), k.cast("string"), F.lit(f"-{n}"))).alias("path"), main.alias("is_primary"))
+    images = F.array(image(1, F.lit(False), k % 2 == 0), image(2, k % 3 == 0, k % 2 == 1), image(3, F.lit(None).cast("boolean"), F.lit(False)))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_name").alias("name"), F.when(k % 50 != 0, F.col("p_type")).alias("category"), F.map_from_entries(entries).alias("specs"), images.alias("images"))
+
+
+def repeated_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several edits of one price, the last of which is the smaller text, and of a name."""
+    k = F.col("p_partkey")
+    of = lambda seq, field, value: table(spark, sf_dir, "part").where(k % 3 == 0).select(k.alias("id"), F.lit(field).alias("field"), value.alias("value"), F.lit(seq).alias("seq"))
+    return of(1, "rdp", F.lit("9")).unionByName(of(2, "rdp", F.lit("10"))).unionByName(of(1, "name", F.concat(F.lit("new "), k.cast("string"))))
+
+
+def repeated_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of which several are one product, each with its own notes, extra columns and gaps in its fields."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("sku:"), (k % 700).cast("string")).alias("fingerprint"), (k % 7).cast("double").alias("score"), F.lit("f").alias("file"), F.concat(F.lit("s"), (k % 2).cast("string")).alias("sheet"), k.alias("row_index"),
+        F.when(k % 3 == 0, F.col("p_brand")).alias("brand"), F.when(k % 2 == 0, F.col("p_retailprice")).alias("rdp"), F.concat(F.lit("note "), (k % 4).cast("string")).alias("notes"),
+        F.create_map(F.concat(F.lit("col"), (k % 3).cast("string")), k.cast("string")).alias("extras"),
+    )
+
+
+def import_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("run-"), k.cast("string")).alias("run_id"), F.when(k % 9 == 0, "failed").otherwise("completed").alias("status"), ((k * 37) % 500).alias("finished_at"))

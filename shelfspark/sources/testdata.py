@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.money import js_round
+from shelfspark.functions.text import slugify
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,8 @@ def products(spark: SparkSession, sf_dir: str, supplier: bool = True) -> DataFra
         (k % 4 != 0).alias("has_image"), (k % 9 != 0).alias("has_specs"), (k % 3 != 0).alias("has_description"), every(31).alias("is_estimated"), every(43).alias("is_range"),
         every(47).alias("category_unmapped"), every(53).alias("cost_mismatch"), every(59).alias("sku_ambiguous"), every(61).alias("sku_corrected"),
         F.concat(F.lit("catalog-"), (k % 4).cast("string")).alias("source_catalog"), F.when(every(3), "approved").otherwise("review").alias("lifecycle"),
-        F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"), ((k * 7919) % 100_003).alias("updated"),
+        F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"), F.when(~every(21), F.concat_ws(" ", "p_type", (k % 3).cast("string"))).alias("subcategory"),
+        slugify(F.concat_ws(" ", "p_name", k.cast("string"))).alias("slug"), ((k * 7919) % 100_003).alias("updated"),
     )
     out = out.withColumn("selling_price", F.coalesce("asked", "rrp")).drop("asked")
     return out.join(main_supplier(spark, sf_dir), "id", "left") if supplier else out.withColumn("supplier", F.lit(None).cast("string"))
