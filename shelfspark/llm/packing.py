@@ -24,7 +24,9 @@ from shelfspark.llm.core import narrow
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Word pieces whose ids a worker remembers; beyond it the memory is emptied, the results stay the same.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Texts that are Python strings at once.
+AT_ONCE = 500
 _UNEVEN = re.compile(r" (?=\s)")
 
 
@@ -58,7 +60,7 @@ class Encoder:
         self.encode = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         added = sorted(x.content for x in tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.tokenizer = tokenizer
+        self.path, self.tokenizer = path, None  # read again for the few texts that need it
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -68,6 +70,10 @@ class Encoder:
         known = self.known
         for text in texts:
             if text and self.added and self.added.search(text):
+                if self.tokenizer is None:
+                    from tokenizers import Tokenizer
+
+                    self.tokenizer = Tokenizer.from_file(self.path)
                 yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
                 continue
             if not text or _UNEVEN.search(text):
@@ -88,24 +94,28 @@ class Encoder:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, eos: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     encode, end = Encoder(path), np.array([eos], "<u4").tobytes()
-    for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        texts = batch.column(1).to_pylist()
-        for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-            ids = ids + end
-            n = len(ids) // 4
-            at, size, k = 0, n % capacity or min(capacity, n), 0
-            while at < n:
-                part = ids[4 * at : 4 * (at + size)]
-                for column, value in zip(out, (doc, k, at, size, zlib.crc32(part), part), strict=True):
-                    column.append(value)
-                at, size, k = at + size, capacity, k + 1
-        arrays = [pa.array(c, t) for c, t in zip(out[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        if keep_ids:
-            arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out[5]], pa.list_(pa.int32())))
-            names.append("ids")
-        yield pa.RecordBatch.from_arrays(arrays, names)
+    for whole in batches:
+        for s in range(0, whole.num_rows, AT_ONCE):
+            yield _cut(whole.slice(s, AT_ONCE), encode, end, capacity, keep_ids)
+
+
+def _cut(batch: pa.RecordBatch, encode: Encoder, end: bytes, capacity: int, keep_ids: bool) -> pa.RecordBatch:
+    out: list[list] = [[], [], [], [], [], []]
+    for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+        ids = ids + end
+        n = len(ids) // 4
+        at, size, k = 0, n % capacity or min(capacity, n), 0
+        while at < n:
+            part = ids[4 * at : 4 * (at + size)]
+            for column, value in zip(out, (doc, k, at, size, zlib.crc32(part), part if keep_ids else None), strict=True):
+                column.append(value)
+            at, size, k = at + size, capacity, k + 1
+    arrays = [pa.array(c, t) for c, t in zip(out[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if keep_ids:
+        arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out[5]], pa.list_(pa.int32())))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, eos: int = 0, keep_ids: bool = False) -> DataFrame:

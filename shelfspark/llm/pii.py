@@ -36,6 +36,8 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security"),
 }
 AGAINST = ("version", "isbn", "example", "sample", "order", "serial", "invoice", "build")
+#: Texts that are Python strings at once.
+AT_ONCE = 500
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -107,7 +109,7 @@ def spans(text: str | None, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, i
 
 def _find(batches: Iterator[pa.RecordBatch], least: float, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])
-    for batch in batches:
+    for batch in (whole.slice(s, AT_ONCE) for whole in batches for s in range(0, whole.num_rows, AT_ONCE)):
         found = [[dict(zip(("start", "end", "kind", "score"), x, strict=True)) for x in spans(t, kinds) if x[2] in BASE or x[3] >= least] for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], ["doc_id", "spans"])
 
@@ -123,7 +125,7 @@ def find(docs: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = KINDS) ->
 
 
 def _redact(batches: Iterator[pa.RecordBatch], at: int, size_at: int | None, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(s, AT_ONCE) for whole in batches for s in range(0, whole.num_rows, AT_ONCE)):
         texts = []
         for text in batch.column(at).to_pylist():
             parts, end = [], 0
