@@ -100,11 +100,12 @@ def derive(records: DataFrame) -> DataFrame:
     )
     record = lambda kind, mime, block: F.struct(uuid_of(F.lit(kind), F.col("_src.record_id")).alias("record_id"), F.lit(kind).alias("record_type"), F.lit(mime).alias("content_type"), block.alias("block"))
     both = F.explode(F.array(record("metadata", "application/warc-fields", info), record("conversion", "text/plain; charset=utf-8", F.col("_text")))).alias("_new")
-    out = made.select(*(f"_{i}" for i, _ in extra), "_src", both)
-    headers = headers_of(("WARC-Refers-To-Target-URI", F.col("_src.target_uri")), ("WARC-Refers-To-Date", F.col("_src.date")), ("WARC-Source-Payload-Digest", F.coalesce("_src.payload_digest", F.lit(""))))
+    # of the source only what the new records name goes with them, not its block
+    out = made.select(*(f"_{i}" for i, _ in extra), *(F.col(f"_src.{c}").alias(f"_src_{c}") for c in ("record_id", "target_uri", "date", "payload_digest")), both)
+    headers = headers_of(("WARC-Refers-To-Target-URI", F.col("_src_target_uri")), ("WARC-Refers-To-Date", F.col("_src_date")), ("WARC-Source-Payload-Digest", F.coalesce("_src_payload_digest", F.lit(""))))
     return out.select(
-        *(F.col(f"_{i}").alias(c) for i, c in extra), F.col("_new.record_id").alias("record_id"), F.col("_new.record_type").alias("record_type"), F.col("_src.target_uri").alias("target_uri"), F.col("_src.date").alias("date"),
-        F.col("_new.content_type").alias("content_type"), F.col("_src.record_id").alias("refers_to"), digest(F.col("_new.block")).alias("payload_digest"), headers.alias("headers"), F.col("_new.block").alias("block"),
+        *(F.col(f"_{i}").alias(c) for i, c in extra), F.col("_new.record_id").alias("record_id"), F.col("_new.record_type").alias("record_type"), F.col("_src_target_uri").alias("target_uri"), F.col("_src_date").alias("date"),
+        F.col("_new.content_type").alias("content_type"), F.col("_src_record_id").alias("refers_to"), digest(F.col("_new.block")).alias("payload_digest"), headers.alias("headers"), F.col("_new.block").alias("block"),
     )
 
 
