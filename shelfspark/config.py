@@ -200,3 +200,32 @@ HEADERS = (
 )
 ANCHORS = ("name", "sku", "supplier_sku", "brand", "category", "rdp", "rrp", "selling_price", "quantity")
 MONEY_FIELDS = ("rdp", "rdp_reported", "rrp", "rrp_reported", "selling_price", "market_price", "extended_cost")
+
+# How specifications are written in free text. Of named patterns the first that fits gives the name.
+CONNECTORS = (
+    ("USB-C", r"type[\s-]?c|usb[\s-]?c|\bc\b"),
+    ("USB-A", r"usb[\s-]?a|\busb\s*3\.\d|\busb\s*2\.0|\busb\b"),
+    ("Lightning", r"lightning|iphone|\bl\b"),
+    ("Micro-USB", r"micro[\s-]?usb|\bmicro\b"),
+    ("HDMI", r"hdmi"),
+    ("DisplayPort", r"display\s*port|\bdp\b"),
+    ("VGA", r"\bvga\b"),
+    ("SATA", r"\bsata\b"),
+    ("DVI", r"\bdvi\b"),
+    ("AUX 3.5mm", r"3\.5\s*mm|\baux\b"),
+)
+CONNECTOR_LETTERS = {"A": "USB-A", "C": "USB-C", "L": "Lightning"}
+DISPLAYS = ("HDMI", "DisplayPort", "VGA", "SATA", "DVI")
+CABLE_ENDS = r"([\w.\s-]{1,18}?)\s*(?:to|->|→)\s*([\w.\s-]{1,18})"
+CABLE_LETTERS = r"\b([ACL])\s*-\s*([ACL])\b"
+INTERFACES = (
+    r"usb\s*\d(?:\.\d)?(?:\s*gen\s*\d)?", r"sata\s*(?:i{1,3}|\d)", r"\bnvme\b", r"\bm\.2\b",
+    r"pcie\s*\d(?:\.\d)?(?:\s*x\d+)?", r"bluetooth\s*\d(?:\.\d)?", r"wi-?fi\s*\d?", r"ddr\d(?:l)?(?:\s*\d{3,4})?",
+)
+CONDITIONS = (("original_pull", r"pull|original\s+used"), ("refurbished", r"refurb|renew"), ("used", r"used|مستعمل|second"), ("new", r"new|جديد|sealed"))
+WATTS = {"w": 1.0, "watt": 1.0, "watts": 1.0}
+GIGABYTES = {"tb": 1024.0, "gb": 1.0, "mb": 1 / 1024}
+METRES = {"m": 1.0, "cm": 0.01, "mm": 0.001, "ft": 0.3048, "feet": 0.3048, "foot": 0.3048, "in": 0.0254}
+YEARS = {"year": 12.0, "yr": 12.0, "yrs": 12.0, "years": 12.0, "سنة": 12.0, "سنوات": 12.0}
+MONTHS = {"month": 1.0, "months": 1.0, "شهر": 1.0, "أشهر": 1.0}
+COLOR_LABEL = r"colou?rs?\s*[:：]\s*([^|,;]+)"

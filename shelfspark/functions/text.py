@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ INVISIBLE = r"[\u200B-\u200F\u202A-\u202E\uFEFF]"
 B0, B1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word bounds as ASCII has them: one before a letter, digit or group opens a word, others close it."""
+    return re.sub(r"\\b(?=[\w(\[]|\\d)", lambda _: B0, pattern).replace(r"\b", B1)
+
+
 def let(value: Column, use) -> Column:
     """use(value) with the value computed once, however often `use` names it: large expressions stay small."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.config import ANCHORS, HEADERS, NOTE_PREFIXES, POLICY, SHEET_PROCUREMENT, SHEET_SKIPPED, TOTAL_WORDS, Policy
 from shelfspark.functions import identity, money, specs
-from shelfspark.functions.text import B0, B1, clean_text, fingerprint, key_similarity, let, normalize_key
+from shelfspark.functions.text import B0, B1, ascii_bounds, clean_text, fingerprint, key_similarity, let, normalize_key
 
 _ALIASES: dict[str, tuple[str, int]] = {}
 for _field, _weight, _names, _ in HEADERS:
@@ -28,13 +28,6 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
-def _ascii_bounds(pattern: str) -> str:
-    """The pattern with word bounds as ASCII has them: the first of two, or a leading one, opens a word."""
-    head, *rest = pattern.split(r"\b")
-    opens = not head and rest
-    return pattern.replace(r"\b", B0, 1).replace(r"\b", B1) if opens else pattern.replace(r"\b", B1)
-
-
 def match_header(cell: Column, policy: Policy = POLICY) -> Column:
     """field, strategy, confidence and specificity of a header cell: an alias, else a pattern, else the nearest alias."""
     both = F.struct(F.lower(clean_text(cell)).alias("text"), normalize_key(cell).alias("key"))
@@ -50,7 +43,7 @@ def _header(text: Column, key: Column, policy: Policy) -> Column:
     exact = F.element_at(_map({a: f for a, (f, _) in _ALIASES.items()}), text)
     pattern = F.lit(None).cast("string")
     for field, _, _, found in sorted((h for h in HEADERS if h[3]), key=lambda h: h[1]):  # the most specific is asked first
-        pattern = F.when(text.rlike("|".join(_ascii_bounds(p) for p in found)), field).otherwise(pattern)
+        pattern = F.when(text.rlike("|".join(ascii_bounds(p) for p in found)), field).otherwise(pattern)
     names = F.array(*(F.struct(F.lit(re.sub(r"[\W_]+", " ", a).strip()).alias("alias"), F.lit(f).alias("field")) for a, (f, _) in _ALIASES.items() if len(a) > 2 and a.isascii()))
     near = F.array_max(F.transform(names, lambda a: F.struct(key_similarity(a["alias"], key).alias("s"), a["field"].alias("field"))))
     return let(near, lambda near: (

@@ -200,20 +200,30 @@ def _by_pieces(classes: DataFrame, edit: float) -> DataFrame:
     return hits.select("brand_key", F.least("name_key", "other").alias("name_key"), F.greatest("name_key", "other").alias("other"))
 
 
+#: Share of common words under which two names are looked for by their edits alone.
+LEAST_SHARED = 0.125
+
+
 def near_duplicates(df: DataFrame, threshold: float = POLICY.similar) -> DataFrame:
     """Pairs of different name keys of one brand that are alike, with the rows of each. No pair is lost.
 
     Equal keys are one class, so copies never multiply. A pair reaches the threshold either by the blend
-    0.4 words + 0.6 edits, and then its word sets overlap by (threshold - 0.6) / 0.4, or by 0.95 edits
-    alone; each way has its own candidates, and both are checked.
+    0.4 words + 0.6 edits or by 0.95 edits alone. For the blend its word sets overlap by `shared`, or its
+    edits make up for less: by (threshold - 0.4 shared) / 0.6. From 0.65 on only equal keys could do that; under
+    it pairs with few common words count too, and the lower the threshold the shorter the pieces they are
+    found by, so it costs more. Candidates of all ways are checked.
     """
-    if not 0.65 <= threshold <= 1:
-        raise ValueError("the threshold must be between 0.65 and 1")
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("the threshold must be between 0.5 and 1")
+    least = threshold - 0.0005  # similarities are rounded to three places
+    shared = max((least - 0.6) / 0.4, LEAST_SHARED)
     keys = df.where("is_active").select(F.coalesce(normalize_key(F.col("brand")), F.lit("")).alias("brand_key"), normalize_key(F.col("name")).alias("name_key"), "id").where("name_key <> ''")
     classes = keys.groupBy("brand_key", "name_key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    found = _by_words(classes, (threshold - 0.6) / 0.4)
-    if threshold <= 0.95:
-        found = found.unionByName(_by_pieces(classes.where(F.length("name_key") >= 6), threshold / 0.95))
+    found = _by_words(classes, shared)
+    if shared == LEAST_SHARED:
+        found = found.unionByName(_by_pieces(classes, (least - 0.4 * shared) / 0.6))
+    if least <= 0.95:
+        found = found.unionByName(_by_pieces(classes.where(F.length("name_key") >= 6), least / 0.95))
     near = found.distinct().withColumn("similarity", F.round(key_similarity(F.col("name_key"), F.col("other")), 3)).where(F.col("similarity") >= threshold)
     a = classes.select("brand_key", "name_key", F.col("n").alias("n_a"), F.col("id").alias("id_a"))
     b = classes.select("brand_key", F.col("name_key").alias("other"), F.col("n").alias("n_b"), F.col("id").alias("id_b"))

@@ -1,4 +1,4 @@
-"""Spreadsheet grids: .xlsx by a Python data source, delimited text by Spark's reader.
+"""Spreadsheet grids: .xlsx parsed in Arrow batches of Spark's file reader, delimited text by Spark's reader.
 
 Both give (file, sheet, row_index, cells array<string>), rows counted from 1 as a spreadsheet shows them.
 """
@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ READABLE = (".xlsx", ".xlsm", ".csv", ".tsv", ".txt")
 SCHEMA = "file string, sheet string, row_index int, cells array<string>"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: The file standard's number formats that show dates or times.
+DATE_FORMATS = (*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59))
 
 
 def _column(ref: str) -> int:
@@ -35,6 +38,26 @@ def _text(value: str | None) -> str | None:
     return value or None
 
 
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date: by a format of the standard, or one of the file's own with date letters."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.parse(z.open("xl/styles.xml")).getroot()
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode") or "") for f in root.iter(f"{{{_NS['m']}}}numFmt")}
+    shown = [int(x.get("numFmtId") or 0) for x in root.iterfind("m:cellXfs/m:xf", _NS)]
+    return {i for i, n in enumerate(shown) if (re.search("(?i)[ymdhs]", own[n]) if n in own else n in DATE_FORMATS)}
+
+
+def _date(serial: str, since_1904: bool) -> str | None:
+    """The ISO time of a day number. Day 60 of the older calendar is a day that never was, so days before it lie one later."""
+    try:
+        days = float(serial)
+        first = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 31 if days < 60 else 30)
+        return (first + timedelta(milliseconds=round(days * 86_400_000))).isoformat(timespec="milliseconds") + "Z"
+    except (ValueError, OverflowError):
+        return _text(serial)
+
+
 def sheets(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row number, cells) of a workbook; rows are padded to their sheet's width."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -43,7 +66,9 @@ def sheets(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
             for si in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot().findall("m:si", _NS):
                 shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.parse(z.open("xl/_rels/workbook.xml.rels")).getroot()}
-        for s in ElementTree.parse(z.open("xl/workbook.xml")).getroot().find("m:sheets", _NS):
+        dates, book = _date_styles(z), ElementTree.parse(z.open("xl/workbook.xml")).getroot()
+        since_1904 = any(p.get("date1904") in ("1", "true") for p in book.iterfind("m:workbookPr", _NS))
+        for s in book.find("m:sheets", _NS):
             path = targets[s.get(_REL)].lstrip("/")
             rows: list[tuple[int, dict[int, str | None]]] = []
             for row in ElementTree.parse(z.open(path if path.startswith("xl/") else f"xl/{path}")).getroot().iter(f"{{{_NS['m']}}}row"):
@@ -56,6 +81,8 @@ def sheets(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
                         value = shared[int(v.text)] if v is not None else None
                     else:
                         value = v.text if v is not None else None
+                        if value and kind in (None, "n") and int(c.get("s") or 0) in dates:
+                            value = _date(value, since_1904)
                     cells[_column(c.get("r"))] = _text(value)
                 rows.append((int(row.get("r")), cells))
             width = max((max(c, default=-1) + 1 for _, c in rows), default=0)
@@ -85,9 +112,9 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, SCHEMA)
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, separator: str = ",", names: str = "*") -> DataFrame:
     """Lines with their number inside a file; a file is one sheet named like it. Quoted fields may not hold line ends."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = spark.read.option("wholetext", "true").option("pathGlobFilter", names).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     sep = re.escape(separator)
     raw = F.regexp_extract_all(F.concat(F.lit(separator), F.col("line")), F.lit(sep + r'("(?:[^"]|"")*"|[^' + separator + r"]*)"), F.lit(1))
     clean = F.transform(raw, lambda c: F.nullif(F.trim(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))), F.lit("")))
@@ -95,9 +122,12 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> Data
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """By the path's ending; others are refused."""
+    """By the path's ending; others are refused. Of a folder all files that can be read are, others are left alone."""
     low = path.lower()
-    if low.endswith((".xlsx", ".xlsm")) or not re.search(r"\.[a-z]+$", low):
+    if not re.search(r"\.[a-z]+$", low):
+        comma, tab = read_delimited(spark, path, ",", "[!~]*.{csv,CSV,txt,TXT}"), read_delimited(spark, path, "\t", "[!~]*.{tsv,TSV}")
+        return read_xlsx(spark, path).unionByName(comma).unionByName(tab)
+    if low.endswith((".xlsx", ".xlsm")):
         return read_xlsx(spark, path)
     if low.endswith((".csv", ".txt")):
         return read_delimited(spark, path)

@@ -76,14 +76,15 @@ def test_slugs_of_two_bases_meet(spark):
     assert got["a1"] == "x" and got["b1"] == "y" and got["a2"] == "x-2" and len(set(got.values())) == 5
 
 
-def test_near_duplicates_lose_no_pair(spark):
-    names = ["anker usb c cable 1m", "anker usb c cable 2m", "usb c cable anker 1m", "wall charger compact 25w", "wall charger compact 25 w", "wall charger compct 25w", "short", "shart"] + [f"item number {i}" for i in range(20)]
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.65, 0.8])
+def test_near_duplicates_lose_no_pair(spark, threshold):
+    names = ["anker usb c cable 1m", "anker usb c cable 2m", "usb c cable anker 1m", "wall charger compact 25w", "wall charger compact 25 w", "wall charger compct 25w", "short", "shart", "shorter", "ab", "ac", "cable", "tables"] + [f"item number {i}" for i in range(20)]
     df = spark.createDataFrame([(i, n, "b", True) for i, n in enumerate(names)], "id long, name string, brand string, is_active boolean")
-    fast = {(r["name_a"], r["name_b"]) for r in quality.near_duplicates(df, 0.8).collect()}
+    fast = {(r["name_a"], r["name_b"]) for r in quality.near_duplicates(df, threshold).collect()}
     a, b = df.select(F.col("name").alias("a")), df.select(F.col("name").alias("b"))
     from shelfspark.functions.text import similarity
 
-    slow = {(r["a"], r["b"]) for r in a.join(b, F.col("a") < F.col("b")).where(F.round(similarity(F.col("a"), F.col("b")), 3) >= 0.8).collect()}
+    slow = {(r["a"], r["b"]) for r in a.join(b, F.col("a") < F.col("b")).where(F.round(similarity(F.col("a"), F.col("b")), 3) >= threshold).collect()}
     assert fast == slow and len(slow) > 3
 
 
@@ -122,3 +123,18 @@ def test_workbook(spark, tmp_path):
     assert [(r["name"], r["rdp"], r["quantity"], r["category"], r["procurement"]) for r in got] == [("USB cable 1m", 45.0, 7, "Cables", "must_buy")]
     with pytest.raises(ValueError):
         workbook.read(spark, "a.pdf")
+
+
+def test_dates_and_folders(spark, tmp_path):
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {m} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {m}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="0.00&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {m}><sheetData><row r="1"><c r="A1" s="1"><v>45293</v></c><c r="B1" s="2"><v>45293.5</v></c><c r="C1" s="3"><v>45293</v></c><c r="D1"><v>7.0</v></c><c r="E1" s="1"><v>59</v></c></row></sheetData></worksheet>')
+    (tmp_path / "b.csv").write_text("x,y\n")
+    (tmp_path / "c.tsv").write_text("p\tq\n")
+    (tmp_path / "d.pdf").write_text("no")
+    got = {(r["file"], r["row_index"]): r["cells"] for r in workbook.read(spark, str(tmp_path)).collect()}
+    assert got["a.xlsx", 1] == ["2024-01-02T00:00:00.000Z", "2024-01-02T12:00:00.000Z", "45293", "7", "1900-02-28T00:00:00.000Z"]
+    assert got["b.csv", 1] == ["x", "y"] and got["c.tsv", 1] == ["p", "q"] and not any(f == "d.pdf" for f, _ in got)
