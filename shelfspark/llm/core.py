@@ -13,10 +13,19 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it is known to be no larger than this.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of one Arrow batch to Python: texts are of any length, so rows are no bound on memory.
+BATCH_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Lowers the session's Arrow batches to `most` bytes, or a row that is longer, where the session has only Spark's own bound."""
+    if spark.conf.get(BATCH_BYTES, None) == DEFAULT_BYTES and spark.sparkContext.getConf().get(BATCH_BYTES) is None:
+        spark.conf.set(BATCH_BYTES, most)
 
 
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra ones, even those that differ in case only, do not get in the way."""
+    bound_batches(df.sparkSession)
     at = [df.columns.index(n) for n in names]
     own = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
     return own.select(*(F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.core import BROADCAST_BYTES, Tables, narrow
+from shelfspark.llm.core import BROADCAST_BYTES, Tables, bound_batches, narrow
 from shelfspark.llm.words import _M1, Words, chunks, mix
 
 #: 1: the word counts, 0: any word. However the words that differ lie, some mask hits every overlap of
@@ -380,6 +380,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS
 
     Test text over `most_bytes` is not broadcast: it meets the documents in a join.
     """
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
     items = _items(benchmark).where(F.size(F.filter(F.split(F.regexp_replace("text", "[\\x00-\\x7F&&[^A-Za-z0-9]]+", " "), " "), lambda w: w != "")) >= least_item)
     sent = _sent(items, most_bytes)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.core import Tables, gathered, held_out, narrow, sample_of_each
+from shelfspark.llm.core import Tables, bound_batches, gathered, held_out, narrow, sample_of_each
 from shelfspark.llm.words import Words, chunks, mix
 
 BITS = 16
@@ -316,5 +316,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows, unchanged, whose language is known and has at least the share `least` of the words."""
+    bound_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     return docs.mapInArrow(lambda it: _apply(it, sent, at, least), docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.core import narrow
+from shelfspark.llm.core import bound_batches, narrow
 
 #: In the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -148,6 +148,7 @@ def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     `n_chars`, if there, counts the new text. Null texts stay null.
     """
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return docs.mapInArrow(partial(_redact, at=at, size_at=size, least=least), docs.schema)
