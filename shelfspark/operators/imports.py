@@ -44,7 +44,7 @@ def mapping_confidence(mapping: DataFrame) -> DataFrame:
 
 
 def merge(scored: DataFrame, score: str = "score", key: str = "fingerprint", policy: Policy = POLICY) -> DataFrame:
-    """One draft a key (see ingest.dedupe), with the notes of all, the other rows it came from, and DUPLICATE_PRODUCT.
+    """One draft a key (see ingest.dedupe), with the notes of all and DUPLICATE_PRODUCT; ingest.other_sources has the rows it came from.
 
     A merged row is another product than any of its rows: it is priced and scored anew.
     """

@@ -165,25 +165,32 @@ def to_products(fields: DataFrame, currencies: DataFrame, default_currency: str
 def dedupe(drafts: DataFrame, score: str = "score", key: str = "fingerprint", order: tuple[str, ...] = ("file", "sheet", "row_index")) -> DataFrame:
     """One row a key: the best score wins, the earlier of equals; what it lacks comes from the next best that has it.
 
-    A plain aggregate with partial sums on the map side, whatever the size of a group. A map has the entries
+    Plain aggregates with partial sums on the map side, whatever the size of a group. A map has the entries
     of all rows, of one name the best row's. `notes`, where there are, are those of all rows, each once;
-    `other_sources` are the rows that did not win, `n_sources` counts all. With three rows or more, later rows
-    are compared with the winner's own score, not with that of the row merged so far; a strict left-to-right
-    fold could pick another row there.
+    `n_sources` counts the rows, `other_sources` lists them. With three rows or more, later rows are compared
+    with the winner's own score, not with that of the row merged so far; a strict left-to-right fold could
+    pick another row there.
     """
     place = F.struct((-F.col(score)).alias("s"), *order)
     types = dict(drafts.dtypes)
     maps = [c for c, t in types.items() if t.startswith("map")]
     filled = [F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in types if c not in (key, "notes", *maps)]
     notes = F.array_compact(F.array("notes")) if types.get("notes") == "string" else F.col("notes")
-    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(notes)))).alias("notes")] if "notes" in types else []
-    joined = [F.collect_list(F.when(F.col(c).isNotNull() & (F.size(c) > 0), F.struct(place.alias("at"), F.col(c).alias("m")))).alias(c) for c in maps]
-    row = F.struct(*(F.col(c) for c in order))
-    out = drafts.groupBy(key).agg(*filled, *union, *joined, F.count("*").alias("n_sources"), F.array_sort(F.collect_list(row)).alias("_rows"), F.min_by(row, place).alias("_won"))
-    by_place = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
-    first = lambda a, b: F.map_concat(F.map_filter(b, lambda k, _: ~F.map_contains_key(a, k)), a)
-    merged = {c: F.aggregate(F.transform(F.array_sort(c, by_place), lambda x: x["m"]), F.create_map().cast(types[c]), first) for c in maps}
-    return out.withColumns({**merged, "other_sources": F.filter("_rows", lambda r: r != F.col("_won"))}).drop("_rows", "_won")
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(notes)))).alias("notes")] if "notes" in types else []
+    out = drafts.groupBy(key).agg(*filled, *union, F.count("*").alias("n_sources"))
+    for c in maps:  # as many entries as there are names, not rows
+        entries = drafts.select(F.col(key).alias("_key"), place.alias("_at"), F.explode(c).alias("_name", "_value"))
+        best = entries.groupBy("_key", "_name").agg(F.min_by("_value", "_at").alias("_value"))
+        merged = best.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias(c))
+        out = out.join(merged, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn(c, F.coalesce(c, F.create_map().cast(types[c])))
+    return out
+
+
+def other_sources(drafts: DataFrame, score: str = "score", key: str = "fingerprint", order: tuple[str, ...] = ("file", "sheet", "row_index")) -> DataFrame:
+    """The place of every draft that another one of its key was merged over: a row each, as a product may have any number."""
+    row = F.struct(*order)
+    won = drafts.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct((-F.col(score)).alias("s"), *order)).alias("_won"))
+    return drafts.join(won, F.col(key).eqNullSafe(F.col("_key"))).where(~row.eqNullSafe(F.col("_won"))).select(key, *order)
 
 
 def chosen(grid: DataFrame, only: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:

@@ -46,8 +46,9 @@ def resolve(drafts: DataFrame, reserved: DataFrame, save: Save) -> DataFrame:
     base = F.coalesce(F.nullif(slugify(F.concat_ws(" ", "name", "sku")), F.lit("")), wanted)
     claims = drafts.select("fingerprint", "arrival", wanted.alias("wanted"), base.alias("base"))
     held = reserved.select(F.col("slug").alias("held"), "owner").dropDuplicates(["held"])
-    first = F.row_number().over(Window.partitionBy("wanted").orderBy("arrival", "fingerprint")) == 1
-    rows = save(claims.join(held, F.col("wanted") == F.col("held"), "left").withColumn("keeps", F.coalesce(F.col("owner") == F.col("fingerprint"), first)).drop("held", "owner"))
+    first = claims.groupBy(F.col("wanted").alias("_wanted")).agg(F.min(F.struct("arrival", "fingerprint")).alias("_first"))  # no sort of all who want one slug
+    known = claims.join(first, F.col("wanted").eqNullSafe(F.col("_wanted"))).join(held, F.col("wanted") == F.col("held"), "left")
+    rows = save(known.withColumn("keeps", F.coalesce(F.col("owner") == F.col("fingerprint"), F.struct("arrival", "fingerprint").eqNullSafe(F.col("_first")))).select("fingerprint", "arrival", "wanted", "base", "keeps"))
     done = rows.where("keeps").select("fingerprint", "wanted", F.col("wanted").alias("slug"))
 
     left = rows.where("not keeps").drop("keeps")

@@ -125,12 +125,18 @@ def rescore_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = ingest.dedupe(s.repeated_drafts(spark, sf_dir))
-    sources = F.array_join(F.transform("other_sources", lambda r: F.concat_ws(":", r["sheet"], r["row_index"].cast("string"))), ";")
+    drafts = s.repeated_drafts(spark, sf_dir)
+    listed = ingest.other_sources(drafts).groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("file", "sheet", "row_index"))).alias("rows"))
+    merged = ingest.dedupe(drafts).join(listed, "fingerprint", "left")
+    sources = F.coalesce(F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["sheet"], r["row_index"].cast("string"))), ";"), F.lit(""))
     extras = F.array_join(F.transform(F.array_sort(F.map_entries("extras")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return merged.select("fingerprint", "score", "row_index", "brand", "rdp", "n_sources", _join("notes"), sources.alias("sources"), extras.alias("extras"))
 
 
+def draft_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.other_sources(s.repeated_drafts(spark, sf_dir)).select("fingerprint", "sheet", "row_index")
+
+
 def draft_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.draft_quality(_scored(spark, sf_dir))
 
@@ -209,7 +215,7 @@ MORE = {
     "breadcrumbs": lambda spark, sf_dir: detail.trail(s.spec_maps(spark, sf_dir)), "featured_categories": featured_categories,
     "dashboard_derived": lambda spark, sf_dir: analytics.dashboard_derived(_scored(spark, sf_dir)), "chart_top": lambda spark, sf_dir: analytics.chart_top(analytics.inventory_value(with_pricing(products(spark, sf_dir, supplier=False)), "brand")).select("group", "cost", "retail"),
     "fix_queue": lambda spark, sf_dir: quality.fix_queue(_scored(spark, sf_dir)), "issues_ranked": issues_ranked, "collision_members": lambda spark, sf_dir: quality.collision_members(products(spark, sf_dir, supplier=False)), "rescore_collisions": rescore_collisions,
-    "dedupe_full": dedupe_full, "draft_quality": draft_quality, "import_report": import_report, "import_report_totals": import_report_totals, "skipped_rows": skipped_rows, "import_runs_page": import_runs_page,
+    "dedupe_full": dedupe_full, "draft_sources": draft_sources, "draft_quality": draft_quality, "import_report": import_report, "import_report_totals": import_report_totals, "skipped_rows": skipped_rows, "import_runs_page": import_runs_page,
     "patch_reprice": _patched(store.apply_patch), "patch_prices": _patched(store.update_price), "remove_soft": remove_soft, "remove_hard": remove_hard, "create_repeated": create_repeated, "verify_waived": verify_waived,
     "brand_filter": brand_filter, "public_subcategory": lambda spark, sf_dir: catalog.public_list(_scored(spark, sf_dir), subcategory=["STANDARD 1", "ECONOMY 2", "PROMO 0", "SMALL 1"], has_image=True).select("id", "slug", "shown_price"),
     "display_money": display_money, "posix_paths": posix_paths,

@@ -134,6 +134,7 @@ SELECT id, (row_number() OVER (PARTITION BY id ORDER BY is_primary DESC, n) - 1)
 r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, sheet, k) AS place FROM d), x AS (SELECT g, k % 3 AS col, arg_min(k, place) AS v FROM r GROUP BY ALL)
 SELECT 'sku:' || g AS fingerprint, max(score) AS score, arg_min(k, place) AS row_index, arg_min(brand, place) FILTER (brand IS NOT NULL) AS brand, arg_min(rdp, place) FILTER (rdp IS NOT NULL) AS rdp, count(*) AS n_sources,
   array_to_string(list_sort(list_distinct(list('note ' || (k % 4)))), ';') AS notes, coalesce(string_agg(sheet || ':' || k, ';' ORDER BY sheet, k) FILTER (place > 1), '') AS sources, (SELECT string_agg('col' || col || '=' || v, ';' ORDER BY col) FROM x WHERE x.g = r.g) AS extras FROM r GROUP BY g""",
+    "draft_sources": "SELECT 'sku:' || (p_partkey % 700) AS fingerprint, 's' || (p_partkey % 2) AS sheet, p_partkey AS row_index FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 700 ORDER BY p_partkey % 7 DESC, p_partkey % 2, p_partkey) > 1",
     "draft_quality": f"{CODES}, c AS (SELECT code, count(*) AS n FROM codes GROUP BY code) SELECT 'code' AS kind, code AS name, n, (SELECT {r1('avg(score)', 1)} FROM scored) AS avg_score FROM c UNION ALL SELECT 'severity', {_severity}, sum(n)::BIGINT, (SELECT {r1('avg(score)', 1)} FROM scored) FROM c GROUP BY 2",
     "import_report": f"{REPORT} SELECT * FROM r",
     "import_report_totals": f"{REPORT} SELECT count(*) AS sheets, count(*) AS processed, sum(rows_read)::BIGINT AS rows_read, sum(data)::BIGINT AS rows_data, sum(section + title + total)::BIGINT AS rows_skipped FROM r WHERE sheet <> 'sheet-4'",

@@ -99,7 +99,12 @@ def test_links_are_one_to_one(spark):
     assert got == {("g", 1), ("f", 2)}
 
 
-def test_links_of_equal_and_falling_scores_are_all_made(spark):
+def test_links_of_equal_and_falling_scores_are_all_made(spark, tmp_path):
+    def save(df):
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
     equal = [(f"f{i:03}", j, 0.8) for i in range(60) for j in range(60)]
     falling = [(f"g{i:03}", 100 + i + d, 0.9 - 0.002 * (2 * i + d)) for i in range(70) for d in (0, 1)]
     pairs, used, want = [*equal, *falling], set(), set()
@@ -107,10 +112,21 @@ def test_links_of_equal_and_falling_scores_are_all_made(spark):
         if folder not in used and i not in used:
             used |= {folder, i}
             want.add((folder, i))
-    got = images.assign(spark.createDataFrame(pairs, "folder string, id long, score double"), lambda d: d.localCheckpoint())
+    got = images.assign(spark.createDataFrame(pairs, "folder string, id long, score double"), save)
     assert sorted((r["folder"], r["id"]) for r in got.collect()) == sorted(want) and len(want) == 130
     few = spark.createDataFrame([x for x in pairs if x[0] < "f004" and x[1] < 4], "folder string, id long, score double")
-    assert {(r["folder"], r["id"]) for r in images.assign(few, lambda d: d.localCheckpoint(), at_once=0).collect()} == {(f"f{i:03}", i) for i in range(4)}
+    assert {(r["folder"], r["id"]) for r in images.assign(few, save, at_once=0).collect()} == {(f"f{i:03}", i) for i in range(4)}
+
+
+def test_merge_of_repeated_drafts(spark):
+    shape = "fingerprint string, score double, file string, sheet string, row_index int, rdp double, notes string, extras map<string,string>"
+    rows = [("a", 1.0, "f", "s", i, float(i), f"n{i % 2}", {"x": str(i), f"y{i % 3}": str(i)}) for i in range(9)] + [("a", 5.0, "f", "s", 9, None, None, None), ("b", 2.0, "f", "s", 10, 3.0, None, {}), (None, 1.0, "f", "s", 11, 1.0, "n", {"k": "v"}), (None, 1.0, "f", "s", 12, 2.0, "n", {"k": "w"})]
+    drafts = spark.createDataFrame(rows, shape)
+    got = {r["fingerprint"]: r for r in ingest.dedupe(drafts).collect()}
+    assert set(got) == {"a", "b", None} and (got["a"]["row_index"], got["a"]["rdp"], got["a"]["notes"], got["a"]["n_sources"]) == (9, 0.0, ["n0", "n1"], 10)
+    assert got["a"]["extras"] == {"x": "0", "y0": "0", "y1": "1", "y2": "2"} and got["b"]["extras"] == {} and got[None]["extras"] == {"k": "v"}
+    left = {(r["fingerprint"], r["row_index"]) for r in ingest.other_sources(drafts).collect()}
+    assert left == {*(("a", i) for i in range(9)), (None, 12)} and ingest.dedupe(drafts.limit(0)).count() == 0
 
 
 def test_workbook(spark, tmp_path):

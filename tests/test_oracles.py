@@ -18,7 +18,7 @@ def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
-@pytest.mark.parametrize("name", ["summary", "inventory_by_brand", "loss_makers", "completeness", "duplicate_skus", "related_products", "parse_money", "upsert_locked", "import_products", "resolve_slugs", "patch_fields", "patch_outcomes", "create_products", "verify_products", "manifest_gap_split", "assign_folders", "link_folders", "spec_rows", "dedupe_full", "create_repeated", "brand_filter", "remove_soft", "display_money"])
+@pytest.mark.parametrize("name", ["summary", "inventory_by_brand", "loss_makers", "completeness", "duplicate_skus", "related_products", "parse_money", "upsert_locked", "import_products", "resolve_slugs", "patch_fields", "patch_outcomes", "create_products", "verify_products", "manifest_gap_split", "assign_folders", "link_folders", "spec_rows", "dedupe_full", "draft_sources", "dedupe_merge", "create_repeated", "brand_filter", "remove_soft", "display_money"])
 def test_query(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"):
