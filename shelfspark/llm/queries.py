@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import ann, decontaminate, dedup, langid, packing, pii, quality, toxicity, urls, warc
+from shelfspark.llm import ann, codes, decontaminate, dedup, fingerprints, langid, packing, periodic, pii, quality, toxicity, urls, warc
 from shelfspark.llm.core import held_out
 
 
@@ -94,6 +94,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document; a tenth of the documents get a periodic tail first."""
+    return periodic.digest(periodic.find(periodic.with_planted(_table(spark, sf_dir, "documents")), repeats=4, least=6))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable vectors from 16 codebooks of 64 entries after two rounds over all vectors."""
+    return codes.compress(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the last half replaced, and how alike they are."""
+    return fingerprints.edited(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest, op2_warc, op3_pii, op4_toxicity, op5_minhash, op6_urls, op7_decontaminate, op8_packing, op9_quality, op10_language)
+    f.__name__: f for f in (op1_nearest, op2_warc, op3_pii, op4_toxicity, op5_minhash, op6_urls, op7_decontaminate, op8_packing, op9_quality, op10_language, op11_periodic, op12_codes, op13_fingerprints)
 }
