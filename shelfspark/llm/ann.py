@@ -205,11 +205,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 60
     blocks of `block` rows, and in each block `rerank` candidates a query are ranked exactly. Each task
     keeps a query's k nearest and sends them once. Queries go to the executors in lots of a fixed size in
     bytes; with several lots codes are made once and saved. Vectors are near those of their own length
-    only. Null, zero and non-finite vectors and null ids take no part; repeated rows are candidates each.
+    only. Null, zero and non-finite vectors and null ids take no part; repeated rows are candidates each, while
+    queries that share an id are one, the one with the smallest components.
     """
     spark = vectors.sparkSession
     found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    base, asked = usable(vectors), usable(queries).withColumn("_dim", F.size("embedding"))
+    base, asked = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("_dim", F.size("embedding"))
     for dim, n in sorted(map(tuple, asked.groupBy("_dim").count().collect())):
         own = base.where(F.size("embedding") == dim)
         drawn = np.array([r[1] for r in bounded_sample(own, "vec_id", sample).collect()])

@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,7 +110,9 @@ def sample_of_each(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
 
 
 def gathered(features: DataFrame, size: str, most: int) -> pa.Table:
-    """Rows of a bounded sample, so many in the order of `spread(doc_id)` that their `size` sums up to `most`.
+    """Rows of a bounded sample, taken in the order of `spread(doc_id)` while their `size` sums up to `most`.
+
+    A row too large for what is left is passed over, as the order of rows tells nothing of them.
 
     The features are made on the executors and saved; of them only that bound comes to the driver. Of rows
     that share a doc_id one counts.
@@ -120,7 +121,11 @@ def gathered(features: DataFrame, size: str, most: int) -> pa.Table:
     one = features.groupBy("doc_id").agg(F.min(F.struct(size, *(c for c in features.columns if c not in ("doc_id", size)))).alias("_row")).select("doc_id", "_row.*")
     kept = tables.save(one.withColumn("_at", spread("doc_id")))
     sizes = kept.select("_at", size).orderBy("_at").toArrow()
-    fits = int(np.searchsorted(np.cumsum(sizes[size].to_numpy()), most, side="right"))
-    if not fits:
-        return kept.limit(0).toArrow()
-    return kept.where(F.col("_at") <= sizes["_at"][fits - 1].as_py()).orderBy("_at").toArrow()
+    taken, left = [], most
+    for at, n in zip(sizes["_at"].to_pylist(), sizes[size].to_pylist(), strict=True):
+        if n <= left:
+            taken.append((at,))
+            left -= n
+    if len(taken) == sizes.num_rows:
+        return kept.orderBy("_at").toArrow()
+    return kept.join(F.broadcast(features.sparkSession.createDataFrame(taken, "_at long")), "_at", "left_semi").orderBy("_at").toArrow()

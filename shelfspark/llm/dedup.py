@@ -37,6 +37,8 @@ HUBS, DEAL = 4, 64
 COUNTED, COMMON = 20_000, 300_000
 #: Sets with one shingle that one task compares.
 SHARE = 2_000
+#: Nodes that a task contracts edges of at once, which bounds its memory.
+CONTRACTED = 500_000
 HASHES = TREES * DEPTH
 SKETCH = 64
 _A = np.random.default_rng(99).integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -49,6 +51,18 @@ def _sets(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def _named(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two hashes of each set; 0 of an empty one."""
+    n = np.diff(begin)
+    full = np.flatnonzero(n)
+    h1, h2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    if len(full):
+        starts = begin[:-1][full]
+        h1[full] = np.add.reduceat(mix(h), starts).view(np.int64)
+        h2[full] = np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), starts).view(np.int64)
+    return n, h1, h2
+
+
 def signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """MinHash values (texts, HASHES) of non-empty sets."""
     out, high = np.empty((HASHES, len(begin) - 1), np.uint32), (h >> np.uint64(32)).astype(np.uint32)
@@ -61,15 +75,11 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for lo, hi, buf, offsets in chunks(batch.column(1), "ascii"):
             h, begin = _sets(*shingles(Words(buf, offsets), k))
-            n = np.diff(begin)
+            n, h1, h2 = _named(h, begin)
             full = np.flatnonzero(n)
-            h1, h2 = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
             sig = [None] * (hi - lo)
             if len(full):
-                starts = begin[:-1][full]
-                h1[full] = np.add.reduceat(mix(h), starts).view(np.int64)
-                h2[full] = np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), starts).view(np.int64)
-                s = signatures(h, np.append(starts, len(h)))
+                s = signatures(h, np.append(begin[:-1][full], len(h)))
                 for i, row in zip(full.tolist(), s, strict=True):
                     sig[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(h1), pa.array(h2), pa.array(sig, pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
@@ -80,8 +90,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         for lo, hi, buf, offsets in chunks(batch.column(1), "ascii"):
             h, begin = _sets(*shingles(Words(buf, offsets), k))
             sets = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(h.view(np.int64)))
-            more = batch.schema.names[2:]  # further columns stay
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets, *(batch.column(c).slice(lo, hi - lo) for c in more)], ["doc", "items", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets, *map(pa.array, _named(h, begin))], ["doc", "items", "n", "h1", "h2"])
 
 
 def _region_of(sig: np.ndarray) -> np.ndarray:
@@ -250,14 +259,22 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 
 def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges of a task, CONTRACTED nodes at a time, as edges to the smallest node they reach there."""
     tree = _Union()
+
+    def flush() -> pd.DataFrame:
+        out = [(x, tree.find(x)) for x in tree.up]
+        tree.up = {}
+        return pd.DataFrame([x for x in out if x[0] != x[1]], columns=["a", "b"], dtype="int64")
+
     for p in parts:
         for a, b in zip(p["a"].tolist(), p["b"].tolist(), strict=True):
             tree.up.setdefault(a, a)
             tree.up.setdefault(b, b)
             tree.join(a, b)
-    out = [(x, tree.find(x)) for x in tree.up]
-    yield pd.DataFrame([x for x in out if x[0] != x[1]], columns=["a", "b"], dtype="int64")
+        if len(tree.up) > CONTRACTED:
+            yield flush()
+    yield flush()
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -362,7 +379,7 @@ def _placed(members: DataFrame, comps: DataFrame, tables: Tables) -> DataFrame:
     return tables.save(open_)
 
 
-def _rest(members: DataFrame, own: DataFrame, links: DataFrame, comps: DataFrame, words: int, percent: int, tables: Tables) -> DataFrame:
+def _rest(members: DataFrame, own: DataFrame, classes: DataFrame, links: DataFrame, comps: DataFrame, words: int, percent: int, tables: Tables) -> DataFrame:
     """Components after all links between members of a group, in whatever number, are found.
 
     Hubs come first, as they may link most of a crowd; what stays outside a group's largest component is
@@ -372,9 +389,7 @@ def _rest(members: DataFrame, own: DataFrame, links: DataFrame, comps: DataFrame
     if open_.isEmpty():
         return comps
     who = open_.groupBy("doc").agg(F.first("component").alias("component"), F.max("outside").alias("outside"))
-    ids = tables.save(who.select(F.col("doc").alias("id")))
-    text = _marked(own, "doc_id", ids).where("_may").join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    sets = tables.save(text.mapInArrow(partial(_full_sets, k=words), "doc long, items array<long>").distinct())
+    sets = _sets_of(tables.save(who.select(F.col("doc").alias("id"))), classes, own, words, tables)
 
     crowded = open_.groupBy("grp").count().where(F.col("count") > REGION).select("grp")
     both = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("links"))
@@ -408,22 +423,34 @@ def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return known.join(F.broadcast(bits), "_word", "left").withColumn("_may", hit).drop("_at", "_word", "_bits")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def _sets_of(ids: DataFrame, classes: DataFrame, own: DataFrame, words: int, tables: Tables) -> DataFrame:
+    """doc and items, the full set, of the nodes `ids` (column `id`)."""
+    want = tables.save(ids.join(classes.select(F.col("node").alias("id"), F.col("rep").alias("doc"), "n", "h1", "h2"), "id"))
+    text = _marked(own, "doc_id", want.select(F.col("doc").alias("id"))).where("_may").select("doc_id", "text")
+    made = text.mapInArrow(partial(_full_sets, k=words), "doc long, items array<long>, n long, h1 long, h2 long")
+    one = made.join(want, ["doc", "n", "h1", "h2"]).dropDuplicates(["doc", "n", "h1", "h2"])
+    return tables.save(one.select(F.col("id").alias("doc"), "items"))
 
-    Two documents are linked if 100 times the common shingles are at least `percent` times all. A text of
-    fewer words is one shingle; empty and null texts have none and link with nothing. Rows that share a
-    doc_id are one node, a null doc_id links with nothing and is kept. `kept`: the smallest doc_id of a
-    component.
-    """
+
+def _linked(docs: DataFrame, words: int, percent: int, tables: Tables) -> DataFrame:
+    """doc_id, n, h1 and h2 of every row's set, its component_id, and whether rows of this set and id are the one to stay."""
     spark = docs.sparkSession
-    tables, parts = Tables(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = tables.save(own.mapInArrow(partial(_sign, k=words), "doc_id long, n long, h1 long, h2 long, sig binary"))
     full = signed.where("n > 0 and doc_id is not null")
     # all rows of a class have one set, and so one signature
     classes = tables.save(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")))
-    reps = classes.select(F.col("rep").alias("doc_id"), "n", "sig")
+    # of classes with the same smallest id the first goes by it, the others by numbers of their own
+    same = F.struct("n", "h1", "h2")
+    shared = tables.save(classes.groupBy("rep").agg(F.count("*").alias("_several"), F.min(same).alias("_first")).where("_several > 1").drop("_several"))
+    plain = shared.isEmpty()
+    if plain:
+        classes = classes.withColumn("node", F.col("rep"))
+    else:
+        node = F.when(F.col("_first").isNull() | (F.col("_first") == same), F.col("rep")).otherwise(F.xxhash64("rep", "n", "h1", "h2"))
+        classes = tables.save(classes.join(shared, "rep", "left").withColumn("node", node).drop("_first"))
+    reps = classes.select(F.col("node").alias("doc_id"), "n", "sig")
 
     forest = reps.mapInArrow(_trees, "region long, key binary, doc long, n long, sketch binary")
     crowds = tables.save(reps.mapInArrow(_regions, "region long, doc long").groupBy("region").count().where(F.col("count") > min(REGION, HOT)))
@@ -436,34 +463,66 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = tables.save(found.where("grp = 0 and a <> b").select("a", "b").distinct())
 
     ids = tables.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    some = _marked(own, "doc_id", ids).where("_may").join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    sets = tables.save(some.mapInArrow(partial(_full_sets, k=words), "doc long, items array<long>").distinct())
-    links = tables.save(_checked(pairs, sets, percent))
+    links = tables.save(_checked(pairs, _sets_of(ids, classes, own, words, tables), percent))
     comps = tables.save(components(links, tables))
 
     # groups of which only a forest was checked and regions too large for all pairs: find what is left
     members = found.where("grp <> 0").select("grp", F.col("a").alias("doc"))
     if not crowds.isEmpty():  # a few other regions may be taken with them
         members = members.union(reps.mapInArrow(partial(_regions, crowds=spark.sparkContext.broadcast(_bits(crowds, "region"))), "region long, doc long"))
-    comps = _rest(tables.save(members), own, links, comps, words, percent, tables)
-
-    named = classes.drop("sig").join(comps, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    comps = _rest(tables.save(members), own, classes, links, comps, words, percent, tables)
+
+    named = classes.drop("sig").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if plain:
+        named = named.select("n", "h1", "h2", F.col("component").alias("component_id"), (F.col("rep") == F.col("component")).alias("stays"))
+    else:  # a node is not always an id: each component takes its smallest
+        named = tables.save(named)
+        one = F.struct("rep", "n", "h1", "h2")
+        named = named.join(named.groupBy("component").agg(F.min(one).alias("_one")), "component").select("n", "h1", "h2", F.col("_one.rep").alias("component_id"), (one == F.col("_one")).alias("stays"))
     known = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return known.select("doc_id", "n", "h1", "h2", component.alias("component_id"), (F.coalesce("stays", F.lit(True)) & F.coalesce(F.col("doc_id") == component, F.lit(True))).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    Two documents are linked if 100 times the common shingles are at least `percent` times all. A text of
+    fewer words is one shingle; empty and null texts have none and link with nothing. A row goes by its own
+    text: rows that share a doc_id but not their set are documents of their own. A null doc_id links with
+    nothing and is kept. `kept`: the row's id is the smallest of its component.
+    """
+    found = _linked(docs, words, percent, Tables(docs.sparkSession))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _with_set(batches: Iterator[pa.RecordBatch], k: int, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows with the size and the hashes of their sets."""
+    for batch in batches:
+        for lo, hi, buf, offsets in chunks(batch.column(at), "ascii"):
+            n, h1, h2 = _named(*_sets(*shingles(Words(buf, offsets), k)))
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(n), pa.array(h1), pa.array(h2)], [*batch.schema.names, "_n", "_h1", "_h2"])
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, unchanged, of which one stays from each group of near duplicates and of repeated doc_ids.
+    """The rows, unchanged, of which one stays from each group of near duplicates.
 
-    Rows that may go are told by a bounded table of bits, so only those are shuffled with their text.
+    It is the row with the smallest doc_id; where rows share that id, one whose text is near the group's,
+    and of equal sets the smallest text. No text goes that is near to none that stays: rows with the same id
+    and other texts are judged apart. Rows without an id or without words all stay. Rows that may go are told by a
+    bounded table of bits, so only those are shuffled with their text.
     """
     tables = Tables(docs.sparkSession)
-    found = near_duplicates(docs, words, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
-    odd = tables.save(found.where("n > 1 or not kept"))
+    keys = ["_n", "_h1", "_h2"]
+    found = _linked(docs, words, percent, tables).where("doc_id is not null and n > 0").groupBy(F.col("doc_id").alias("id"), *(F.col(k[1:]).alias(k) for k in keys))
+    odd = tables.save(found.agg(F.first("stays").alias("_stays"), F.count("*").alias("_rows")).where("_rows > 1 or not _stays"))
     names, own = docs.columns, docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
-    key = f"_{docs.columns.index('doc_id')}"
-    rows = _marked(own, key, odd)
-    sifted = rows.where("_may").join(odd, F.col(key).cast("long") == F.col("id"), "left").where("coalesce(kept, true)")
-    stay = rows.where("not _may").unionByName(sifted.where("id is null").select(rows.columns)).unionByName(sifted.where("id is not null").select(rows.columns).dropDuplicates([key]))
-    return stay.drop("_may").toDF(*names)
+    key, text = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = _marked(own, key, odd.select("id"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", _n long, _h1 long, _h2 long"
+    may = rows.where("_may").select(own.columns).mapInArrow(partial(_with_set, k=words, at=docs.columns.index("text")), schema).withColumn("id", F.col(key).cast("long"))
+    sifted = may.join(odd, ["id", *keys], "left").where("coalesce(_stays, true)")
+    whole = F.struct(*own.columns)
+    repeated = sifted.where("_rows > 1").groupBy("id", *keys).agg(F.min_by(whole, F.struct(text, F.to_json(whole))).alias("_row")).select("_row.*")
+    single = sifted.where("coalesce(_rows, 1) = 1").select(own.columns)
+    return rows.where("not _may").select(own.columns).unionByName(single).unionByName(repeated.select(own.columns)).toDF(*names)

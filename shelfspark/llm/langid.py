@@ -8,7 +8,6 @@ gives each word's label probabilities; a document's are their mean over words wi
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +24,8 @@ BITS = 16
 AFFIXES = (2, 3, 4)
 BLOCK = 128
 UNKNOWN = "und"
-#: Most frequent words of each language in its lexicon; words of a fitting sequence, and runs of them that a text gives.
-LEXICON, SEQUENCE, RUNS = 400, 48, 12
+#: Most frequent words of each language in its lexicon; words of a fitting sequence.
+LEXICON, SEQUENCE = 400, 48
 _TRI = np.random.default_rng(5).integers(1, 2**63, (3, 256), dtype=np.uint64)
 
 
@@ -259,14 +258,12 @@ def fit(runs: dict[str, list[list[str]]], lexicon: np.ndarray, sequences: int =
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to RUNS stretches of SEQUENCE words from all over each text, and its distinct words."""
+    """Each whole text as stretches of SEQUENCE words, and its distinct words."""
     for batch in batches:
         runs, words = [], []
         for text in batch.column(2).to_pylist():
             ws = text.lower().split()
-            draw = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
-            at = draw.integers(0, max(1, len(ws) - SEQUENCE + 1), min(RUNS, 1 + len(ws) // SEQUENCE))
-            runs.append([" ".join(ws[i : i + SEQUENCE]) for i in sorted(at.tolist())])
+            runs.append([" ".join(ws[i : i + SEQUENCE]) for i in range(0, len(ws), SEQUENCE)])
             words.append(sorted(set(ws)))
         size = pa.array([sum(map(len, r)) for r in runs], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(runs, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], ["doc_id", "lang", "size", "runs", "words"])
@@ -307,13 +304,40 @@ def _apply(batches: Iterator[pa.RecordBatch], model, at: int, keep: float | None
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and lang_score of every row; `und` and 0 for a null text or one without letters.
 
-    Only the text is read: lang, source and doc_id are no inputs. Repeated rows get the same answer.
+    Only the text is read: lang, source and doc_id are no inputs. Repeated rows get the same answer; of
+    languages with equal shares the first by name counts.
     """
     own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return own.mapInArrow(lambda it: (b.select(["doc_id", "lang_pred", "lang_score"]) for b in _apply(it, sent, 1, None)), "doc_id long, lang_pred string, lang_score double")
 
 
+def _labelled(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    m = model.value
+    for batch in batches:
+        for lo, hi, buf, offsets in chunks(batch.column(1), "utf8"):
+            w = Words(buf, offsets)
+            post = posteriors(emissions(w, m.weights, m.lexicon), w.first, m.transitions, m.start) if m.labels else np.zeros((len(w.start), 1))
+            best, letters, raw = post.argmax(1), _letters(w), buf.tobytes()
+            words = pa.array([raw[s:e].decode("utf-8", "replace") for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)], pa.string())
+            known = letters if m.labels else np.zeros(len(letters), bool)
+            labels = pa.array([m.labels[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], pa.string())
+            scores = pa.array(np.where(known, post[np.arange(len(best)), best], 0.0))
+            rows = pa.StructArray.from_arrays([words, labels, scores], ["word", "lang", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), rows)], ["doc_id", "words"])
+
+
+def label_words(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and the lower-cased words of every row, each with the language it is most likely in and how likely.
+
+    Words without a letter are `und` with 0, as all are where nothing was learned; of languages that are
+    equally likely the first by name counts. A null or empty text has no words.
+    """
+    own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return own.mapInArrow(lambda it: _labelled(it, sent), "doc_id long, words array<struct<word:string,lang:string,score:double>>")
+
+
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows, unchanged, whose language is known and has at least the share `least` of the words."""
     bound_batches(docs.sparkSession)

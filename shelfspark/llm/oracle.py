@@ -43,7 +43,7 @@ WARC = f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, 'sha256:' || sha256(coalesce(html, '')) AS digest FROM pages),
 s AS (
   SELECT *, {uuid_of("'response' || chr(31) || coalesce(CAST(page_id AS VARCHAR), '') || chr(31) || url || chr(31) || digest")} AS source_id,
-    {plain_text("html")} AS text, regexp_replace(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)), '[ \\r\\n\\t]+', ' ', 'g') AS title FROM p
+    {plain_text("html")} AS text, replace({plain_text("regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)")}, chr(10), ' ') AS title FROM p
 ), b AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'source-header: Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'source-header: Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10)

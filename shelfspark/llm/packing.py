@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.core import narrow
+from shelfspark.llm.core import Tables, narrow
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Word pieces whose ids a worker remembers; beyond it the memory is emptied, the results stay the same.
@@ -210,15 +210,19 @@ def _place(batches: Iterator[pa.RecordBatch], capacity: int, docs: int, attentio
 def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int = 256, max_attention: float = 2048.0**2, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1), at_once: int = 20_000) -> DataFrame:
     """Pieces with the sequence and offset they go to; no sequence is over any of the three capacities.
 
-    Pieces, of which only numbers and not their texts are moved, are dealt by hash and packed in each
-    partition, `at_once` pieces at a time, which bounds a task's memory; each such group leaves about one
-    sequence part-filled. Sequences are numbered by partition. Ties go by length, doc_id, piece. A piece
-    over a capacity by itself is alone in a sequence. An empty table gives no rows.
+    Pieces, of which only numbers and not their texts are moved, are saved, dealt by hash and packed in each
+    partition, `at_once` pieces at a time, which bounds a task's memory. Such a group leaves about one
+    sequence part-filled, so there are no more partitions than groups: however many partitions the session
+    asks for, the sequences exceed the fewest possible by one or two in thousands. Sequences are numbered by
+    partition. Ties go by length, doc_id, piece. A piece over a capacity by itself is alone in a sequence.
+    An empty table gives no rows.
     """
     spark = pieces.sparkSession
     names = [c for c in pieces.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "piece")
+    pieces = Tables(spark).save(pieces)
+    groups = pieces.count() // at_once
+    dealt = pieces.repartition(max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))), "doc_id", "piece")
     dealt = dealt.sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(partial(_place, capacity=capacity, docs=max_docs, attention=max_attention, rule=rule, weights=weights, at_once=at_once), schema).select(*names, "sequence_id", "offset")
 

@@ -102,11 +102,28 @@ def twins(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> tuple[str
     return f"{low} {one}", f"{low} {other(one)}"
 
 
-def fit(rows: pa.Table, penalty: float = 1.0, decay: float = 2e-3, kept: int = 20_000, least: int = 4, rounds: int = 400) -> Model:
+def identity_slots(terms: tuple[tuple[str, ...], ...] = IDENTITY) -> np.ndarray:
+    """The features of all identity terms."""
+    return np.unique(doc_slots(pa.array([t for group in terms for t in group], pa.large_string())).values.to_numpy()).astype(np.int64)
+
+
+def swap_change(rows: pa.Table, model: Model) -> float:
+    """The mean change of score between the twins of the rows."""
+    table, scores = model.table(), []
+    for name in ("one", "two"):
+        column = rows[name].combine_chunks()
+        row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+        scores.append(1 / (1 + np.exp(-np.clip(np.bincount(row, table[column.flatten().to_numpy()], len(column)) + model.bias, -40, 40))))
+    return float(np.abs(scores[0] - scores[1]).mean()) if rows.num_rows else 0.0
+
+
+def fit(rows: pa.Table, penalty: float = 1.0, decay: float = 2e-3, kept: int = 20_000, least: int = 4, rounds: int = 400, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
     """Logistic regression over the `kept` features that tell the labels apart best, each in `least` texts at least.
 
-    `rows` has the label `toxic` and the features `slots`, and those of the row's twins, `one` and `two`.
-    Without rows of both labels the model is a low or high constant.
+    `rows` has the label `toxic` and the features of the row's twins, `one` and `two`; the label is that of
+    `one`, the text with the groups it names, or with one added. The features of identity terms are always in
+    the model, so that their weights are learned from labelled sentences, and the penalty holds the twins of
+    every sentence together. Without rows of both labels the model is a low or high constant.
     """
     y = rows["toxic"].to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
@@ -116,14 +133,14 @@ def fit(rows: pa.Table, penalty: float = 1.0, decay: float = 2e-3, kept: int = 2
         column = rows[name].combine_chunks()
         return column.flatten().to_numpy(), np.repeat(np.arange(len(column), dtype=np.int32), np.diff(column.offsets.to_numpy()))
 
-    slot, row = lists("slots")
+    slot, row = lists("one")
     pos = np.bincount(slot[y[row] == 1], minlength=1 << BITS)
     neg = np.bincount(slot[y[row] == 0], minlength=1 << BITS)
     n1, n0 = y.sum(), len(y) - y.sum()
     a, b = pos + 0.5, neg + 0.5
     z = (np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))) / np.sqrt(1 / a + 1 / b)
     able = np.flatnonzero((pos + neg >= least) & (np.abs(z) > 2.5))
-    slots = np.sort(able[np.argsort(-np.abs(z[able]), kind="stable")[:kept]])
+    slots = np.union1d(able[np.argsort(-np.abs(z[able]), kind="stable")[:kept]], identity_slots(terms))
     place = np.full(1 << BITS, -1, np.int64)
     place[slots] = np.arange(len(slots))
 
@@ -131,8 +148,7 @@ def fit(rows: pa.Table, penalty: float = 1.0, decay: float = 2e-3, kept: int = 2
         at = place[slot]
         return at[at >= 0], row[at >= 0]
 
-    col, row = used(slot, row)
-    one_col, one_row = used(*lists("one"))
+    one_col, one_row = col, row = used(slot, row)
     two_col, two_row = used(*lists("two"))
     w, bias, step = np.zeros(len(slots)), float(np.log(n1 / n0)), 0.5
     sq, sq_b = np.full(len(slots), 1e-4), 1e-4
@@ -151,15 +167,14 @@ def fit(rows: pa.Table, penalty: float = 1.0, decay: float = 2e-3, kept: int = 2
 
 def _featured(batches: Iterator[pa.RecordBatch], terms: tuple[tuple[str, ...], ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(2)
-        one, two = zip(*(twins(t or "", terms) for t in texts.to_pylist()), strict=True) if batch.num_rows else ((), ())
-        lists = [doc_slots(x) for x in (texts, pa.array(one, pa.large_string()), pa.array(two, pa.large_string()))]
+        one, two = zip(*(twins(t or "", terms) for t in batch.column(2).to_pylist()), strict=True) if batch.num_rows else ((), ())
+        lists = [doc_slots(pa.array(x, pa.large_string())) for x in (one, two)]
         size = pa.array(sum(np.diff(x.offsets.to_numpy()) for x in lists).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, *lists], ["doc_id", "toxic", "size", "slots", "one", "two"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, *lists], ["doc_id", "toxic", "size", "one", "two"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_features: int = 12_000_000, terms: tuple[tuple[str, ...], ...] = IDENTITY, **how) -> Model:
-    """Fits on at most `most` labelled rows of each label that are not held out, the same bound for any size.
+def examples(docs: DataFrame, labels: DataFrame, most: int = 4000, most_features: int = 12_000_000, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> pa.Table:
+    """The features that `fit` takes, of at most `most` labelled rows of each label that are not held out, the same bound for any size.
 
     The executors read the texts and send numbered features, of all rows `most_features` together, whatever
     the texts' length. A doc_id with both labels counts as toxic; other labels count not at all.
@@ -167,8 +182,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_features: i
     own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = narrow(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     ids = F.broadcast(sample_of_each(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "toxic", most))  # at most `most` ids a label
-    made = own.join(ids, "doc_id").select("doc_id", "toxic", "text").mapInArrow(partial(_featured, terms=terms), "doc_id long, toxic int, size long, slots array<int>, one array<int>, two array<int>")
-    return fit(gathered(made, "size", most_features), **how)
+    made = own.join(ids, "doc_id").select("doc_id", "toxic", "text").mapInArrow(partial(_featured, terms=terms), "doc_id long, toxic int, size long, one array<int>, two array<int>")
+    return gathered(made, "size", most_features)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_features: int = 12_000_000, terms: tuple[tuple[str, ...], ...] = IDENTITY, **how) -> Model:
+    """The model fitted on `examples`."""
+    return fit(examples(docs, labels, most, most_features, terms), terms=terms, **how)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -92,7 +92,13 @@ def derive(records: DataFrame) -> DataFrame:
     own = records.toDF(*(f"_{i}" for i in range(len(records.columns))))
     own = own.select(*(f"_{i}" for i, _ in extra), F.struct(*(F.col(f"_{i}").alias(c) for c, i in at.items())).alias("_src")).where("_src.record_type = 'response'")
     payload = F.when(F.instr("_src.block", "\r\n\r\n") > 0, F.expr("substring(_src.block, instr(_src.block, '\\r\\n\\r\\n') + 4)")).otherwise(F.lit(""))
-    made = own.withColumn("_payload", payload).withColumns({"_text": plain_text(F.col("_payload")), "_title": F.regexp_replace(F.trim(F.regexp_extract("_payload", r"(?is)<title[^>]*>([^<]*)", 1)), "[ \\r\\n\\t]+", " ")})
+    # title and text are decoded in one pass, with a character between them that no title holds
+    title = F.replace(F.regexp_extract("_payload", r"(?is)<title[^>]*>([^<]*)", 1), F.lit("\x1f"), F.lit(" "))
+    both = plain_text(F.concat(title, F.lit("\x1f"), F.col("_payload")))
+    made = own.withColumn("_payload", payload).withColumn("_both", both).withColumns({
+        "_title": F.trim(F.replace(F.substring_index("_both", "\x1f", 1), F.lit("\n"), F.lit(" "))),
+        "_text": F.regexp_replace(F.expr("substring(_both, instr(_both, '\x1f') + 1)"), r"^[ \n]+", ""),
+    })
     lines = F.transform("_src.headers", lambda e: F.concat(F.lit("source-header: "), one_line(e["name"]), F.lit(": "), one_line(F.coalesce(e["value"], F.lit(""))), F.lit("\r\n")))
     info = F.concat(
         F.coalesce(F.concat_ws("", lines), F.lit("")), F.lit("source-payload-digest: "), F.coalesce("_src.payload_digest", F.lit("")), F.lit("\r\nsource-length: "), F.octet_length("_payload").cast("string"),
