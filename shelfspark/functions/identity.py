@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.config import BRAND_ALIASES, BRAND_PARENTS, CATEGORY_CODES, DRAFT_WORDS, GENERIC_BRANDS, GENERIC_WORDS, RESERVED_CODES, TAXONOMY
 from shelfspark.functions.text import B0, B1, clean_text, contains_arabic, let, normalize_key, title_case
 
+#: The pattern of a model code, keys that stand for no SKU, and marks of prose.
 MODEL_CODE = r"(?<![A-Za-z0-9_])(?=[A-Z0-9-]*\d)[A-Z][A-Z0-9-]{2,}(?![A-Za-z0-9_])"
 PLACEHOLDERS = ("unassigned", "n a", "na", "none", "null", "tbd", "tba", "unknown", "no sku", "various", "generic", "not assigned", "pending")
 PROSE = rf"(?i){B0}(rdp|rrp|est|price|source|matched|verified|no{B1}|none|yet|usd|egp){B1}|·|\$"
@@ -25,32 +26,61 @@ def codes_in(text: Column) -> Column:
     return F.filter(found, lambda c: ~F.upper(c).isin(*RESERVED_CODES))
 
 
+def is_placeholder(text: Column) -> Column:
+    key = normalize_key(text)
+    return (key == "") | key.isin(*PLACEHOLDERS)
+
+
 def normalize_sku(raw: Column) -> Column:
-    """sku, corrected_from, is_ambiguous and alternates of a model cell."""
-    return let(F.struct(clean_text(raw).alias("text"), normalize_key(raw).alias("key"), codes_in(raw).alias("codes")), lambda c: _sku(c["text"], c["key"], c["codes"]))
+    """sku, corrected_from, is_ambiguous and alternates of a model cell.
+
+    In turn: of a correction by an arrow the right side counts; the example of a family (one that varies, a
+    series, one per phone) stands for it; one code alone in brackets is the SKU; of prose the first code is;
+    else the cell without its brackets, or the first of several parted by slashes or commas.
+    """
+    return let(clean_text(raw), lambda text: F.when(is_placeholder(text), _sku(F.lit(None), F.lit(None), F.lit(False), None)).otherwise(let(_corrected(text), _read)))
 
 
-def _sku(text: Column, key: Column, codes: Column) -> Column:
+def _sku(sku: Column, was: Column, unsure: Column, others: Column | None) -> Column:
     none = F.array().cast("array<string>")
-    arrow = r"^(.*?)\s*(?:→|->|=>)\s*(.*)$"
+    return F.struct(sku.cast("string").alias("sku"), was.cast("string").alias("corrected_from"), F.coalesce(unsure, F.lit(False)).alias("is_ambiguous"), (none if others is None else F.coalesce(others, none)).alias("alternates"))
+
+
+def _corrected(text: Column) -> Column:
+    """The text that counts, what it corrects, and the example that stands for a family."""
+    arrow = r"^(.+?)\s*(?:→|=>|->)\s*(.+)$"
+    is_fixed = text.rlike(arrow)
+    now = F.when(is_fixed, clean_text(F.regexp_extract(text, arrow, 2))).otherwise(text)
+    was = F.when(is_fixed, clean_text(F.regexp_extract(text, arrow, 1)))
+
+    def with_example(working: Column) -> Column:
+        sample = r"(?i)e\.?g\.?\s*([A-Za-z0-9][A-Za-z0-9._-]{2,})"
+        family = working.rlike(sample) & working.rlike("(?i)varies|series|per phone")
+        own = F.when(family, F.regexp_extract(working, sample, 1)).otherwise(working)
+        return F.struct(own.alias("text"), was.alias("was"), family.alias("family"), F.when(family, F.array(working)).otherwise(F.array().cast("array<string>")).alias("others"), codes_in(own).alias("codes"))
+
+    return let(now, with_example)
+
+
+def _read(c: Column) -> Column:
+    text, codes = c["text"], c["codes"]
+    unsure = c["family"] | text.rlike(rf"(?i){B0}(varies|series){B1}")
     groups = F.transform(F.regexp_extract_all(text, F.lit(r"(\([^)]*\))"), F.lit(1)), codes_in)
     bracketed = F.get(F.get(F.filter(groups, lambda g: F.size(g) == 1), F.lit(0)), F.lit(0))
-    prose = (F.size(F.split(text, " ")) > 3) | text.rlike(PROSE)
-    plain = F.trim(F.regexp_replace(text, r"\s*\([^)]*\)\s*", " "))
-    options = F.filter(F.transform(F.split(plain, r"\s*[/,]\s*"), lambda p: F.trim(p)), lambda p: p != "")
-    old, new = codes_in(F.regexp_extract(text, arrow, 1)), codes_in(F.regexp_extract(text, arrow, 2))
-    after = F.coalesce(F.get(new, F.lit(0)), F.nullif(F.regexp_extract(text, arrow, 2), F.lit("")))
-    before = F.coalesce(F.get(old, F.lit(0)), F.nullif(F.regexp_extract(text, arrow, 1), F.lit("")))
-    sample = codes_in(F.regexp_extract(text, r"(?i)e\.?g\.?\s*(.*)$", 1))
-    out = lambda sku, was, unsure, others: F.struct(sku.alias("sku"), was.alias("corrected_from"), unsure.alias("is_ambiguous"), others.alias("alternates"))
-    null, no, yes = F.lit(None).cast("string"), F.lit(False), F.lit(True)
-    return (
-        F.when((key == "") | key.isin(*PLACEHOLDERS), out(null, null, no, none))
-        .when(text.rlike(arrow), out(after, before, no, none))
-        .when(text.rlike(rf"(?i){B0}e\.?g\.?") & (F.size(sample) > 0), out(F.get(sample, F.lit(0)), null, yes, F.array_except(codes, F.slice(sample, 1, 1))))
-        .when(bracketed.isNotNull(), out(bracketed, null, no, F.array_except(codes, F.array(bracketed))))
-        .when(prose, out(F.get(codes, F.lit(0)), null, F.size(codes) > 1, F.when(F.size(codes) > 1, F.slice(codes, 2, 1000)).otherwise(none)))
-        .otherwise(out(F.get(options, F.lit(0)), null, F.size(options) > 1, F.when(F.size(options) > 1, F.slice(options, 2, 1000)).otherwise(none)))
+    prose = (F.size(F.split(text, r"\s+")) > 3) | text.rlike(PROSE)
+    several = bracketed.isNull() & prose & (F.size(codes) > 1)
+    others = F.when(several, F.concat(c["others"], F.slice(codes, 2, 1_000_000))).otherwise(c["others"])
+    working = F.coalesce(bracketed, F.when(prose, F.get(codes, F.lit(0))), clean_text(F.regexp_replace(text, r"\([^)]*\)", " ")))
+
+    def parted(w: Column) -> Column:
+        parts = F.filter(F.transform(F.split(w["text"], r"\s*[/,]\s*"), clean_text), lambda p: p != "")
+        many = F.size(parts) > 1
+        sku = F.when(many, F.get(parts, F.lit(0))).otherwise(clean_text(w["text"]))
+        known = ~is_placeholder(sku)
+        return _sku(F.when(known, sku), c["was"], known & (w["unsure"] | many), F.when(many, F.concat(w["others"], F.slice(parts, 2, 1_000_000))).otherwise(w["others"]))
+
+    return F.when(bracketed.isNull() & prose & (F.size(codes) == 0), _sku(F.lit(None), c["was"], unsure, c["others"])).otherwise(
+        let(F.struct(working.alias("text"), (unsure | several).alias("unsure"), others.alias("others")), parted)
     )
 
 

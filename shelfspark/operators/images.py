@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.config import FOLDER_HINTS, POLICY
 from shelfspark.functions.text import key_similarity, normalize_key
+from shelfspark.operators.graph import components
 
 
 def folders(files: DataFrame, root_depth: int = 0) -> DataFrame:
@@ -38,7 +39,24 @@ def product_images(files: DataFrame, root_depth: int = 0) -> DataFrame:
     return listed.select("folder", F.transform("l", image).alias("images"))
 
 
-_PHOTO = r"\.(jpe?g|png|webp|avif|gif)$"
+#: The endings of photos.
+_PHOTO = r"\.(jpe?g|png|webp|jfif|avif|gif)$"
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, relative to the root, and length of every file of a folder tree, listed by Spark through the file system that the root names.
+
+    Large trees are listed in parallel; no file is opened. Folders without files have no rows; names may hold any
+    character. A root that does not exist gives no rows.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return spark.createDataFrame([], "path string, length long")
+    top = store.makeQualified(where).toUri().getPath().rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    own = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return found.select(F.substring(own, F.lit(len(top) + 2), F.length(own)).alias("path"), "length")
 
 
 def score_matches(found: DataFrame, products: DataFrame, least: float = POLICY.image_link) -> DataFrame:
@@ -68,41 +86,42 @@ def score_matches(found: DataFrame, products: DataFrame, least: float = POLICY.i
     return rows.select("folder", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + move)), 3).alias("score")).where(F.col("score") >= least)
 
 
-def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of pairs that come in order, those whose folder and product are both free."""
-    folders, ids = set(), set()
-    for p in parts:
-        keep = []
-        for folder, i in zip(p["folder"].tolist(), p["id"].tolist(), strict=True):
-            free = folder not in folders and i not in ids
-            keep.append(free)
-            if free:
-                folders.add(folder)
-                ids.add(i)
-        yield p[keep]
+def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of a block's pairs, in the order of score, folder and id, those whose folder and product are both free."""
+    folders, ids, keep = set(), set(), []
+    pairs = pairs.sort_values(["score", "folder", "id"], ascending=[False, True, True], kind="stable")
+    for folder, i in zip(pairs["folder"].tolist(), pairs["id"].tolist(), strict=True):
+        free = folder not in folders and i not in ids
+        keep.append(free)
+        if free:
+            folders.add(folder)
+            ids.add(i)
+    return pairs[keep][["folder", "id", "score"]]
 
 
-def assign(scores: DataFrame, save, at_once: int = 200_000) -> DataFrame:
-    """One-to-one links, the best score first: pairs that are each other's best are kept, round by round.
+def assign(scores: DataFrame, save, block: int = 20_000) -> DataFrame:
+    """One-to-one links, the best score first: those of taking pairs in the order of score, folder and id.
 
-    `save` writes a table and reads it back (a checkpoint). Equal or falling scores may give one link a round;
-    at most `at_once` pairs are therefore taken in order by one task, and above that rounds go on until no
-    pair is left. With the total order score, folder, id the links are those of taking pairs greedily.
+    Pairs that are connected by common folders or products are a block, and blocks do not touch each other, so
+    each is one group's work. Of blocks of more than `block` pairs those that are each other's best are
+    linked, which leaves smaller blocks, until all are small. `save` writes a table and reads it back.
     """
-    left, out = save(scores.select("folder", "id", "score")), None
-    while n := left.count():
-        if n <= at_once:
-            ordered = left.repartition(1).sortWithinPartitions(F.desc("score"), "folder", "id")
-            rest = ordered.mapInPandas(_in_order, left.schema)
-            return rest if out is None else out.unionByName(rest)
-        order = F.struct(F.col("score").alias("s"))
-        by_folder = left.groupBy("folder").agg(F.max_by("id", F.struct(order, -F.col("id"))).alias("best_id"))
-        by_id = left.groupBy("id").agg(F.min_by("folder", F.struct((-F.col("score")).alias("s"), "folder")).alias("best_folder"))
-        both = left.join(by_folder, "folder").join(by_id, "id").where("id = best_id and folder = best_folder").select("folder", "id", "score")
-        both = save(both)
-        out = both if out is None else out.unionByName(both)
-        left = save(left.join(both.select("folder"), "folder", "left_anti").join(both.select("id"), "id", "left_anti"))
-    return left if out is None else out
+    left, out = save(scores.select("folder", "id", "score").distinct()), []
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    while not left.isEmpty():
+        named = components(left.select(node("f", "folder").alias("a"), node("p", "id").alias("b")), save)
+        placed = save(left.join(named, node("f", "folder") == F.col("node")).select("folder", "id", "score", F.col("component").alias("_block")))
+        sizes = placed.groupBy("_block").agg(F.count("*").alias("_n"))
+        large = save(sizes.where(F.col("_n") > block).select("_block"))
+        small = placed.join(large, "_block", "left_anti")
+        out.append(save(small.groupBy("_block").applyInPandas(_greedy, left.schema)))
+        rest = placed.join(large, "_block", "left_semi").select("folder", "id", "score")
+        by_folder = rest.groupBy("folder").agg(F.min_by("id", F.struct((-F.col("score")).alias("s"), "id")).alias("best_id"))
+        by_id = rest.groupBy("id").agg(F.min_by("folder", F.struct((-F.col("score")).alias("s"), "folder")).alias("best_folder"))
+        both = save(rest.join(by_folder, "folder").join(by_id, "id").where("id = best_id and folder = best_folder").select("folder", "id", "score"))
+        out.append(both)
+        left = save(rest.join(both.select("folder"), "folder", "left_anti").join(both.select("id"), "id", "left_anti"))
+    return reduce(DataFrame.unionByName, out, left)
 
 
 def suggestions(scores: DataFrame, k: int = 3) -> DataFrame:

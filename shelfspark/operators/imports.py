@@ -16,7 +16,7 @@ from shelfspark.operators.quality import severity_of, with_quality
 
 #: Skipped rows that a run keeps, that a preview shows, and drafts that it shows.
 KEPT, SHOWN, SAMPLES = 500, 100, 10
-RUN = "run_id string, source string, status string, error string, sheets long, processed long, rows_read long, rows_data long, rows_skipped long, created long, updated long, unchanged long, archived long, duplicates long, avg_score double, finished_at timestamp"
+RUN = "run_id string, source string, status string, error string, sheets long, processed long, rows_read long, rows_data long, rows_skipped long, created long, updated long, unchanged long, archived long, duplicates long, avg_score double, finished_at timestamp, sheet_reports array<struct<sheet:string,rows_read:long,data:long,skipped:string>>, skipped_rows array<struct<sheet:string,row_index:int,reason:string,text:string>>"
 
 
 def skipped_rows(classified: DataFrame) -> DataFrame:
@@ -104,6 +104,17 @@ def run_row(spark: SparkSession, run_id: str, source: str, counted: DataFrame, o
     return row.select(text(run_id).alias("run_id"), text(source).alias("source"), text(status).alias("status"), text(error).alias("error"), *counted.columns, "created", "updated", "unchanged", "archived", "duplicates", "avg_score", F.current_timestamp().alias("finished_at"))
 
 
+def with_details(row: DataFrame, report: DataFrame, skipped: DataFrame) -> DataFrame:
+    """The audit row with what became of each sheet, and the first KEPT rows that were skipped.
+
+    A workbook has a few sheets; of the skipped rows a top-k of fixed size is taken before they are gathered.
+    """
+    sheets = report.agg(F.array_sort(F.collect_list(F.struct("sheet", F.col("rows_read").cast("long").alias("rows_read"), F.col("data").cast("long").alias("data"), F.col("skipped").cast("string").alias("skipped")))).alias("sheet_reports"))
+    first = skipped.orderBy("file", "sheet", "row_index").limit(KEPT).select(F.struct("sheet", "row_index", "reason", "text").alias("r"))
+    gone = first.agg(F.array_sort(F.collect_list("r")).alias("skipped_rows"))
+    return row.join(F.broadcast(sheets), how="cross").join(F.broadcast(gone), how="cross")  # one row each
+
+
 def run(spark: SparkSession, run_id: str, source: str, grid: DataFrame, stored: DataFrame, write: Callable[[DataFrame], None], audit: Callable[[DataFrame], None], save: Callable[[DataFrame], DataFrame], archive: bool = False, policy: Policy = POLICY) -> None:
     """Reads, merges, upserts, writes and audits; a failure is audited as failed and raised.
 
@@ -114,7 +125,10 @@ def run(spark: SparkSession, run_id: str, source: str, grid: DataFrame, stored:
         done = store.upsert(stored, made.select(*(c for c in made.columns if c in stored.columns)))
         done = save(store.archive_stale(done, made) if archive else done.withColumn("archived", F.lit(False)))
         write(done.drop("outcome", "locks_kept", "archived"))
-        audit(run_row(spark, run_id, source, totals(ingest.sheet_report(grid, policy)), done, made))
+        report = ingest.sheet_report(grid, policy)
+        rows = grid.where(ingest.skip_reason(F.col("sheet")).isNull())
+        skipped = skipped_rows(ingest.classify_rows(rows, ingest.detect_headers(rows, policy)))
+        audit(with_details(run_row(spark, run_id, source, totals(report), done, made), report, skipped))
     except Exception as e:
         none = spark.createDataFrame([(run_id, source, "failed", str(e)[:500])], "run_id string, source string, status string, error string")
         audit(none.select(*(F.col(f.name) if f.name in none.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], RUN).schema)))

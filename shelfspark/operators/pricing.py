@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.config import POLICY, Policy
@@ -91,3 +93,32 @@ def recalculate_counts(stored: DataFrame, policy: Policy = POLICY) -> DataFrame:
     now = with_pricing(stored.withColumnsRenamed({"margin": "was_margin", "band": "was_band"}), policy)
     changed = ~F.col("margin").eqNullSafe(F.col("was_margin")) | ~F.col("band").eqNullSafe(F.col("was_band"))
     return now.agg(F.count("*").alias("scanned"), F.sum(changed.cast("long")).alias("changed"), total(F.col("margin")).alias("margin_total"))
+
+
+def recalculated(stored: DataFrame, policy: Policy = POLICY, rescore: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All rows priced anew, and scored by `rescore` where given, with `changed`: another margin, band or score than was stored."""
+    was = [c for c in ("margin", "band", "score") if c in stored.columns]
+    now = with_pricing(stored.withColumnsRenamed({c: f"was_{c}" for c in was}), policy)
+    now = rescore(now) if rescore else now
+    changed = F.lit(False)
+    for c in was:
+        if c in now.columns:
+            changed = changed | ~F.col(c).eqNullSafe(F.col(f"was_{c}"))
+    return now.withColumn("changed", changed).drop(*(f"was_{c}" for c in was))
+
+
+def recalculate(stored: DataFrame, write: Callable[[DataFrame], None] | None, policy: Policy = POLICY, rescore: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, object]:
+    """Writes all rows priced anew, in the stored columns, and tells how many were examined, changed and written.
+
+    One pass: the counts are observed while the rows are written. Without `write` it is a dry run, which
+    computes the rows and writes none. `write` must write what it gets, once.
+    """
+    seen = Observation()
+    rows = recalculated(stored, policy, rescore).observe(seen, F.count("*").alias("examined"), F.count_if("changed").alias("changed"))
+    own = rows.select(*stored.columns)
+    if write is None:
+        own.write.format("noop").mode("overwrite").save()
+    else:
+        write(own)
+    n = seen.get
+    return {"examined": n["examined"], "changed": n["changed"], "written": 0 if write is None else n["examined"], "dry_run": write is None}

@@ -128,19 +128,12 @@ def sku_collisions(df: DataFrame) -> DataFrame:
 
 
 def collision_members(df: DataFrame) -> DataFrame:
-    """Each pair of rows that share an SKU which is not generated: a row and one of its others, at most `MEMBERS` of them.
+    """Every member of every group of rows that share an SKU which is not generated: sku_key, id, name and source.
 
-    The first members of a group are found by a grouped top-k, so no row is paired with its whole group.
+    A row's others are the members of its group but itself; the groups are rows, so one of any size is whole
+    and no row is paired with its whole group.
     """
-    keyed = df.where(~is_generated_sku(F.col("sku"))).select("id", sku_key(F.col("sku")).alias("sku_key")).where("sku_key is not null")
-    rank = F.row_number().over(Window.partitionBy("sku_key").orderBy("id"))
-    first = keyed.withColumn("_k", rank).where(F.col("_k") <= MEMBERS + 1).groupBy("sku_key").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
-    others = F.slice(F.array_remove("ids", F.col("id")), 1, MEMBERS)
-    return keyed.join(first, "sku_key").select("id", "sku_key", F.explode(others).alias("other_id"))
-
-
-#: Others of a row's SKU that are listed; `sku_collisions` counts them all.
-MEMBERS = 20
+    return sku_collisions(df).select("sku_key", "id", "name", "source_catalog")
 
 
 def with_collisions(priced: DataFrame, policy: Policy = POLICY) -> DataFrame:

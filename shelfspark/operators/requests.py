@@ -54,7 +54,7 @@ def admin_query(given: Mapping[str, object]) -> tuple[dict[str, object], int, in
             elif name in LISTS:
                 out[name] = [x.strip() for x in (v.split(",") if isinstance(v, str) else list(v)) if x.strip()]
             elif name in ("search", "sku"):
-                out[name] = str(v).strip()[:TEXT]
+                out[name] = str(v).strip()
             else:
                 errors[name] = "unknown"
         except ValueError as e:

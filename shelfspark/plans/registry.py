@@ -11,10 +11,13 @@ from shelfspark.functions import identity, money, specs, text
 from shelfspark.operators import analytics, catalog, ingest, pricing, quality, reports, slugs, store
 from shelfspark.operators.pricing import with_pricing
 from shelfspark.operators.quality import with_quality
+from shelfspark.plans.deep import DEEP
+from shelfspark.plans.deep_oracles import ORACLES as DEEP_ORACLES
 from shelfspark.plans.more import MORE
 from shelfspark.plans.more_oracles import ORACLES as MORE_ORACLES
 from shelfspark.plans.oracles import ORACLES as FIRST_ORACLES
 from shelfspark.plans.samples import grid, new_rows, patches, raw_cells, slug_drafts, store_and_drafts
+from shelfspark.sources.scratch import save
 from shelfspark.sources.testdata import products, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,8 +110,8 @@ def archive_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; memory and disk where none is set, as in tests."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """A written table in the folder that driver and executors share."""
+    return save(df)
 
 
 def resolve_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,5 +188,5 @@ QUERIES: dict[str, Query] = {
     "upsert_locked": upsert_locked, "import_totals": import_totals, "archive_stale": archive_stale,
     "resolve_slugs": resolve_slugs, "patch_fields": patch_fields, "patch_outcomes": patch_outcomes, "unlock_fields": unlock_fields, "create_products": create_products, "verify_products": verify_products, "dedupe_merge": dedupe_merge, "market_segments": market_segments,
 }
-QUERIES |= MORE
-ORACLES: dict[str, str] = {**FIRST_ORACLES, **MORE_ORACLES}
+QUERIES |= MORE | DEEP
+ORACLES: dict[str, str] = {**FIRST_ORACLES, **MORE_ORACLES, **DEEP_ORACLES}

@@ -115,7 +115,7 @@ def test_links_of_equal_and_falling_scores_are_all_made(spark, tmp_path):
     got = images.assign(spark.createDataFrame(pairs, "folder string, id long, score double"), save)
     assert sorted((r["folder"], r["id"]) for r in got.collect()) == sorted(want) and len(want) == 130
     few = spark.createDataFrame([x for x in pairs if x[0] < "f004" and x[1] < 4], "folder string, id long, score double")
-    assert {(r["folder"], r["id"]) for r in images.assign(few, save, at_once=0).collect()} == {(f"f{i:03}", i) for i in range(4)}
+    assert {(r["folder"], r["id"]) for r in images.assign(few, save, block=0).collect()} == {(f"f{i:03}", i) for i in range(4)}
 
 
 def test_merge_of_repeated_drafts(spark):
