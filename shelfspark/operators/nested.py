@@ -151,7 +151,7 @@ def upsert(stored: DataFrame, drafts: DataFrame, key: str = "fingerprint") -> Da
     both = whole(stored, "old").join(whole(drafts, "new"), F.col("_old_key") == F.col("_new_key"), "full_outer")
     locks = at("metadata.locked_fields", "old") if "metadata.locked_fields" in kinds else F.array().cast("array<string>")
     verified = F.coalesce(at("status.is_verified", "old"), F.lit(False)) if "status.is_verified" in kinds else F.lit(False)
-    known, drafted = F.col("_old_key").isNotNull(), F.col("_new_key").isNotNull()
+    known, drafted = F.col("old").isNotNull(), F.col("new").isNotNull()
     held = {p: known & (covered(p, locks) | F.lit(any(p == o or p.startswith(f"{o}.") for o in OWNED_PATHS)) | (F.lit(p == "status.lifecycle") & verified)) for p in given}
 
     def value(p: str) -> Column:

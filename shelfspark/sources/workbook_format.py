@@ -141,7 +141,9 @@ class Reader(DataSourceReader):
                 found += [Sheet(path, name, entry) for name, entry in sheet_list(z)]
         return found
 
-    def read(self, partition: Sheet) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Sheet | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there are no partitions
+            return
         with _open(self.path)[0].open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
             held: list[tuple[int, int, list[str | None]]] = []
 

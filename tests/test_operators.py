@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import catalog, images, ingest, pricing, quality, slugs, store
+from shelfspark.sources import scratch
 from shelfspark.sources import workbook
 from shelfspark.sources.testdata import products
 
@@ -95,7 +96,7 @@ def test_public_projection_hides_costs(spark):
 
 def test_links_are_one_to_one(spark):
     scores = spark.createDataFrame([("f", 1, 0.9), ("f", 2, 0.9), ("g", 1, 0.95), ("g", 2, 0.5), ("h", 2, 0.9)], "folder string, id long, score double")
-    got = {(r["folder"], r["id"]) for r in images.assign(scores, lambda d: d.cache()).collect()}
+    got = {(r["folder"], r["id"]) for r in images.assign(scores, scratch.save).collect()}
     assert got == {("g", 1), ("f", 2)}
 
 
