@@ -30,10 +30,10 @@ def test_query_against_its_sql(spark, name):
     want, got = con.execute(oracle.ORACLES[name]).df(), queries.QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns and len(got) == len(want)
-    key = [c for c in ("query_id", "rank", "page_id", "record_type", "doc_id") if c in columns]
+    key = [c for c in ("query_id", "rank", "page_id", "record_type", "doc_id", "vec_id") if c in columns]
     for c in columns:
         a, b = (x.sort_values(key)[c].reset_index(drop=True) for x in (want, got))
-        assert np.allclose(a, b, rtol=1e-12) if c == "score" else ((a == b) | (a.isna() & b.isna())).all(), c
+        assert np.allclose(a, b, rtol=1e-12) if c in ("score", "near_edited", "near_next") else ((a == b) | (a.isna() & b.isna())).all(), c
 
 
 def test_words_of_any_length_differ():
