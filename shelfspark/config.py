@@ -228,4 +228,7 @@ GIGABYTES = {"tb": 1024.0, "gb": 1.0, "mb": 1 / 1024}
 METRES = {"m": 1.0, "cm": 0.01, "mm": 0.001, "ft": 0.3048, "feet": 0.3048, "foot": 0.3048, "in": 0.0254}
 YEARS = {"year": 12.0, "yr": 12.0, "yrs": 12.0, "years": 12.0, "سنة": 12.0, "سنوات": 12.0}
 MONTHS = {"month": 1.0, "months": 1.0, "شهر": 1.0, "أشهر": 1.0}
+#: What tells of a power bank, in a category or a name; how a header says that its prices are estimates.
+POWER_BANK = r"(?i)power bank|باور بانك"
+ESTIMATE_HEADER = r"\best\.?\b|estimat|approx|~|guess|range"
 COLOR_LABEL = r"colou?rs?\s*[:：]\s*([^|,;]+)"

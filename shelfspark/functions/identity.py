@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark.config import BRAND_ALIASES, BRAND_PARENTS, CATEGORY_CODES, DRAFT_WORDS, GENERIC_BRANDS, GENERIC_WORDS, RESERVED_CODES, TAXONOMY
-from shelfspark.functions.text import B0, B1, clean_text, contains_arabic, let, normalize_key, title_case
+from shelfspark.functions.text import B0, B1, clean_text, constant, contains_arabic, let, normalize_key, title_case
 
 #: The pattern of a model code, keys that stand for no SKU, and marks of prose.
 MODEL_CODE = r"(?<![A-Za-z0-9_])(?=[A-Z0-9-]*\d)[A-Z][A-Z0-9-]{2,}(?![A-Za-z0-9_])"
@@ -18,7 +18,7 @@ PROSE = rf"(?i){B0}(rdp|rrp|est|price|source|matched|verified|no{B1}|none|yet|us
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     """A literal map; null if the key is not in it."""
-    return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+    return F.element_at(constant(table, "map<string,string>"), key)
 
 
 def codes_in(text: Column) -> Column:
@@ -105,39 +105,44 @@ def normalize_brand(raw: Column) -> Column:
 
 
 def _brand(text: Column, key: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, r"\s*[/,&]\s*|\s+\+\s+"), lambda p: F.trim(p)), lambda p: p != "")
-    one = lambda c: F.coalesce(_lookup(normalize_key(c), BRAND_ALIASES), F.when(c.rlike("[a-z]") & c.rlike("[A-Z]"), c).otherwise(title_case(c)))
+    parts = F.filter(F.transform(F.split(text, r"\s*[/,&]\s*|\s+\+\s+"), clean_text), lambda p: p != "")
     known = _lookup(key, BRAND_ALIASES)
-    everyone = F.array_distinct(F.transform(parts, one))
-    kind = F.when(key == "", "none").when(key.isin(*GENERIC_BRANDS), "generic").when(known.isNotNull(), "known").when(F.size(parts) > 1, "multi").otherwise("one")
-    brand = F.when(kind == "generic", "Generic").when(kind == "known", known).when(kind == "multi", F.get(everyone, F.lit(0))).when(kind == "one", one(text))
+    everyone = F.array_distinct(F.transform(parts, lambda p: F.coalesce(_lookup(normalize_key(p), BRAND_ALIASES), title_case(p))))
+    kind = F.when(text == "", "none").when(key.isin(*GENERIC_BRANDS), "generic").when(known.isNotNull(), "known").when(F.size(everyone) > 1, "multi").when(F.size(parts) > 1, "same").otherwise("one")
+    shown = F.when(text.rlike("[a-z]") & text.rlike("[A-Z]"), text).otherwise(title_case(text))
+    brand = F.when(kind == "generic", "Generic").when(kind == "known", known).when(kind.isin("multi", "same"), F.get(everyone, F.lit(0))).when(kind == "one", shown)
     return F.struct(
-        brand.alias("brand"), _lookup(brand, BRAND_PARENTS).alias("parent"), kind.isin("none", "generic").alias("is_generic"), (kind == "multi").alias("is_multi"),
+        brand.alias("brand"), F.when(kind.isin("known", "same"), _lookup(brand, BRAND_PARENTS)).alias("parent"), (kind == "generic").alias("is_generic"), (kind == "multi").alias("is_multi"),
         F.when(kind == "multi", everyone).when(brand.isNotNull(), F.array(brand)).otherwise(F.array().cast("array<string>")).alias("all"),
     )
 
 
 def infer_brand(name: Column) -> Column:
-    """The longest known alias that stands in the name as whole words."""
-    padded, out = F.concat(F.lit(" "), normalize_key(name), F.lit(" ")), F.lit(None).cast("string")
-    for alias in sorted(BRAND_ALIASES, key=len):
-        out = F.when(F.contains(padded, F.lit(f" {alias} ")), BRAND_ALIASES[alias]).otherwise(out)
-    return out
+    """The longest known alias that stands in the name as whole words, the first of equals."""
+    known = [{"alias": f" {a} ", "brand": BRAND_ALIASES[a]} for a in sorted(BRAND_ALIASES, key=len, reverse=True)]
+    padded = F.concat(F.lit(" "), normalize_key(name), F.lit(" "))
+    return let(padded, lambda p: F.get(F.filter(constant(known, "array<struct<alias:string,brand:string>>"), lambda k: F.contains(p, k["alias"])), F.lit(0))["brand"])
 
 
 def _key(term: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[\W_]+", " ", term.lower())).strip()
 
 
-def _any_term(key: Column, terms: tuple[str, ...]) -> Column:
-    return key.rlike("(^| )(" + "|".join(sorted({_key(t) for t in terms}, key=lambda t: (-len(t), t))) + ")(s|es)?( |$)")
+def _forms(term: str) -> list[str]:
+    """The term between spaces, alone and as a plural."""
+    return [f" {_key(term)}{end} " for end in ("", "s", "es")]
 
 
-def _count_terms(key: Column, terms: tuple[str, ...]) -> Column:
-    out = F.lit(0)
-    for t in terms:
-        out = out + key.rlike(f"(^| ){_key(t)}(s|es)?( |$)").cast("int")
-    return out
+#: The taxonomy as one constant: the plan holds a literal, not an expression for each term.
+_KINDS = [
+    {"order": -i, "category": category, "terms": [{"forms": _forms(t)} for t in terms], "subs": [{"name": name, "forms": [f for t in sub for f in _forms(t)]} for name, sub in subs.items()]}
+    for i, (category, (terms, subs)) in enumerate(TAXONOMY.items())
+]
+_KINDS_SCHEMA = "array<struct<order:int,category:string,terms:array<struct<forms:array<string>>>,subs:array<struct<name:string,forms:array<string>>>>>"
+
+
+def _has(padded: Column, forms: Column) -> Column:
+    return F.exists(forms, lambda f: F.contains(padded, f))
 
 
 def normalize_category(raw: Column, name: Column) -> Column:
@@ -149,16 +154,12 @@ def normalize_category(raw: Column, name: Column) -> Column:
 
 
 def _category(text: Column, cell: Column, title: Column) -> Column:
-    both = F.concat(cell, F.lit(" "), title)
-    rows = []
-    for i, (category, (terms, subs)) in enumerate(TAXONOMY.items()):
-        sub = F.lit(None).cast("string")
-        for s in reversed(subs):
-            sub = F.when(_any_term(both, subs[s]), s).otherwise(sub)
-        in_cell = _count_terms(cell, terms)
-        score = F.when(in_cell > 0, 3 * in_cell).otherwise(_count_terms(title, terms))
-        rows.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(category).alias("category"), sub.alias("subcategory")))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
 
+    def scored(kind: Column) -> Column:
+        hits = lambda key: F.size(F.filter(kind["terms"], lambda t: _has(pad(key), t["forms"])))
+        sub = F.get(F.filter(kind["subs"], lambda s: _has(pad(F.concat_ws(" ", cell, title)), s["forms"])), F.lit(0))["name"]
+        return let(hits(cell), lambda n: F.struct(F.when(n > 0, 3 * n).otherwise(hits(title)).alias("score"), kind["order"].alias("order"), kind["category"].alias("category"), sub.alias("subcategory")))
 
     def out(best: Column) -> Column:
         hit = best["score"] > 0
@@ -167,21 +168,23 @@ def _category(text: Column, cell: Column, title: Column) -> Column:
             hit.alias("matched"), F.when(hit, F.least(F.lit(1.0), best["score"] / 3)).otherwise(0.0).alias("confidence"),
         )
 
-    return let(F.array_max(F.array(*rows)), out)
+    return let(F.array_max(F.transform(constant(_KINDS, _KINDS_SCHEMA), scored)), out)
 
 
 def _has_word(key: Column, words: tuple[str, ...]) -> Column:
     return key.rlike("(^| )(" + "|".join(sorted({_key(w) for w in words})) + ")( |$)")
 
 
-def detect_generic(name: Column, brand: Column, notes: Column, condition: Column) -> Column:
-    """is_generic, is_draft and reasons."""
+def detect_generic(name: Column, brand: Column, notes: Column, condition: Column, sku: Column | None = None) -> Column:
+    """is_generic, is_draft and reasons; a missing SKU is one only beside others, and only where `sku` is given."""
     shown, note = clean_text(name), normalize_key(notes)
     reasons = F.array_compact(F.array(
         F.when(_has_word(normalize_key(name), GENERIC_WORDS), "name_contains_generic_token"),
         F.when(_has_word(normalize_key(brand), GENERIC_WORDS), "brand_is_generic"),
         F.when((F.length(shown) > 3) & ~contains_arabic(shown) & (shown == F.upper(shown)) & shown.rlike("[A-Z]") & ~shown.rlike(r"\d"), "name_is_all_caps_label"),
     ))
+    if sku is not None:
+        reasons = let(reasons, lambda r: F.when((F.size(r) > 0) & (F.coalesce(sku, F.lit("")) == ""), F.array_append(r, F.lit("no_sku"))).otherwise(r))
     draft = _has_word(normalize_key(name), DRAFT_WORDS) | _has_word(note, DRAFT_WORDS) | shown.rlike(r"(?i)\(مسودة\)|\(draft\)") | (normalize_key(condition) == "draft")
     return F.struct((F.size(reasons) > 0).alias("is_generic"), draft.alias("is_draft"), reasons.alias("reasons"))
 
@@ -195,7 +198,11 @@ def detect_procurement(text: Column) -> Column:
 
 
 def split_supplier_sku(c: Column) -> Column:
-    """supplier and sku of one cell: around a slash, or the first word and a rest with a digit."""
-    t = clean_text(c)
-    slash, word = r"^(.*?)\s*/\s*(.+)$", r"^(\S+)\s+(.*\d.*)$"
-    return F.when(t.rlike(slash), F.struct(F.regexp_extract(t, slash, 1).alias("supplier"), F.regexp_extract(t, slash, 2).alias("sku"))).when(t.rlike(word), F.struct(F.regexp_extract(t, word, 1).alias("supplier"), F.regexp_extract(t, word, 2).alias("sku"))).otherwise(F.struct(F.nullif(t, F.lit("")).alias("supplier"), F.lit(None).cast("string").alias("sku")))
+    """supplier and sku of one cell: around a slash, or the first word and a rest with a digit; else all of it is the SKU."""
+
+    def read(t: Column) -> Column:
+        slash, word = r"^(.+?)\s*/\s*(.+)$", r"^(\S+)\s+(.*\d.*)$"
+        both = lambda p: F.struct(F.nullif(clean_text(F.regexp_extract(t, p, 1)), F.lit("")).alias("supplier"), clean_text(F.regexp_extract(t, p, 2)).alias("sku"))
+        return F.when(t.rlike(slash), both(slash)).when(t.rlike(word), both(word)).otherwise(F.struct(F.lit(None).cast("string").alias("supplier"), F.nullif(t, F.lit("")).alias("sku")))
+
+    return let(clean_text(c), read)

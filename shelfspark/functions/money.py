@@ -69,14 +69,14 @@ def _bounds(e: Column) -> Column:
     return F.when(ranged, as_range).when(value.isNotNull(), single)
 
 
-def parse_money(raw: Column, default_currency: Column | None = None, assume_estimate: bool = False) -> Column:
+def parse_money(raw: Column, default_currency: Column | None = None, assume_estimate: bool | Column = False) -> Column:
     """value, min, max, is_range, is_estimated, currency, variants, note and ok of a text cell."""
     default = F.lit(None).cast("string") if default_currency is None else default_currency
     cell = F.struct(raw.alias("raw"), clean_text(raw).alias("text"), default.alias("default"))
     return let(cell, lambda c: let(_split_note(c, assume_estimate), lambda n: let(_read(n), _money)))
 
 
-def _split_note(c: Column, assume_estimate: bool) -> Column:
+def _split_note(c: Column, assume_estimate: bool | Column) -> Column:
     text = c["text"]
     rest = F.when(text.rlike(r"\([^)]*\)"), F.regexp_replace(text, r"\([^)]*\)", " ")).otherwise(text)
     return F.struct(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def constant(value: object, schema: str) -> Column:
+    """A vocabulary as one foldable constant: the plan holds a literal, not an expression for each entry."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
+
+
 def normalize_digits(c: Column) -> Column:
     return F.translate(c, ARABIC_DIGITS, "01234567890123456789")
 
@@ -58,9 +64,9 @@ def slugify(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """The first letter of each word raised if it is an ASCII one; the rest as it is."""
-    up = lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.regexp_replace(w, "^.", ""))).otherwise(w)
-    return F.array_join(F.transform(F.split(c, " "), up), " ")
+    """The cleaned text with the first letter of each word raised if it is an ASCII one; words are runs of ASCII letters, digits and underscores."""
+    runs = F.regexp_extract_all(clean_text(c), F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000_000))).otherwise(w)), "")
 
 
 def similarity(a: Column, b: Column) -> Column:

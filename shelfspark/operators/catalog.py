@@ -117,6 +117,17 @@ def by_handle(df: DataFrame, handle: str) -> DataFrame:
     return public(df).where((F.col("slug") == handle.lower()) | (F.col("id").cast("string") == handle))
 
 
+def find(df: DataFrame, wanted: DataFrame, asked: str, by: str = "fingerprint") -> DataFrame:
+    """The rows of `df` that each value of `asked` names: by fingerprint, or by SKU whatever its case and marks.
+
+    A join on the key, so that any number of lookups is one pass; several rows may share an SKU, and all of
+    them come. Values asked for twice count once; null and empty ones name nothing.
+    """
+    key = sku_key if by == "sku" else (lambda c: F.nullif(c, F.lit("")))
+    keys = wanted.select(asked).distinct().withColumn("_key", key(F.col(asked))).where("_key is not null")
+    return keys.join(df.withColumn("_key", key(F.col(by))), "_key").drop("_key")
+
+
 def facet(df: DataFrame, column: str) -> DataFrame:
     return df.where(published() & (F.coalesce(column, F.lit("")) != "")).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 

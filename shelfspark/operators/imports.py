@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.config import COMPLETENESS, HEADERS, POLICY, TAXONOMY, Policy
 from shelfspark.functions.money import js_round
+from shelfspark.functions.specs import count_given
 from shelfspark.operators import ingest, store
 from shelfspark.operators.pricing import with_pricing
 from shelfspark.operators.quality import severity_of, with_quality
@@ -64,8 +65,8 @@ def complete(drafts: DataFrame) -> DataFrame:
     """Drafts of workbooks with the columns that pricing and scoring read."""
     no, d = F.lit(False), F.coalesce("description", F.lit(""))
     given = {
-        "has_specs": F.coalesce(F.col("n_features") > 0, no) | F.coalesce(F.col("specs.power_wattage").isNotNull() | F.col("specs.capacity").isNotNull() | F.col("specs.length_m").isNotNull() | F.col("specs.cable_type").isNotNull(), no),
-        "has_image": no, "has_description": d != "", "is_verified": no, "is_range": F.coalesce("is_range", no), "condition": F.coalesce("condition", F.lit("unknown")),
+        "has_specs": count_given(F.col("specs"), F.col("extras")) > 0,
+        "quantity": F.coalesce("quantity", F.lit(0)).cast("long"), "has_image": no, "has_description": d != "", "is_verified": no, "is_range": F.coalesce("is_range", no), "condition": F.coalesce("condition", F.lit("unknown")),
     }
     return drafts.withColumns(given)
 

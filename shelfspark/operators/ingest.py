@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.config import ANCHORS, HEADERS, NOTE_PREFIXES, POLICY, SHEET_PROCUREMENT, SHEET_SKIPPED, TOTAL_WORDS, Policy
-from shelfspark.functions import identity, money, specs
-from shelfspark.functions.text import B0, B1, ascii_bounds, clean_text, fingerprint, key_similarity, let, normalize_key
+from shelfspark.config import ANCHORS, ESTIMATE_HEADER, HEADERS, NOTE_PREFIXES, POLICY, SHEET_SKIPPED, TOTAL_WORDS, Policy
+from shelfspark.functions.text import B0, B1, ascii_bounds, clean_text, constant, key_similarity, let, normalize_key
+from shelfspark.operators.drafts import to_products
 
 _ALIASES: dict[str, tuple[str, int]] = {}
 for _field, _weight, _names, _ in HEADERS:
@@ -24,14 +24,10 @@ for _field, _weight, _names, _ in HEADERS:
 _NUMERIC = r"^[-+]?[\d\s,.$%]*\d[\d\s,.$%]*$"
 
 
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
-
-
 def match_header(cell: Column, policy: Policy = POLICY) -> Column:
     """field, strategy, confidence and specificity of a header cell: an alias, else a pattern, else the nearest alias."""
     both = F.struct(F.lower(clean_text(cell)).alias("text"), normalize_key(cell).alias("key"))
-    return let(both, lambda c: let(_header(c["text"], c["key"], policy), lambda m: m.withField("specificity", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in _WEIGHTS.items() for x in kv)), m["field"]), F.lit(0)))))
+    return let(both, lambda c: let(_header(c["text"], c["key"], policy), lambda m: m.withField("specificity", F.coalesce(F.element_at(constant(_WEIGHTS, "map<string,int>"), m["field"]), F.lit(0)))))
 
 
 _WEIGHTS: dict[str, int] = {}
@@ -40,11 +36,11 @@ for _field, _weight, _, _ in HEADERS:
 
 
 def _header(text: Column, key: Column, policy: Policy) -> Column:
-    exact = F.element_at(_map({a: f for a, (f, _) in _ALIASES.items()}), text)
+    exact = F.element_at(constant({a: f for a, (f, _) in _ALIASES.items()}, "map<string,string>"), text)
     pattern = F.lit(None).cast("string")
     for field, _, _, found in sorted((h for h in HEADERS if h[3]), key=lambda h: h[1]):  # the most specific is asked first
         pattern = F.when(text.rlike("|".join(ascii_bounds(p) for p in found)), field).otherwise(pattern)
-    names = F.array(*(F.struct(F.lit(re.sub(r"[\W_]+", " ", a).strip()).alias("alias"), F.lit(f).alias("field")) for a, (f, _) in _ALIASES.items() if len(a) > 2 and a.isascii()))
+    names = constant([{"alias": re.sub(r"[\W_]+", " ", a).strip(), "field": f} for a, (f, _) in _ALIASES.items() if len(a) > 2 and a.isascii()], "array<struct<alias:string,field:string>>")
     near = F.array_max(F.transform(names, lambda a: F.struct(key_similarity(a["alias"], key).alias("s"), a["field"].alias("field"))))
     return let(near, lambda near: (
         F.when(text == "", F.struct(F.lit(None).cast("string").alias("field"), F.lit("none").alias("strategy"), F.lit(0.0).alias("confidence")))
@@ -78,15 +74,15 @@ def detect_headers(grid: DataFrame, policy: Policy = POLICY) -> DataFrame:
 
 
 def map_columns(grid: DataFrame, headers: DataFrame, policy: Policy = POLICY) -> DataFrame:
-    """file, sheet, col, header, field, confidence, currency, displaced_by: of columns that claim one field the best keeps it."""
+    """file, sheet, col, header, field, confidence, currency, is_estimate, displaced_by: of columns that claim one field the best keeps it."""
     cells = _header_cells(grid, policy).join(headers.select("file", "sheet", F.col("header_index").alias("row_index")), ["file", "sheet", "row_index"])
     text = F.lower(clean_text(F.col("cell")))
     currency = F.when(text.rlike(rf"egp|{B0}le{B1}|ج\.?\s*م|جنيه"), "EGP").when(text.rlike(r"usd|\$|dollar"), "USD")
-    own = cells.select("file", "sheet", "col", F.col("cell").alias("header"), F.col("m.field").alias("claim"), F.col("m.confidence").alias("confidence"), F.col("m.specificity").alias("specificity"), currency.alias("currency"))
+    own = cells.select("file", "sheet", "col", clean_text(F.col("cell")).alias("header"), text.rlike(ascii_bounds(ESTIMATE_HEADER)).alias("is_estimate"), F.col("m.field").alias("claim"), F.col("m.confidence").alias("confidence"), F.col("m.specificity").alias("specificity"), currency.alias("currency"))
     best = own.where("claim is not null").groupBy("file", "sheet", "claim").agg(F.max_by("col", F.struct(F.col("specificity") * 10 + F.col("confidence"), -F.col("col"))).alias("winner"))
     out = own.join(best, ["file", "sheet", "claim"], "left")
     wins = F.col("col") == F.col("winner")
-    return out.select("file", "sheet", "col", "header", F.when(wins, F.col("claim")).alias("field"), F.when(wins, F.col("confidence")).otherwise(0.0).alias("confidence"), "currency", F.when(~wins, F.col("winner")).alias("displaced_by"))
+    return out.select("file", "sheet", "col", "header", F.when(wins, F.col("claim")).alias("field"), F.when(wins, F.col("confidence")).otherwise(0.0).alias("confidence"), "currency", "is_estimate", F.when(~wins, F.col("winner")).alias("displaced_by"))
 
 
 def sheet_currency(mapping: DataFrame) -> DataFrame:
@@ -121,45 +117,23 @@ def skip_reason(sheet: Column) -> Column:
     return reduce(lambda c, x: c.when(sheet.rlike(f"(?i){x[0]}"), x[1]), SHEET_SKIPPED[1:], F.when(sheet.rlike(f"(?i){SHEET_SKIPPED[0][0]}"), SHEET_SKIPPED[0][1]))
 
 
-def sheet_procurement(sheet: Column) -> Column:
-    return reduce(lambda c, x: c.when(sheet.rlike(f"(?i){x[0]}"), x[1]), SHEET_PROCUREMENT[1:], F.when(sheet.rlike(f"(?i){SHEET_PROCUREMENT[0][0]}"), SHEET_PROCUREMENT[0][1]))
-
-
 def extract_fields(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Data rows with `fields` (name to text) and `extras` (unmapped header to text). A sheet's column map joins once per sheet."""
-    maps = mapping.groupBy("file", "sheet").agg(F.sort_array(F.collect_list(F.struct("col", "field", "header"))).alias("columns"))  # at most a sheet's width
+    """Data rows with `fields` (name to text), `hints` (name to what its header says of money) and `extras` (unmapped header to text).
+
+    A sheet's column map, with the mean confidence of what it mapped, joins once per sheet.
+    """
+    mapped = F.col("field").isNotNull()
+    maps = mapping.groupBy("file", "sheet").agg(  # at most a sheet's width
+        F.sort_array(F.collect_list(F.struct("col", "field", "header", "currency", "is_estimate"))).alias("columns"), F.coalesce(F.round(F.avg(F.when(mapped, F.col("confidence"))), 3), F.lit(0.0)).alias("mapping_confidence"),
+    )
     data = rows.where("kind = 'data'").join(maps, ["file", "sheet"])
     cell = lambda m: F.get("cells", m["col"])
     there = lambda m: F.trim(F.coalesce(cell(m), F.lit(""))) != ""
-    pick = lambda name, of: F.map_from_entries(F.transform(F.filter("columns", lambda m: of(m) & there(m)), lambda m: F.struct(m[name], cell(m))))
-    extras = F.aggregate(F.filter("columns", lambda m: m["field"].isNull() & there(m)), F.create_map().cast("map<string,string>"), lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: k != m["header"]), F.create_map(m["header"], cell(m))))
-    return data.select("file", "sheet", "row_index", "section", pick("field", lambda m: m["field"].isNotNull()).alias("fields"), extras.alias("extras"))
-
-
-def to_products(fields: DataFrame, currencies: DataFrame, default_currency: str = "EGP") -> DataFrame:
-    """Typed drafts, one for each data row with a name or an SKU."""
-    f = lambda name: F.element_at("fields", name)
-    rows = fields.join(currencies, ["file", "sheet"], "left")
-    default = F.coalesce(F.upper(f("currency")), "currency", F.lit(default_currency))
-    amount = lambda name: money.parse_money(f(name), default)
-    split = identity.split_supplier_sku(f("supplier_sku"))
-    out = rows.withColumns({"_sku": identity.normalize_sku(F.coalesce(f("sku"), split["sku"])), "_rdp": amount("rdp"), "_rrp": amount("rrp"), "_selling": amount("selling_price"), "_market": amount("market_price"), "_was": amount("rdp_reported")})
-    name = F.coalesce(F.nullif(clean_text(f("name")), F.lit("")), F.col("_sku.sku"))
-    out = out.withColumns({"name": name, "_brand": identity.normalize_brand(F.coalesce(f("brand"), split["supplier"], identity.infer_brand(name))), "_category": identity.normalize_category(F.coalesce(f("category"), "section"), name)})
-    out = out.where("name is not null")
-    capacity = specs.extract_capacity(F.concat_ws(" | ", f("specs_raw"), f("capacity"), "name"))
-    sku = F.coalesce("_sku.sku", identity.generate_sku(F.col("name"), F.col("_brand.brand"), F.col("_category.category"), capacity))
-    generic = identity.detect_generic(F.col("name"), f("brand"), F.concat_ws(" ", f("notes"), f("action")), f("condition"))
-    text = F.concat_ws(" | ", f("specs_raw"), f("capacity"), "name", f("short_description"), f("long_description"))
-    return out.select(
-        fingerprint(F.col("_sku.sku"), F.col("_brand.brand"), F.col("name")).alias("fingerprint"), "file", "sheet", "row_index", "name", F.col("_brand.brand").alias("brand"), F.col("_category.category").alias("category"),
-        F.col("_category.subcategory").alias("subcategory"), sku.alias("sku"), F.coalesce("_rdp.currency", "_selling.currency", "_rrp.currency").alias("currency"), F.col("_rdp.value").alias("rdp"), F.col("_rrp.value").alias("rrp"),
-        F.coalesce("_selling.value", "_rrp.value").alias("selling_price"), F.col("_market.max").alias("market_high"), money.parse_integer(f("quantity")).alias("quantity"), F.coalesce(f("supplier"), split["supplier"]).alias("supplier"),
-        (~generic["is_draft"]).alias("is_active"), generic["is_draft"].alias("is_draft"), generic["is_generic"].alias("is_generic"), F.coalesce(identity.detect_procurement(f("action")), sheet_procurement(F.col("sheet")), F.lit("unclassified")).alias("procurement"),
-        F.coalesce("_rdp.is_estimated", F.lit(False)).alias("is_estimated"), (F.col("_rdp.is_range") | F.col("_rrp.is_range") | F.col("_selling.is_range")).alias("is_range"), (~F.col("_category.matched")).alias("category_unmapped"),
-        F.coalesce((F.col("_was.value") - F.col("_rdp.value")) != 0, F.lit(False)).alias("cost_mismatch"), F.col("_sku.is_ambiguous").alias("sku_ambiguous"), F.col("_sku.corrected_from").isNotNull().alias("sku_corrected"),
-        specs.extract_specs(text).alias("specs"), f("condition").alias("condition"), F.size(specs.split_features(f("specs_raw"))).alias("n_features"), f("short_description").alias("description"), f("notes").alias("notes"), "extras",
-    )
+    kept = F.filter("columns", lambda m: m["field"].isNotNull())
+    fields = F.map_from_entries(F.transform(F.filter(kept, there), lambda m: F.struct(m["field"], cell(m))))
+    hints = F.map_from_entries(F.transform(kept, lambda m: F.struct(m["field"], F.struct(m["currency"].alias("currency"), m["is_estimate"].alias("is_estimate")))))
+    extras = F.aggregate(F.filter("columns", lambda m: m["field"].isNull() & there(m)), F.create_map().cast("map<string,string>"), lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: k != m["header"]), F.create_map(m["header"], clean_text(cell(m)))))
+    return data.select("file", "sheet", "row_index", "section", fields.alias("fields"), hints.alias("hints"), extras.alias("extras"), "mapping_confidence")
 
 
 def dedupe(drafts: DataFrame, score: str = "score", key: str = "fingerprint", order: tuple[str, ...] = ("file", "sheet", "row_index")) -> DataFrame:

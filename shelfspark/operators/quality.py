@@ -19,15 +19,15 @@ def _blank(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
 
 
-def rules(policy: Policy = POLICY) -> list[tuple[str, Column]]:
-    """Code and condition of each defect, in the order in which they are listed."""
+def rules(policy: Policy = POLICY, unparsed: bool = False) -> list[tuple[str, Column]]:
+    """Code and condition of each defect, in the order in which they are listed; `unparsed` where the rows name columns that no field was found for."""
     own = is_generated_sku(F.col("sku"))
     return [
         ("MISSING_NAME", _blank("name")), ("MISSING_BRAND", _blank("brand")), ("MISSING_CATEGORY", _blank("category")),
         ("MISSING_SKU", _blank("sku")), ("GENERATED_SKU", ~_blank("sku") & own), *alert_rules(policy), ("PRICE_RANGE_ONLY", F.col("is_range")),
         ("MISSING_SPECS", ~F.col("has_specs")), ("MISSING_SUPPLIER", _blank("supplier")), ("MISSING_QUANTITY", F.coalesce("quantity", F.lit(0)) <= 0),
         ("MISSING_IMAGES", ~F.col("has_image")), ("GENERIC_ITEM", F.col("is_generic")), ("DRAFT_ITEM", F.col("is_draft")),
-        ("UNMAPPED_CATEGORY", F.col("category_unmapped")), ("SKU_CORRECTED", F.col("sku_corrected")), ("COST_MISMATCH", F.col("cost_mismatch")), ("AMBIGUOUS_SKU", F.col("sku_ambiguous")),
+        *([("UNPARSED_COLUMNS", F.coalesce(F.size("unmapped_columns") > 0, F.lit(False)))] if unparsed else []), ("UNMAPPED_CATEGORY", F.col("category_unmapped")), ("SKU_CORRECTED", F.col("sku_corrected")), ("COST_MISMATCH", F.col("cost_mismatch")), ("AMBIGUOUS_SKU", F.col("sku_ambiguous")),
     ]
 
 
@@ -61,7 +61,7 @@ def with_quality(priced: DataFrame, policy: Policy = POLICY) -> DataFrame:
     there = present(policy)
     groups = {g: reduce(add, (F.when(there[f], w).otherwise(0) for f, w in fields.items())) for g, fields in COMPLETENESS.items()}
     missing = F.array_compact(F.array(*(F.when(~there[f], f) for fields in COMPLETENESS.values() for f in fields)))
-    listed = F.array_compact(F.array(*(F.when(c, code) for code, c in rules(policy))))
+    listed = F.array_compact(F.array(*(F.when(c, code) for code, c in rules(policy, "unmapped_columns" in priced.columns))))
     if "extra_issues" in priced.columns:  # codes that other rows or sources tell of
         listed = F.concat(listed, "extra_issues")
     df = priced.withColumns({"issues": listed, **{f"earned_{g}": c.cast("long") for g, c in groups.items()}, "missing": missing})
