@@ -82,12 +82,29 @@ def committed_total(priced: DataFrame) -> DataFrame:
     return rows.agg(F.sum("products").alias("products"), F.sum("units").alias("units"), js_round(total(F.col("cost"))).alias("committed"))
 
 
+def dashboard_groups(scored: DataFrame) -> DataFrame:
+    """The grouped views of the start page from one pass over the rows: all active products, and these by category, margin band and supplier, and every product by procurement.
+
+    A row goes to each view that it is part of, and partial sums are made before anything is shuffled. Each
+    view shows the measures of inventory_value and those of summary and supplier_breakdown.
+    """
+    part = lambda view, group, when: F.when(when, F.struct(F.lit(view).alias("view"), group.alias("group")))
+    active, named = F.col("is_active"), lambda c, none: F.coalesce(c, F.lit(none))
+    views = F.array_compact(F.array(
+        part("summary", F.lit("all"), active), part("category", named("category", "(unassigned)"), active), part("band", F.col("band"), active & F.col("margin").isNotNull()),
+        part("supplier", named("supplier", "(unknown)"), active), part("procurement", F.col("procurement"), F.lit(True)),
+    ))
+    own = ("quantity", "norm_rdp", "norm_selling_price", "margin", "gross_margin", "score", "is_verified", "is_generic", "selling_price", "procurement")
+    rows = scored.select(F.explode(views).alias("_v"), *own).select("_v.view", "_v.group", *own)
+    return rows.groupBy("view", "group").agg(
+        *_measures(), _mean("gross_margin").alias("avg_gross_margin"), _mean("score").alias("avg_score"), _count(F.col("is_verified")).alias("verified"), _count(F.col("is_generic")).alias("generic"), _count(F.col("selling_price") > 0).alias("priced"),
+        _count(F.col("procurement") == "must_buy").alias("must_buy"), _count(F.col("procurement") == "avoid").alias("avoid"),
+    )
+
+
 def dashboard(scored: DataFrame) -> dict[str, DataFrame]:
-    """The seven views of the start page; cache `scored` if it is used for all of them."""
-    return {
-        "summary": summary(scored), "by_category": inventory_value(scored), "top_profitable": top_profitable(scored, 10), "margin_bands": margin_bands(scored),
-        "low_margin": low_margin(scored, limit=10), "suppliers": supplier_breakdown(scored), "procurement": procurement_baskets(scored),
-    }
+    """The start page: all grouped views in one pass, and two lists of the first few."""
+    return {"groups": dashboard_groups(scored), "top_profitable": top_profitable(scored, 10), "low_margin": low_margin(scored, limit=10)}
 
 
 def dashboard_derived(scored: DataFrame, policy: Policy = POLICY) -> DataFrame:

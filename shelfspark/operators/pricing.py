@@ -75,13 +75,22 @@ def suggestions(priced: DataFrame, target: float | None = None, policy: Policy =
     )
 
 
+def quotes(rows: DataFrame, target: float | None = None, policy: Policy = POLICY) -> DataFrame:
+    """What-if for every row (rdp, rrp, selling_price, currency): margins, break-even, and prices at the target and the warning margin.
+
+    Without a selling price the RRP counts as one; a row with neither has no margins, one without a cost above 0 no prices.
+    """
+    goal = policy.margin_target if target is None else target
+    at = lambda margin: price_for_margin(F.col("rdp"), margin)
+    return with_pricing(rows, policy).withColumns({"break_even": js_round(F.when(F.col("rdp") > 0, F.col("rdp"))), "price_at_target": at(goal), "price_at_warn": at(policy.margin_warn)})
+
+
 def quote(spark: SparkSession, rdp: float, selling_price: float | None = None, rrp: float | None = None, currency: str = "EGP", target: float | None = None, policy: Policy = POLICY) -> DataFrame:
-    """What-if: margins, break-even, and prices at the target and the warning margin."""
+    """The what-if of one product."""
     if rdp < 0 or (selling_price is None and rrp is None):
         raise ValueError("a quote needs a cost of at least 0 and a selling price or an RRP")
     row = spark.createDataFrame([(float(rdp), None if selling_price is None else float(selling_price), None if rrp is None else float(rrp), currency)], "rdp double, selling_price double, rrp double, currency string")
-    goal = policy.margin_target if target is None else target
-    return with_pricing(row, policy).withColumns({"break_even": F.when(F.col("rdp") > 0, F.col("rdp")), "price_at_target": price_for_margin(F.col("rdp"), goal), "price_at_warn": price_for_margin(F.col("rdp"), policy.margin_warn)})
+    return quotes(row, target, policy)
 
 
 def policy_table(spark: SparkSession, policy: Policy = POLICY) -> DataFrame:

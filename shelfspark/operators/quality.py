@@ -229,6 +229,14 @@ def rubric(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, grp string, points double")
 
 
+def rubric_use(scored: DataFrame) -> DataFrame:
+    """Every issue of the rubric with its severity and penalty, how many products have it, and the points it took from them; 0 where none has."""
+    rules = rubric(scored.sparkSession).where("kind = 'penalty'").select(F.col("name").alias("code"), F.col("grp").alias("severity"), F.col("points").alias("penalty"))
+    seen = scored.select(F.explode("issues").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return rules.join(seen, "code", "left").select("code", "severity", "penalty", n.alias("n"), (n * F.col("penalty")).alias("points"))
+
+
 def rescore_counts(stored: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """What a rescore would change: `stored` has `score` as `was` beside the product columns."""
     now = with_quality(stored, policy)

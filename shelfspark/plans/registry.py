@@ -16,6 +16,8 @@ from shelfspark.plans.deep_oracles import ORACLES as DEEP_ORACLES
 from shelfspark.plans.more import MORE
 from shelfspark.plans.more_oracles import ORACLES as MORE_ORACLES
 from shelfspark.plans.oracles import ORACLES as FIRST_ORACLES
+from shelfspark.plans.requested import REQUESTED
+from shelfspark.plans.requested_oracles import ORACLES as REQUESTED_ORACLES
 from shelfspark.plans.samples import grid, new_rows, patches, raw_cells, slug_drafts, store_and_drafts
 from shelfspark.plans.typed import TYPED
 from shelfspark.plans.typed_oracles import ORACLES as TYPED_ORACLES
@@ -190,5 +192,5 @@ QUERIES: dict[str, Query] = {
     "upsert_locked": upsert_locked, "import_totals": import_totals, "archive_stale": archive_stale,
     "resolve_slugs": resolve_slugs, "patch_fields": patch_fields, "patch_outcomes": patch_outcomes, "unlock_fields": unlock_fields, "create_products": create_products, "verify_products": verify_products, "dedupe_merge": dedupe_merge, "market_segments": market_segments,
 }
-QUERIES |= MORE | DEEP | TYPED
-ORACLES: dict[str, str] = {**FIRST_ORACLES, **MORE_ORACLES, **DEEP_ORACLES, **TYPED_ORACLES}
+QUERIES |= MORE | DEEP | TYPED | REQUESTED
+ORACLES: dict[str, str] = {**FIRST_ORACLES, **MORE_ORACLES, **DEEP_ORACLES, **TYPED_ORACLES, **REQUESTED_ORACLES}

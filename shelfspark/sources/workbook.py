@@ -1,4 +1,4 @@
-"""Spreadsheet grids: .xlsx parsed in Arrow batches of Spark's file reader, delimited text by Spark's reader.
+"""Spreadsheet grids: .xlsx parsed in Arrow batches of Spark's file reader, delimited text by Spark's line reader.
 
 Both give (file, sheet, row_index, cells array<string>), rows counted from 1 as a spreadsheet shows them.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
@@ -112,13 +112,28 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, SCHEMA)
 
 
+def lines(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """file, path, row_index and line of text files, rows counted from 1 in each file.
+
+    Files are split as Spark's reader splits them, and a task holds a line at a time. A line's number is its
+    place in its split and the lines of the file's earlier splits; these are counted in a first pass, a row a split.
+    """
+    at = F.col("_metadata.file_block_start")
+    rows = spark.read.option("pathGlobFilter", names).option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"), F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file"), at.alias("_at"), F.monotonically_increasing_id().alias("_n")
+    )
+    splits = rows.groupBy("path", "_at").agg(F.count("*").alias("_lines"), F.min("_n").alias("_first"))
+    before = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("path", "_at", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return rows.join(offsets, ["path", "_at"]).select("file", "path", (F.col("_n") + F.col("_shift")).cast("int").alias("row_index"), "line")
+
+
 def read_delimited(spark: SparkSession, path: str, separator: str = ",", names: str = "*") -> DataFrame:
     """Lines with their number inside a file; a file is one sheet named like it. Quoted fields may not hold line ends."""
-    lines = spark.read.option("wholetext", "true").option("pathGlobFilter", names).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     sep = re.escape(separator)
     raw = F.regexp_extract_all(F.concat(F.lit(separator), F.col("line")), F.lit(sep + r'("(?:[^"]|"")*"|[^' + separator + r"]*)"), F.lit(1))
     clean = F.transform(raw, lambda c: F.nullif(F.trim(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))), F.lit("")))
-    return lines.select("file", F.regexp_replace("file", r"\.[^.]*$", "").alias("sheet"), (F.col("pos") + 1).cast("int").alias("row_index"), clean.alias("cells"))
+    return lines(spark, path, names).select("file", F.regexp_replace("file", r"\.[^.]*$", "").alias("sheet"), "row_index", clean.alias("cells"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

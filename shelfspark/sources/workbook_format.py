@@ -314,6 +314,8 @@ class Workbook(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes `format("workbook")` known; sources are looked up in the thread's active session, which a new thread lacks."""
+    spark._jvm.SparkSession.setActiveSession(spark._jsparkSession)
     spark.dataSource.register(Workbook)
 
 
