@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import slugify
+from shelfspark.operators.running import running_sum, sum_in_windows
 
 Save = Callable[[DataFrame], DataFrame]
 
@@ -19,28 +21,33 @@ def _numbers(taken: DataFrame, bases: DataFrame) -> DataFrame:
     return stems.union(taken.select("slug", F.lit(1).cast("long"))).join(bases, "base", "left_semi").distinct()
 
 
-def _numbered(left: DataFrame, taken: DataFrame) -> DataFrame:
+def _numbered(left: DataFrame, taken: DataFrame, save: Save, hot: int) -> DataFrame:
     """For each row the free number of its base that its place in the order of arrival gives.
 
     The i-th number in use, t, has t - i free ones below it, so the k-th free number is k and as many more
-    as there are numbers in use with fewer than k below. One running count over both kinds of rows tells.
+    as there are numbers in use with fewer than k below. Two running counts tell, one of places and one of
+    numbers in use; where a base has more than `hot` rows and numbers they are made over ranges of rows.
     """
-    used = _numbers(taken, left.select("base").distinct())
-    used = used.select("base", (F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n"))).alias("at"), F.lit(1).alias("used"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ("fingerprint", "arrival", "wanted")))
-    rank = F.row_number().over(Window.partitionBy("base").orderBy("arrival", "fingerprint")).cast("long")
-    rows = left.select("base", rank.alias("at"), F.lit(0).alias("used"), "fingerprint", "arrival", "wanted")
-    below = F.sum("used").over(Window.partitionBy("base").orderBy("at", "used").rowsBetween(Window.unboundedPreceding, 0))
+    none = lambda c: F.lit(None).cast(left.schema[c].dataType).alias(c)
+    used = _numbers(taken, left.select("base").distinct()).select("base", F.lit(1).alias("used"), F.col("n"), none("arrival"), none("fingerprint"), none("wanted"))
+    rows = left.select("base", F.lit(0).alias("used"), F.lit(0).cast("long").alias("n"), "arrival", "fingerprint", "wanted")
+    both = used.unionByName(rows)
+    large = not both.groupBy("base").agg(F.count("*").alias("size")).where(F.col("size") > hot).isEmpty()
+    counted = partial(running_sum, save=save) if large else sum_in_windows
+    placed = counted(both, ("base", "used"), ("n", "arrival", "fingerprint"), F.lit(1), "place")
+    free = placed.withColumn("at", F.when(F.col("used") == 1, F.col("n") - F.col("place")).otherwise(F.col("place")))
+    found = counted(free, ("base",), ("at", "used", "n"), F.col("used"), "below").where("used = 0")
     n = F.col("at") + F.col("below")
-    found = used.unionByName(rows).withColumn("below", below).where("used = 0")
     return found.select("fingerprint", "arrival", "wanted", "base", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("slug"))
 
 
-def resolve(drafts: DataFrame, reserved: DataFrame, save: Save) -> DataFrame:
+def resolve(drafts: DataFrame, reserved: DataFrame, save: Save, hot: int = 100_000) -> DataFrame:
     """fingerprint, wanted and slug of every draft (fingerprint, arrival, name, sku, slug), unique by fingerprint.
 
     The first to arrive keeps the slug it wants unless another product of `reserved` (slug, owner) has it.
     Others get name and SKU, then -2, -3 and so on; a product that already has such a slug keeps it. Clean
     claims go before numbered ones. Numbered slugs that meet a like one of another base go to a next round.
+    A base that more than `hot` products want is numbered by many tasks; `save` writes a table and reads it back.
     """
     wanted = F.coalesce(F.nullif("slug", F.lit("")), slugify(F.col("name")))
     base = F.coalesce(F.nullif(slugify(F.concat_ws(" ", "name", "sku")), F.lit("")), wanted)
@@ -59,7 +66,7 @@ def resolve(drafts: DataFrame, reserved: DataFrame, save: Save) -> DataFrame:
     done = done.unionByName(own)
     taken = held.select(F.col("held").alias("slug"))
     while not left.isEmpty():
-        proposed = _numbered(left, taken.union(done.select("slug")).distinct())
+        proposed = _numbered(left, taken.union(done.select("slug")).distinct(), save, hot)
         proposed = save(proposed.withColumn("wins", F.row_number().over(Window.partitionBy("slug").orderBy("arrival", "fingerprint")) == 1))
         done = done.unionByName(proposed.where("wins").select("fingerprint", "wanted", "slug"))
         left = proposed.where("not wins").select("fingerprint", "arrival", "wanted", "base")

@@ -1,13 +1,14 @@
-"""Requests and edits checked, pages, quotes over tables, the dashboard in one pass, delimited files by lines."""
+"""Requests and edits checked, pages, quotes over tables, the dashboard in one pass, delimited files by lines, running sums and slugs of hot keys."""
 
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import analytics, pricing, requests
+from shelfspark.operators import analytics, pricing, requests, slugs
+from shelfspark.operators.running import running_sum
 from shelfspark.plans import requested
-from shelfspark.sources import workbook, workbook_format
+from shelfspark.sources import scratch, workbook, workbook_format
 
 
 def test_one_request_is_checked_as_a_table_of_them(spark):
@@ -101,3 +102,39 @@ def test_workbooks_are_found_from_another_thread(spark, tmp_path):
     t.start()
     t.join()
     assert seen == [4]
+
+
+def test_running_sums_of_a_hot_key(spark):
+    given = [("hot" if i % 3 else None if i % 7 == 0 else f"k{i % 5}", (i * 37) % 2001, i, i % 4) for i in range(2000)]
+    rows = spark.createDataFrame(given, "key string, at long, id long, v long")
+    cut = []
+
+    def save(df):
+        cut.append(scratch.save(df))
+        return cut[-1]
+
+    got = {r["id"]: r["total"] for r in running_sum(rows, ("key",), ("at", "id"), F.col("v"), "total", save).collect()}
+    sums, want = {}, {}
+    for key, at, i, v in sorted(given, key=lambda r: (r[0] or "", r[1], r[2])):
+        want[i] = sums[key] = sums.get(key, 0) + v
+    assert got == want
+    ranges = cut[0].where("key = 'hot'").groupBy("_range").count().collect()
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 1000
+    assert running_sum(rows.limit(0), ("key",), ("at", "id"), F.col("v"), "total", scratch.save).isEmpty()
+
+
+def test_a_slug_that_most_products_want(spark):
+    rows = [(f"f{i:04}", (i * 53) % 997, "Cable", None, None) for i in range(997)] + [("own", 2000, "Plug", None, None)]
+    reserved = [(f"cable-{n}", "gone") for n in range(2, 900, 3)] + [("cable", "gone")]
+    shape = "fingerprint string, arrival long, name string, sku string, slug string"
+    # the first to arrive finds the clean slug taken and is numbered like all others
+    held, free = {s for s, _ in reserved}, 2
+    want = {"own": "plug"}
+    for fingerprint, _, *_ in sorted(rows[:-1], key=lambda r: r[1]):
+        while f"cable-{free}" in held:
+            free += 1
+        want[fingerprint] = f"cable-{free}"
+        free += 1
+    for hot in (0, 10_000):
+        got = {r["fingerprint"]: r["slug"] for r in slugs.resolve(spark.createDataFrame(rows, shape), spark.createDataFrame(reserved, "slug string, owner string"), scratch.save, hot).collect()}
+        assert got == want
