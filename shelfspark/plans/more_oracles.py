@@ -128,7 +128,7 @@ SELECT id, (row_number() OVER (PARTITION BY id ORDER BY is_primary DESC, n) - 1)
     "chart_top": f"{VIEW}, g AS (SELECT coalesce(brand, '(unassigned)') AS \"group\", {r1('coalesce(sum((coalesce(norm_rdp, 0) * coalesce(quantity, 0))::DECIMAL(20,4)), 0)::DOUBLE')} AS cost, {r1('coalesce(sum((coalesce(norm_selling_price, 0) * coalesce(quantity, 0))::DECIMAL(20,4)), 0)::DOUBLE')} AS retail FROM products WHERE is_active GROUP BY 1) SELECT * FROM g WHERE cost > 0 OR retail > 0 ORDER BY cost DESC, \"group\" LIMIT 12",
     "fix_queue": f"{CODES} SELECT id, code, {_severity} AS severity, CASE WHEN {_of(0)} IS NOT NULL THEN 'fix' WHEN code IN {_decide} THEN 'decide' ELSE 'other' END AS queue, {_of(0)} AS field, {_of(1)} AS label, {_of(2)} AS type FROM codes",
     "issues_ranked": f"{CODES} SELECT s.id, coalesce(c.codes, '') AS codes FROM scored s LEFT JOIN (SELECT id, string_agg(code, ',' ORDER BY {_rank}, code) AS codes FROM codes GROUP BY id) c ON c.id = s.id",
-    "collision_members": f"{VIEW}, k AS (SELECT *, {SKU_KEY} AS sku_key FROM products) SELECT sku_key, id, name, source_catalog FROM k WHERE sku_key IN (SELECT sku_key FROM k GROUP BY sku_key HAVING count(*) > 1)",
+    "collision_members": f"{VIEW}, k AS (SELECT *, {SKU_KEY} AS sku_key FROM products) SELECT * FROM (SELECT sku_key, id, name, source_catalog, count(*) OVER (PARTITION BY sku_key) - 1 AS n_others FROM k WHERE sku_key IS NOT NULL) WHERE n_others > 0",
     "rescore_collisions": f"{SCORED}, k AS (SELECT *, count(*) OVER (PARTITION BY {SKU_KEY}) > 1 AND sku IS NOT NULL AS shared FROM scored) SELECT id, greatest(0::DOUBLE, least(100::DOUBLE, {r1(f'completeness - penalties - CASE WHEN shared THEN {_penalty("DUPLICATE_SKU")} ELSE 0 END', 1)})) AS score, n_critical + shared::BIGINT AS n_critical FROM k",
     "dedupe_full": """WITH d AS (SELECT p_partkey % 700 AS g, p_partkey AS k, (p_partkey % 7)::DOUBLE AS score, 's' || (p_partkey % 2) AS sheet, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS rdp FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, sheet, k) AS place FROM d), x AS (SELECT g, k % 3 AS col, arg_min(k, place) AS v FROM r GROUP BY ALL)
