@@ -1,9 +1,11 @@
 """What large tables and odd values showed: joins that broadcast, rows in one task, halves that rounded up."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from shelfspark.functions import display
-from shelfspark.operators import quality, search, substrings
+from shelfspark.functions import display, text
+from shelfspark.operators import images, quality, search, substrings
 from shelfspark.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +48,26 @@ def test_costly_rows_are_dealt_over_all_cores(spark):
     for name in ("normalize_brand", "normalize_category"):
         assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= cores
     assert "REPARTITION_BY_NUM" in QUERIES["import_products"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_folders_and_products_are_made_once_in_lots(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["red", "bolt", "ring", "hub", "old"])
+    folders = [(f"C/{i}", rng.choice(["Cables", None]), rng.choice([None, "x"]), rng.choice(["", f"{word()} {word()} {i}", f"{word()} A-{i:03}b"])) for i in range(60)]
+    products = [(i, rng.choice(["Cables", "Hubs"]), rng.choice([None, "x", "y"]), rng.choice([f"{word()} {word()} {i}", word(), "", None]), rng.choice([f"A-{i:03}", "red", None])) for i in range(60)]
+    f = spark.createDataFrame(folders, "folder string, category string, subcategory string, title string")
+    p = spark.createDataFrame(products, "id long, category string, subcategory string, name string, sku string")
+    key = lambda c: text.normalize_key(F.col(c))
+    x = f.select("folder", "category", F.col("subcategory").alias("sub"), key("title").alias("fk")).crossJoin(p.select("id", F.col("category").alias("pc"), F.col("subcategory").alias("ps"), key("name").alias("pk"), key("sku").alias("sk")))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    inside = (F.length("sk") >= 4) & F.contains("fk", "sk")
+    x = x.where((F.size(F.array_intersect(words("fk"), words(F.concat_ws(" ", "pk", "sk")))) > 0) | inside)
+    few, many = F.when(F.length("fk") <= F.length("pk"), words("fk")).otherwise(words("pk")), F.when(F.length("fk") <= F.length("pk"), words("pk")).otherwise(words("fk"))
+    base = F.greatest(text.key_similarity(F.col("fk"), F.col("pk")), text.key_similarity(F.col("fk"), F.col("sk")), F.when(inside, 0.95).otherwise(0.0), F.when((F.size(few) > 0) & (F.size(F.array_except(few, many)) == 0), 0.78).otherwise(0.0))
+    move = F.when(F.col("category") == F.col("pc"), 0.08).otherwise(0.0) + F.when(F.col("sub").isNull() | F.col("ps").isNull(), 0.0).when(F.col("sub") == F.col("ps"), 0.06).otherwise(-0.15)
+    want = sorted(map(tuple, x.select("folder", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + move)), 3).alias("score")).where("score >= 0.5").collect()))
+    for lot in (1, 100):
+        monkeypatch.setattr(images, "LOT", lot)
+        scores = images.score_matches(f, p, 0.5)
+        assert sorted(map(tuple, scores.collect())) == want and len(want) > 50
+    assert scores._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
