@@ -68,7 +68,7 @@ class Words:
         return mix(out)
 
 
-def chunks(column: pa.Array, lower: str | None = None, most: int = 512 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, lower: str | None = None, most: int = 128 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about `most` bytes, a longer text alone: first row, last row, bytes, offsets. Null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

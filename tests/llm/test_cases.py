@@ -42,6 +42,26 @@ def test_words_of_any_length_differ():
     assert len(set(hashes)) == len(texts)
 
 
+def test_texts_are_taken_in_small_chunks():
+    texts = ["word " * 200] * 1000 + ["a" * 300_000] + ["word " * 200] * 3
+    found = list(chunks(pa.array(texts)))
+    assert [lo for lo, *_ in found[1:]] == [hi for _, hi, *_ in found[:-1]] and found[-1][1] == len(texts)
+    assert all(len(buf) <= 128 << 10 or hi - lo == 1 for lo, hi, buf, _ in found)
+
+
+def test_batches_are_small_where_the_session_has_no_bound_of_its_own():
+    class Session:
+        def __init__(self, own, now=core.DEFAULT_BYTES):
+            self.set_to = {core.BATCH_BYTES: now}
+            self.sparkContext = type("C", (), {"getConf": lambda _: {core.BATCH_BYTES: own}})()
+            self.conf = type("F", (), {"get": lambda _, k, d=None: self.set_to.get(k, d), "set": lambda _, k, v: self.set_to.update({k: v})})()
+
+    for own, now, then in ((None, core.DEFAULT_BYTES, "1m"), ("67108864b", core.DEFAULT_BYTES, core.DEFAULT_BYTES), (None, "2m", "2m")):
+        session = Session(own, now)
+        core.bound_batches(session)
+        assert session.set_to[core.BATCH_BYTES] == then
+
+
 def test_shared_folder_is_the_sessions(spark, monkeypatch, tmp_path):
     class Session:
         def __init__(self, master, path):
