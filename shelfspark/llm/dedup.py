@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.core import Tables, narrow
+from shelfspark.llm.core import Tables, bound_batches, narrow
 from shelfspark.llm.words import Words, chunks, mix, shingles
 
 TREES, DEPTH, LEAST, REGION, NEAR = 16, 8, 3, 256, 8
@@ -283,7 +283,7 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes; each is saved. Only minima are
     gathered for a node, never its neighbours.
     """
-    now = tables.save(edges.where("a <> b").mapInPandas(_contract, "a long, b long"))
+    now = tables.save(edges.where("a <> b").mapInPandas(_contract, "a long, b long"), short=True)
     mark = None
     while True:
         both = now.union(now.select("b", "a").toDF("a", "b"))
@@ -291,7 +291,7 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        after = tables.save(small.where("a <> b").distinct())
+        after = tables.save(small.where("a <> b").distinct(), short=True)
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         tables.drop(now)
         now = after
@@ -370,13 +370,13 @@ def _hub_links(outside: DataFrame, hubs: DataFrame, sets: DataFrame, percent: in
 
 def _placed(members: DataFrame, comps: DataFrame, tables: Tables) -> DataFrame:
     """Members (grp, doc, component, outside) of groups that are not one component."""
-    placed = tables.save(members.join(comps, F.col("doc") == F.col("node"), "left").select("grp", "doc", F.coalesce("component", "doc").alias("component")))
+    placed = tables.save(members.join(comps, F.col("doc") == F.col("node"), "left").select("grp", "doc", F.coalesce("component", "doc").alias("component")), short=True)
     sizes = placed.groupBy("grp", "component").count()
     main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
     part = F.pmod(F.xxhash64("doc"), F.lit(DEAL)).cast("int")  # a large group's members are dealt out
     main = main.select("grp", "main", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("part"))
     open_ = placed.withColumn("part", part).join(main, ["grp", "part"]).select("grp", "doc", "component", (F.col("component") != F.col("main")).alias("outside"))
-    return tables.save(open_)
+    return tables.save(open_, short=True)
 
 
 def _rest(members: DataFrame, own: DataFrame, classes: DataFrame, links: DataFrame, comps: DataFrame, words: int, percent: int, tables: Tables) -> DataFrame:
@@ -389,25 +389,25 @@ def _rest(members: DataFrame, own: DataFrame, classes: DataFrame, links: DataFra
     if open_.isEmpty():
         return comps
     who = open_.groupBy("doc").agg(F.first("component").alias("component"), F.max("outside").alias("outside"))
-    sets = _sets_of(tables.save(who.select(F.col("doc").alias("id"))), classes, own, words, tables)
+    sets = _sets_of(tables.save(who.select(F.col("doc").alias("id")), short=True), classes, own, words, tables)
 
     crowded = open_.groupBy("grp").count().where(F.col("count") > REGION).select("grp")
     both = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("links"))
     best = open_.join(crowded, "grp", "left_semi").join(both, "doc").groupBy("grp", "component").agg(F.max_by("doc", F.struct("links", -F.col("doc"))).alias("hub"), F.max("links").alias("links"))
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("links"), "hub"))
-    hubs = tables.save(best.withColumn("_rank", rank).where(F.col("_rank") <= HUBS).select("grp", "hub"))
+    hubs = tables.save(best.withColumn("_rank", rank).where(F.col("_rank") <= HUBS).select("grp", "hub"), short=True)
     if not hubs.isEmpty():
-        more = tables.save(_hub_links(open_.where("outside").select("grp", "doc"), hubs, sets, percent).distinct())
+        more = tables.save(_hub_links(open_.where("outside").select("grp", "doc"), hubs, sets, percent).distinct(), short=True)
         if not more.isEmpty():
-            links = tables.save(links.union(more))
-            comps = tables.save(components(links, tables))
+            links = tables.save(links.union(more), short=True)
+            comps = tables.save(components(links, tables), short=True)
             open_ = _placed(members, comps, tables)
             if open_.isEmpty():
                 return comps
     who = open_.groupBy("doc").agg(F.first("component").alias("component"), F.max("outside").alias("outside"))
-    pairs = tables.save(_rare_pairs(sets.join(who, "doc"), percent, tables))
+    pairs = tables.save(_rare_pairs(sets.join(who, "doc"), percent, tables), short=True)
     more = tables.save(_checked(pairs, sets, percent))
-    return comps if more.isEmpty() else tables.save(components(links.union(more), tables))
+    return comps if more.isEmpty() else tables.save(components(links.union(more), tables), short=True)
 
 
 def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -425,7 +425,7 @@ def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 def _sets_of(ids: DataFrame, classes: DataFrame, own: DataFrame, words: int, tables: Tables) -> DataFrame:
     """doc and items, the full set, of the nodes `ids` (column `id`)."""
-    want = tables.save(ids.join(classes.select(F.col("node").alias("id"), F.col("rep").alias("doc"), "n", "h1", "h2"), "id"))
+    want = tables.save(ids.join(classes.select(F.col("node").alias("id"), F.col("rep").alias("doc"), "n", "h1", "h2"), "id"), short=True)
     text = _marked(own, "doc_id", want.select(F.col("doc").alias("id"))).where("_may").select("doc_id", "text")
     made = text.mapInArrow(partial(_full_sets, k=words), "doc long, items array<long>, n long, h1 long, h2 long")
     one = made.join(want, ["doc", "n", "h1", "h2"]).dropDuplicates(["doc", "n", "h1", "h2"])
@@ -438,12 +438,13 @@ def _linked(docs: DataFrame, words: int, percent: int, tables: Tables) -> DataFr
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = tables.save(own.mapInArrow(partial(_sign, k=words), "doc_id long, n long, h1 long, h2 long, sig binary"))
+    tables.sized(signed.count())
     full = signed.where("n > 0 and doc_id is not null")
     # all rows of a class have one set, and so one signature
     classes = tables.save(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")))
     # of classes with the same smallest id the first goes by it, the others by numbers of their own
     same = F.struct("n", "h1", "h2")
-    shared = tables.save(classes.groupBy("rep").agg(F.count("*").alias("_several"), F.min(same).alias("_first")).where("_several > 1").drop("_several"))
+    shared = tables.save(classes.groupBy("rep").agg(F.count("*").alias("_several"), F.min(same).alias("_first")).where("_several > 1").drop("_several"), short=True)
     plain = shared.isEmpty()
     if plain:
         classes = classes.withColumn("node", F.col("rep"))
@@ -453,30 +454,30 @@ def _linked(docs: DataFrame, words: int, percent: int, tables: Tables) -> DataFr
     reps = classes.select(F.col("node").alias("doc_id"), "n", "sig")
 
     forest = reps.mapInArrow(_trees, "region long, key binary, doc long, n long, sketch binary")
-    crowds = tables.save(reps.mapInArrow(_regions, "region long, doc long").groupBy("region").count().where(F.col("count") > min(REGION, HOT)))
+    crowds = tables.save(reps.mapInArrow(_regions, "region long, doc long").groupBy("region").count().where(F.col("count") > min(REGION, HOT)), short=True)
     regions = crowds.where(F.col("count") > HOT)
     if not regions.isEmpty():  # a hot region goes by its full order, and what is alike even there by chance; `_rest` makes up for it
         salt = F.pmod(F.xxhash64("doc", "region"), F.ceil(F.col("count") / HOT))
         forest = forest.join(regions, "region", "left").withColumn("region", F.when(F.col("count").isNull(), F.col("region")).otherwise(F.xxhash64("region", "key", salt))).drop("count")
     forest = forest.repartition(parts, "region").sortWithinPartitions("region", "key", "doc")
     found = tables.save(forest.mapInArrow(partial(_candidates, percent=percent), "a long, b long, grp long"))
-    pairs = tables.save(found.where("grp = 0 and a <> b").select("a", "b").distinct())
+    pairs = tables.save(found.where("grp = 0 and a <> b").select("a", "b").distinct(), short=True)
 
-    ids = tables.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    ids = tables.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), short=True)
     links = tables.save(_checked(pairs, _sets_of(ids, classes, own, words, tables), percent))
-    comps = tables.save(components(links, tables))
+    comps = tables.save(components(links, tables), short=True)
 
     # groups of which only a forest was checked and regions too large for all pairs: find what is left
     members = found.where("grp <> 0").select("grp", F.col("a").alias("doc"))
     if not crowds.isEmpty():  # a few other regions may be taken with them
         members = members.union(reps.mapInArrow(partial(_regions, crowds=spark.sparkContext.broadcast(_bits(crowds, "region"))), "region long, doc long"))
-    comps = _rest(tables.save(members), own, classes, links, comps, words, percent, tables)
+    comps = _rest(tables.save(members, short=True), own, classes, links, comps, words, percent, tables)
 
     named = classes.drop("sig").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if plain:
         named = named.select("n", "h1", "h2", F.col("component").alias("component_id"), (F.col("rep") == F.col("component")).alias("stays"))
     else:  # a node is not always an id: each component takes its smallest
-        named = tables.save(named)
+        named = tables.save(named, short=True)
         one = F.struct("rep", "n", "h1", "h2")
         named = named.join(named.groupBy("component").agg(F.min(one).alias("_one")), "component").select("n", "h1", "h2", F.col("_one.rep").alias("component_id"), (one == F.col("_one")).alias("stays"))
     known = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
@@ -512,10 +513,11 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     and other texts are judged apart. Rows without an id or without words all stay. Rows that may go are told by a
     bounded table of bits, so only those are shuffled with their text.
     """
+    bound_batches(docs.sparkSession)
     tables = Tables(docs.sparkSession)
     keys = ["_n", "_h1", "_h2"]
     found = _linked(docs, words, percent, tables).where("doc_id is not null and n > 0").groupBy(F.col("doc_id").alias("id"), *(F.col(k[1:]).alias(k) for k in keys))
-    odd = tables.save(found.agg(F.first("stays").alias("_stays"), F.count("*").alias("_rows")).where("_rows > 1 or not _stays"))
+    odd = tables.save(found.agg(F.first("stays").alias("_stays"), F.count("*").alias("_rows")).where("_rows > 1 or not _stays"), short=True)
     names, own = docs.columns, docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
     key, text = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
     rows = _marked(own, key, odd.select("id"))

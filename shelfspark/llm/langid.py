@@ -278,7 +278,7 @@ def train(docs: DataFrame, per_language: int = 300, most_bytes: int = 48 << 20,
     """
     tables = Tables(docs.sparkSession)
     own = narrow(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    ids = F.broadcast(tables.save(sample_of_each(own.where(~held_out()), "doc_id", "lang", per_language).distinct()))  # at most `per_language` ids a language
+    ids = F.broadcast(tables.save(sample_of_each(own.where(~held_out()), "doc_id", "lang", per_language).distinct(), short=True))  # at most `per_language` ids a language
     drawn = own.where(F.col("text").rlike(r"\p{L}")).join(ids, ["doc_id", "lang"]).select("doc_id", "lang", "text")
     made = tables.save(drawn.mapInArrow(_runs, "doc_id long, lang string, size long, runs array<string>, words array<string>"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))

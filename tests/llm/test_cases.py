@@ -62,6 +62,43 @@ def test_batches_are_small_where_the_session_has_no_bound_of_its_own():
         assert session.set_to[core.BATCH_BYTES] == then
 
 
+def test_a_sessions_batches_are_small_where_it_has_no_bounds_of_its_own(spark):
+    for name, least, own in ((core.BATCH_BYTES, "1m", "3m"), (core.READ_ROWS, "256", "1000")):
+        spark.conf.unset(name)
+        core.bound_batches(spark)
+        assert spark.conf.get(name) == least
+        spark.conf.set(name, own)
+        core.bound_batches(spark)
+        assert spark.conf.get(name) == own
+        spark.conf.unset(name)
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path):
+    spark.createDataFrame([(i, "word " * 1000) for i in range(1500)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    sizes = lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in it)
+    got = [r["n"] for r in core.narrow(spark.read.parquet(f"{tmp_path}/d"), "doc_id", "text").mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 7_000_000 and max(got) < 2 << 20
+
+
+def test_tables_of_short_rows_are_few_files_whatever_the_partitions(spark, monkeypatch):
+    texts = [f"common words of copy {i // 4} here {' '.join(f'w{i // 4}x{j}' for j in range(20))}" for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files: list[tuple[list[str], int]] = []
+    save = core.Tables.save
+    monkeypatch.setattr(core.Tables, "save", lambda self, df, *a, **b: (files.append(((out := save(self, df, *a, **b)).columns, len(out.inputFiles()))), out)[1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = dedup.near_duplicates(docs, 2, 80).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i // 4 * 4) for i in range(160)]
+    short = [n for columns, n in files if columns in (["a", "b"], ["node", "component"], ["id"])]
+    assert short and max(short) <= spark.sparkContext.defaultParallelism
+
+
 def test_shared_folder_is_the_sessions(spark, monkeypatch, tmp_path):
     class Session:
         def __init__(self, master, path):
