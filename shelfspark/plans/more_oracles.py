@@ -45,16 +45,20 @@ def alike(x: str, y: str) -> str:
 
 
 _short, _long = (f"CASE WHEN length(fk) <= length(pk) THEN {a} ELSE {b} END" for a, b in (("fk", "pk"), ("pk", "fk")))
+_worded = f"""JOIN pk ON len(list_intersect({_set("fk")}, {_set("pk || ' ' || sk")})) > 0"""
 SCORES = f"""{FOLDERS}, {OWNERS}, fk AS (SELECT *, {KEY("title")} AS fk FROM f), pk AS (SELECT id, category AS pc, {KEY("name")} AS pk, {KEY("sku")} AS sk FROM p),
 c AS (SELECT folder, id, greatest({alike("fk", "pk")}, {alike("fk", "sk")}, CASE WHEN length(sk) >= 4 AND contains(fk, sk) THEN 0.95 ELSE 0 END, CASE WHEN len(list_filter({_set(_short)}, lambda w: NOT list_contains({_set(_long)}, w))) = 0 THEN 0.78 ELSE 0 END)
-  + CASE WHEN category = pc THEN 0.08 ELSE 0 END AS s FROM fk JOIN pk ON len(list_intersect({_set("fk")}, {_set("pk || ' ' || sk")})) > 0),
+  + CASE WHEN category = pc THEN 0.08 ELSE 0 END AS s FROM fk {_worded}),
 scores AS MATERIALIZED (SELECT folder, id, round(greatest(0::DOUBLE, least(1::DOUBLE, s)), 3) AS score FROM c WHERE round(least(1::DOUBLE, s), 3) >= 0.7)"""
+#: The same for every pair, with a common word or without.
+EVERY = SCORES.replace(_worded, "CROSS JOIN pk")
 #: Greedy links, a pair a step in the order score, folder, id.
-LINKS = f"""WITH RECURSIVE {SCORES}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, folder, id) AS n FROM scores),
+_links = lambda scores: f"""WITH RECURSIVE {scores}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, folder, id) AS n FROM scores),
 g(n, folder, id, score, used_f, used_i) AS (
   SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::DOUBLE, []::VARCHAR[], []::BIGINT[]
   UNION ALL SELECT x.n, x.folder, x.id, x.score, list_append(g.used_f, x.folder), list_append(g.used_i, x.id) FROM g, LATERAL (SELECT * FROM o WHERE o.n > g.n AND NOT list_contains(g.used_f, o.folder) AND NOT list_contains(g.used_i, o.id) ORDER BY o.n LIMIT 1) AS x
-), links AS (SELECT folder, id, score FROM g WHERE n > 0)"""
+), links AS (SELECT folder, id, score FROM g WHERE n > 0)"""
+LINKS, LINKS_OF_EVERY = _links(SCORES), _links(EVERY)
 SPECS = """m AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 50 <> 0 THEN p_type END AS category, p_size::VARCHAR AS z, p_partkey AS k FROM part),
 all_specs AS (SELECT id, z, k, unnest(['power_wattage', 'battery_capacity', 'capacity', 'capacity_gb', 'condition', 'interface', 'color', 'warranty_months', 'features', 'screen_size']) AS name FROM m),
 specs AS (SELECT id, name, CASE name WHEN 'power_wattage' THEN CASE WHEN k % 2 = 0 THEN z END WHEN 'capacity' THEN CASE WHEN k % 3 = 0 THEN z || 'GB' END WHEN 'capacity_gb' THEN CASE WHEN k % 5 = 0 THEN z END
@@ -108,7 +112,7 @@ SELECT fingerprint, CASE WHEN st.name IS NULL THEN new_price WHEN new_name IS NU
     "photo_folders": f"WITH {FOLDERS} SELECT folder, title, category, subcategory, n_images, folder || '/1.png' AS primary_image FROM f",
     "product_images": f"WITH {FOLDERS} SELECT folder, i.place, folder || i.tail AS path, i.variant, i.place = 0 AS is_primary FROM f, (VALUES (0, '/1.png', NULL), (1, '/2.jpg', NULL), (2, '/Black/1.JPG', 'Black')) AS i(place, tail, variant)",
     "photo_scores": f"WITH {SCORES} SELECT * FROM scores",
-    "assign_folders": f"{LINKS} SELECT * FROM links",
+    "assign_folders": f"{LINKS_OF_EVERY} SELECT * FROM links",
     "photo_suggestions": f"WITH {SCORES} SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, id)::INT AS rank FROM scores WHERE score > 0.2 QUALIFY rank <= 3",
     "photo_overview": f"{LINKS} SELECT count(*) AS folders, sum(n_images)::BIGINT AS images, count(*) FILTER (folder IN (SELECT folder FROM links)) AS linked, count(*) FILTER (folder NOT IN (SELECT folder FROM links)) AS unlinked, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM links)) AS products_without_images FROM f",
     "unmatched_folders": f"{LINKS} SELECT folder FROM f WHERE folder NOT IN (SELECT folder FROM links)",

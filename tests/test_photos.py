@@ -69,3 +69,35 @@ def test_most_pairs_are_never_looked_at():
     seen = sum(len(i) for i, _, _ in alike.near(f, alike.np.arange(128), p, 0.7))
     shared = sum(bool(set(a.split()) & set(b.split())) for a in x["k"] for b in names)
     assert 0 < seen < shared / 3
+
+
+def test_scores_of_every_pair(spark):
+    f, p = _frames(spark, *_rows(60))
+    want = _every_pair(f, p, 0.3)
+    got = images.score_matches(f, p, 0.3, every=True)
+    assert sorted(map(tuple, got.collect())) == sorted(r[:3] for r in want) and not all(r[3] for r in want)
+
+
+@pytest.fixture(scope="module")
+def wordless(spark, tmp_path_factory):
+    """A folder and a product without a common word whose names are nearly the same."""
+    root = str(tmp_path_factory.mktemp("wordless"))
+    parts = spark.createDataFrame([(12345678903, "old rod"), (12345678904, "cold bolt")], "p_partkey long, p_name string")
+    parts.withColumn("p_type", F.lit("SMALL")).write.parquet(f"{root}/part.parquet")
+    return root
+
+
+def _both(spark, root, name):
+    """Rows of the query and of its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{root}/part.parquet/*.parquet'")
+    return sorted(map(tuple, entry.queries()[name](spark, root).collect())), sorted(c.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_assign_folders_links_names_without_a_common_word(spark, wordless):
+    got, want = _both(spark, wordless, "assign_folders")
+    assert got == want == [("Other/old rod 12345678903", 12345678904, 0.724)]
