@@ -115,7 +115,7 @@ SELECT fingerprint, CASE WHEN st.name IS NULL THEN new_price WHEN new_name IS NU
     "assign_folders": f"{LINKS_OF_EVERY} SELECT * FROM links",
     "photo_suggestions": f"WITH {SCORES} SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, id)::INT AS rank FROM scores WHERE score > 0.2 QUALIFY rank <= 3",
     "photo_overview": f"{LINKS} SELECT count(*) AS folders, sum(n_images)::BIGINT AS images, count(*) FILTER (folder IN (SELECT folder FROM links)) AS linked, count(*) FILTER (folder NOT IN (SELECT folder FROM links)) AS unlinked, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM links)) AS products_without_images FROM f",
-    "unmatched_folders": f"{LINKS} SELECT folder FROM f WHERE folder NOT IN (SELECT folder FROM links)",
+    "unmatched_folders": f"{LINKS_OF_EVERY} SELECT folder FROM f WHERE folder NOT IN (SELECT folder FROM links)",
     "linked_folders": f"WITH {FOLDERS}, {OWNERS} SELECT folder, n_images, (SELECT max(id) FROM p WHERE image_source = folder) AS id FROM f",
     "link_folders": f"WITH {FOLDERS}, {OWNERS}, l AS (SELECT folder, fid - 4 AS id FROM f WHERE fid % 18 = 0) SELECT p.id, CASE WHEN l.folder IS NOT NULL THEN l.folder WHEN image_source IN (SELECT folder FROM l) THEN NULL ELSE image_source END AS image_source, CASE WHEN l.folder IS NOT NULL THEN 3 ELSE 0 END AS n_images FROM p LEFT JOIN l USING (id)",
     "unlink_products": f"WITH {OWNERS} SELECT id, CASE WHEN id % 28 <> 0 THEN image_source END AS image_source FROM p",

@@ -101,3 +101,8 @@ def _both(spark, root, name):
 def test_assign_folders_links_names_without_a_common_word(spark, wordless):
     got, want = _both(spark, wordless, "assign_folders")
     assert got == want == [("Other/old rod 12345678903", 12345678904, 0.724)]
+
+
+def test_unmatched_folders_have_no_product_without_a_common_word(spark, wordless):
+    got, want = _both(spark, wordless, "unmatched_folders")
+    assert got == want == []
