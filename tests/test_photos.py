@@ -106,3 +106,27 @@ def test_assign_folders_links_names_without_a_common_word(spark, wordless):
 def test_unmatched_folders_have_no_product_without_a_common_word(spark, wordless):
     got, want = _both(spark, wordless, "unmatched_folders")
     assert got == want == []
+
+
+def test_links_by_falling_bounds_are_those_of_all_pairs(spark, monkeypatch):
+    from shelfspark.sources import scratch
+
+    x, y = _rows(60)
+    f, p = _frames(spark, x, y)
+    used, want = set(), []
+    for folder, i, score, _ in sorted(_every_pair(f, p, 0.3), key=lambda r: (-r[2], r[0], r[1])):
+        if not {folder, i} & used:
+            used |= {folder, i}
+            want.append((folder, i, score))
+    asked, one = [], images.score_matches
+
+    def score_matches(f, p, least, every):
+        asked.append((least, f.count(), p.count()))
+        return one(f, p, least, every)
+
+    monkeypatch.setattr(images, "score_matches", score_matches)
+    monkeypatch.setattr(images, "BOUNDS", (0.85, 0.6))
+    got = images.links(f, p, 0.3, scratch.save, every=True)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # below a bound only those are asked that are still free
+    assert [a[0] for a in asked] == [0.85, 0.6, 0.3] and 60 == asked[0][1] > asked[1][1] > asked[2][1]
