@@ -130,3 +130,18 @@ def test_links_by_falling_bounds_are_those_of_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     # below a bound only those are asked that are still free
     assert [a[0] for a in asked] == [0.85, 0.6, 0.3] and 60 == asked[0][1] > asked[1][1] > asked[2][1]
+
+
+@pytest.mark.parametrize("piece", [7, 100_000])
+def test_best_scores_give_the_same_suggestions(spark, monkeypatch, piece):
+    x, y = _rows(60)
+    y = {c: [*v, *v[:20]] for c, v in y.items()}  # equal scores
+    f, p = _frames(spark, x, y)
+    monkeypatch.setattr(images, "PIECE", piece)
+    few, every = images.score_matches(f, p, 0.3, best=3), images.score_matches(f, p, 0.3)
+    want = {}
+    for folder, i, score, shared in sorted(_every_pair(f, p, 0.3), key=lambda r: (r[0], -r[2], r[1])):
+        if shared and len(want.setdefault(folder, [])) < 3:
+            want[folder].append((folder, i, score, len(want[folder]) + 1))
+    assert sorted(map(tuple, images.suggestions(few).collect())) == sorted(r for rows in want.values() for r in rows)
+    assert few.count() < every.count()
