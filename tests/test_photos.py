@@ -145,3 +145,18 @@ def test_best_scores_give_the_same_suggestions(spark, monkeypatch, piece):
             want[folder].append((folder, i, score, len(want[folder]) + 1))
     assert sorted(map(tuple, images.suggestions(few).collect())) == sorted(r for rows in want.values() for r in rows)
     assert few.count() < every.count()
+
+
+@pytest.mark.parametrize("name, every", [("unmatched_folders", True)])
+def test_folders_ask_low_bounds_of_few(spark, monkeypatch, name, every):
+    import __spark_entry__ as entry
+
+    asked, one = [], images.score_matches
+
+    def score_matches(f, p, least, every):
+        asked.append((least, f.count(), every))
+        return one(f, p, least, every)
+
+    monkeypatch.setattr(images, "score_matches", score_matches)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert [(a[0], a[2]) for a in asked] == [(0.85, every), (0.7, every)] and asked[1][1] < 0.6 * asked[0][1]
