@@ -147,7 +147,7 @@ def test_best_scores_give_the_same_suggestions(spark, monkeypatch, piece):
     assert few.count() < every.count()
 
 
-@pytest.mark.parametrize("name, every", [("unmatched_folders", True)])
+@pytest.mark.parametrize("name, every", [("unmatched_folders", True), ("photo_overview", False)])
 def test_folders_ask_low_bounds_of_few(spark, monkeypatch, name, every):
     import __spark_entry__ as entry
 
@@ -160,3 +160,8 @@ def test_folders_ask_low_bounds_of_few(spark, monkeypatch, name, every):
     monkeypatch.setattr(images, "score_matches", score_matches)
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert [(a[0], a[2]) for a in asked] == [(0.85, every), (0.7, every)] and asked[1][1] < 0.6 * asked[0][1]
+
+
+def test_overview_counts_links_as_its_sql_does(spark, wordless):
+    got, want = _both(spark, wordless, "photo_overview")
+    assert got == want == [(1, 3, 0, 1, 1)]
