@@ -165,3 +165,24 @@ def test_folders_ask_low_bounds_of_few(spark, monkeypatch, name, every):
 def test_overview_counts_links_as_its_sql_does(spark, wordless):
     got, want = _both(spark, wordless, "photo_overview")
     assert got == want == [(1, 3, 0, 1, 1)]
+
+
+def test_small_blocks_of_links_are_dealt_together(spark, tmp_path, monkeypatch):
+    def save(df):
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    log = tmp_path.parent / f"{tmp_path.name}-calls"
+    log.mkdir()
+    one = images._greedy
+
+    def greedy(pairs):
+        (log / f"{id(pairs)}-{pairs['folder'].min()}").touch()
+        return one(pairs)
+
+    monkeypatch.setattr(images, "_greedy", greedy)
+    pairs = [(f"f{i:03}", 2 * i + d, 0.8) for i in range(300) for d in (1, 0)]
+    got = images._by_blocks(spark.createDataFrame(pairs, "folder string, id long, score double"), save, 200)
+    assert sorted(map(tuple, got.select("folder", "id", "score").collect())) == [(f"f{i:03}", 2 * i, 0.8) for i in range(300)]
+    assert len(list(log.iterdir())) <= 4
